@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, simhash, topk
+from graphloom.llm import packing, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file, on every executor."""
     import public_tokenizers
@@ -35,6 +40,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffixes": op3_suffixes,
     "op4_packing": op4_packing,
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
