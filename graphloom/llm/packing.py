@@ -16,7 +16,6 @@ import functools
 import os
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,9 @@ STEP = 8
 #: Tokens that are packed at once; what the last window of a block holds goes on to the next block.
 BLOCK = 1 << 18
 #: Words that a worker's cache holds; longer words are not kept.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 1_000_000, 64
+#: Signs after a word that no rule of the splitting joins to letters before them.
+SIGNS = ".,!?;:*#$%&|"
 #: An id for the end of a document.
 END_ID = 1
 #: Python takes these for white space, the vocabulary's splitting doesn't.
@@ -59,15 +60,30 @@ class Words:
         self.known: dict[str, bytes] = {}
 
     def of(self, words: list[str]) -> list[bytes]:
+        """The words' ids.  A word of letters and trailing signs is looked up in parts: the splitting parts them there, and case goes."""
         found = list(map(self.known.get, words))
         if None not in found:
             return found
-        lack = list({w for w, x in zip(words, found, strict=True) if x is None})
-        fresh = {w: np.array(x.ids, dtype="<u4").tobytes() for w, x in zip(lack, self.encode(lack, add_special_tokens=False), strict=True)}
-        if len(self.known) + len(fresh) > CACHE:
+        lack = [i for i, x in enumerate(found) if x is None]
+        parts: dict[str, tuple[str, str]] = {}
+        for i in lack:
+            if (w := words[i]) not in parts:
+                base = w.rstrip(SIGNS)
+                parts[w] = (base.lower() if base.isascii() else base, w[len(base) :]) if base.isalpha() else (w, "")
+        pieces = {p for both in parts.values() for p in both if p}
+        known = {p: x for p in pieces if (x := self.known.get(p)) is not None}
+        fresh = list(pieces.difference(known))
+        known |= ((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True))
+        known[""] = b""
+        made = {w: known[p] + known[q] for w, (p, q) in parts.items()}
+        if len(self.known) + len(made) + len(fresh) > CACHE:
             self.known.clear()
-        self.known.update((w, fresh[w]) for w in lack[:CACHE] if len(w) <= LONGEST)
-        return [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        for some in (made, {p: known[p] for p in fresh}):
+            if len(some) < CACHE // 4:
+                self.known.update(x for x in some.items() if len(x[0]) <= LONGEST)
+        for i in lack:
+            found[i] = made[words[i]]
+        return found
 
 
 @functools.lru_cache(2)
@@ -104,19 +120,21 @@ def candidates(lengths: list[int], ends: list[np.ndarray], step: int = STEP) ->
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> tuple[list[float], list[int]]:
     """The least cost up to each position and the position before it on the way."""
     total, back = [0.0], [0]
-    queue: deque[tuple[int, float]] = deque([(0, 0.0)])
     places, prices = at.tolist(), cost.tolist()
+    who, least, first = [0], [0.0], 0  # the queue: from `first` on, least costs rising
     for i in range(1, len(places)):
         here = places[i]
-        while here - places[queue[0][0]] > window:
-            queue.popleft()
-        j, least = queue[0]
-        total.append(value := least - here + window + prices[i])
-        back.append(j)
+        low = here - window
+        while places[who[first]] < low:
+            first += 1
+        total.append(value := least[first] - low + prices[i])
+        back.append(who[first])
         value += here
-        while queue and queue[-1][1] >= value:
-            queue.pop()
-        queue.append((i, value))
+        while len(least) > first and least[-1] >= value:
+            least.pop()
+            who.pop()
+        who.append(i)
+        least.append(value)
     return total, back
 
 
