@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, quality_rules, simhash, suffixes, topk
+from graphloom.llm import compression, packing, quality_rules, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,20 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compression.train(docs, labels.where(~compression.held_out("doc_id")))
+    out = compression.held_out("doc_id")
+    return compression.score(docs, model).select(F.col("id").alias("doc_id"), "score").select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= compression.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffixes": op3_suffixes,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_topk": op9_topk,
+    "op10_compression": op10_compression,
 }
 
 ORACLE_SQL: dict[str, str] = {
