@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import compression, packing, quality_rules, simhash, suffixes, topk
+from graphloom.llm import compression, language, packing, quality_rules, simhash, suffixes, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(language.documents(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "language", "confidence", "n_trigrams", "kept")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages, where all four kinds of evidence occur."""
+    found = language.identify(language.pages(table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("page_id"), "language", "confidence", "n_trigrams", "kept")
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -52,6 +63,8 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "page_language": page_language,
     "op3_suffixes": op3_suffixes,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
