@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import compression, language, packing, quality_rules, quotes, simhash, suffixes, topk, urls
+from graphloom.llm import compression, language, packing, pieces, quality_rules, quotes, simhash, suffixes, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "language", "confidence", "n_trigrams", "kept")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), finish="digest")
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -75,6 +80,7 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "page_language": page_language,
+    "op2_pieces": op2_pieces,
     "op3_suffixes": op3_suffixes,
     "op4_packing": op4_packing,
     "op5_urls": op5_urls,
