@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import release, text_chunks, written
+from graphloom.llm.common import release, small, text_chunks, written
 from graphloom.llm.components import components
 
 SEGMENTS = 7
@@ -121,9 +121,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(answer, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with one row left of each group: that of the smallest id, and of rows that repeat it one; a null id has no group and stays."""
-    named = near_duplicates(docs, id_col, text_col, words, distance)
-    first = named.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+#: Size classes grow by this factor; a text's shingle set meets those of its own class and the next.
+GROWTH = 1.25
+#: Segments of a shingle set that are looked up.  Of a pair at the similarity asked for, each is equal with odds over
+#: 1/e, so that all of TRIED differ for one pair in 60,000; sets of fewer segments have all of them tried.
+TRIED = 24
+
+
+def ring_keys(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Keys of a set of shingle hashes: it is dealt to one segment more than similar sets of its size can differ in, and equal segments have equal keys."""
+    some = np.unique(hashes)
+    mixed = some * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    sums = mixed * np.uint64(0xBF58476D1CE4E5B9)
+    out = []
+    own = int(np.log(len(some)) / np.log(GROWTH) + 1e-9)
+    for size in (own, own + 1):
+        count = int(2 * (1 - similarity) / (1 + similarity) * GROWTH ** (size + 1)) + 1
+        at = (mixed >> np.uint64(20)) % np.uint64(count)
+        tried = at < TRIED
+        order = np.argsort(at[tried], kind="stable")
+        which, part = at[tried][order], sums[tried][order]
+        if len(which):
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            for j, total in zip(which[first].tolist(), np.add.reduceat(part, first).tolist(), strict=True):
+                out.append(xxhash.xxh64_intdigest(b"%d %d %d" % (size, j, total)) - (1 << 63))
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED) -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have about ``similarity`` or more.
+
+    Fingerprints of sets as similar as that differ in up to a third of their 64 bits less than others: far too many for
+    segments of the fingerprint.  So the ring's segments are made of the shingle set, where similar sets have fewer
+    differences than segments, and pairs that share one are held to the full Hamming distance.  Texts of the same words
+    are one class from the start.  In a segment that more than ``paired`` classes share, each is held against three
+    of them (the smallest and two random ones, others in each segment) instead of all.  Null or empty texts: one class.
+    A null id keeps its row; an empty table gives no rows; other columns are not read.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    share = float(np.arccos(cosine) / np.pi)
+    reach = int(64 * share + 1.6 * (64 * share * (1 - share)) ** 0.5)
+
+    def run(batches):
+        for batch in batches:
+            for start, end in text_chunks(batch, 1):
+                part = batch.slice(start, end - start)
+                rows = []
+                for text in part.column(1).to_pylist():
+                    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                    fp, keys = 0, []
+                    if found:
+                        few = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+                        hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in few], dtype="<u8")
+                        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        fp = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
+                        keys = ring_keys(hashes, similarity)
+                    rows.append((fp, xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63), keys))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["id", "fp", "same", "keys"])
+
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = written(few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, fp long, same long, keys array<long>"), "prints")
+    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    classes = written(classes, "classes")
+    keys = written(classes.select("same", "fp", F.explode("keys").alias("key")), "keys")
+    item = F.struct("same", "fp")
+    sizes = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min(item).alias("r0"), F.min(F.struct(F.xxhash64("key", "same").alias("h"), "same", "fp")).alias("r1"), F.max(F.struct(F.xxhash64("key", "same").alias("h"), "same", "fp")).alias("r2")
+    )
+    sizes = written(sizes.where("n > 1"), "sizes")
+    low = keys.join(sizes.where(F.col("n") <= paired).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    pairs = low.select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
+    many = sizes.where(F.col("n") > paired).select("key", F.array("r0", F.struct("r1.same", "r1.fp"), F.struct("r2.same", "r2.fp")).alias("all"))
+    stars = keys.join(many, "key").select(item.alias("a"), F.explode("all").alias("b"))
+    near = pairs.union(stars).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= reach)
+    found = written(near.select(F.col("a.same").alias("a"), F.col("b.same").alias("b")).where("a <> b").distinct(), "near")
+    release(keys, sizes)
+    joined = components(found)
+    whole = classes.join(joined, classes["same"] == joined["node"], "left").select("same", "least", F.coalesce("component", "same").alias("component"))
+    whole = written(whole, "whole")
+    best = written(whole.groupBy("component").agg(F.min("least").alias("component_id")), "best")
+    answer = written(whole.join(best, "component").select("same", "component_id"), "answer")
+    release(found, classes, whole, best)
+    return prints.select("id", "same").join(answer, "same").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row left of each group of :func:`similar`: that of the smallest id, and of rows that repeat an id the first; a null id stays."""
+    named = similar(docs, id_col, text_col, words, similarity)
+    gone = small(written(named.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone"))
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    twice = small(written(docs.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1 AND _twice IS NOT NULL").select("_twice"), "twice"))
+    once = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
+    return once.unionByName(kept.join(twice, kept[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col]))

@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -208,6 +209,35 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(*columns).alias("k1"), F.xxhash64(*columns[::-1], F.lit(1)).alias("k2"), columns[1].alias("text"))
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+    """``docs`` with column runs: pairs (from, to) of repeated bytes, or null."""
+    if not GRAM < span <= 1000:
+        raise ValueError(f"span is over {GRAM} and at most 1000")
+    found = marks(keyed(docs, id_col, text_col), span)
+    text = F.col(text_col).cast("string")
+    named = docs.withColumns({"k1": F.xxhash64(id_col, text), "k2": F.xxhash64(text, id_col, F.lit(1))})
+    return named.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
+
+
+def cut(text: bytes, runs: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes that are left, and the maximal runs that went."""
+    spans = joined_runs([(r["a"], r["b"]) for r in runs or []])
+    ends = [0, *(b for _, b in spans)]
+    return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)], strict=True)), spans
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` (with all its columns) with the remaining text, whose parts of cut signs are dropped, and its length in ``chars_col`` where there is one."""
+    both = marked(docs, id_col, text_col, span)
+
+    def keep(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if r is None or not len(r) else cut(t.encode(), list(r))[0].decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)], dtype=object)
+
+    left = F.pandas_udf(keep, "string")
+    out = both.withColumn(text_col, left(F.col(text_col), F.col("runs"))).drop("runs")
+    return out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)).select(*docs.columns) if chars_col in docs.columns else out.select(*docs.columns)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans), one for each row of ``docs``.
 
@@ -215,12 +245,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     the input.  Null or empty text: nothing to remove.  Null ids are kept; a repeated row is a copy like any other;
     an empty table gives no rows; other columns are not read.
     """
-    if not GRAM < span <= 1000:
-        raise ValueError(f"span is over {GRAM} and at most 1000")
-    found = marks(keyed(docs, id_col, text_col), span)
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = named.select("id", "text", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", "id", F.lit(1)).alias("k2"))
-    both = named.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").select("id", "text", "runs")
+    both = marked(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, span).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "runs")
 
     def remove(batches):
         for batch in batches:
@@ -228,12 +253,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 part = batch.slice(start, end - start)
                 out = []
                 for text, runs in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    text, at, kept = text or b"", 0, []
-                    spans = joined_runs([(r["a"], r["b"]) for r in runs or []])
-                    for a, b in spans:
-                        kept.append(text[at:a])
-                        at = b
-                    left = b"".join([*kept, text[at:]])
+                    left, spans = cut(text := text or b"", runs)
                     out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left, [{"a": a, "b": b} for a, b in spans]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])

@@ -79,6 +79,30 @@ def test_empty_and_repeated(spark):
     rows = spark.createDataFrame([(5, "a b c d"), (5, "a b c d"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string")
     assert sorted((r["id"] or 0, r["component_id"]) for r in simhash.near_duplicates(rows).collect()) == [(0, 2), (2, 2), (5, 2), (5, 2)]
     assert sorted((r["doc_id"] or 0) for r in simhash.keep_one(rows).collect()) == [0, 2]
+    assert simhash.keep_one(rows.where("doc_id = 9")).count() == 0
+    same = spark.createDataFrame([(2, "q r s t"), (2, "q r s t"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(same).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("paired", [3, 64])
+def test_similar_sets(spark, paired):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], [rng.choices(words, k=n) for n in (40, 150, 600)]
+    for b in base:
+        for k in range(12):
+            t = list(b)
+            for at in rng.sample(range(len(t)), 0 if not k else max(1, len(t) // 70)):
+                t[at] = "new" + str(rng.random())
+            rows.append(" ".join(t))
+    rows += [" ".join(rng.choices(words, k=rng.choice([5, 40, 200]))) for _ in range(60)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), paired=paired).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in rows]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            alike = len(a & sets[j]) / len(a | sets[j])
+            assert alike < 0.8 or got[i] == got[j]
+            assert alike > 0.3 or i // 12 == j // 12 < 3 or got[i] != got[j]
 
 
 def test_long_chain(spark):
