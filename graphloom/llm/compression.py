@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_chunks
+from graphloom.llm.common import text_chunks, written
 
 #: Labelled texts that a fit uses at most, half for the dictionaries and half for the calibration, those of the least hashes of their ids.
 LABELLED = 6000
@@ -105,8 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("y"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    known = own.join(marked, own["id"] == marked["_id"]).select("id", "text", "y", F.xxhash64("id", "text").alias("h"))
-    chosen = known.orderBy("h").limit(labelled).drop("id")
+    found = own.select("id").distinct().join(marked, F.col("id") == F.col("_id")).select("_id", "y").orderBy(F.xxhash64("_id"), "_id").limit(labelled)
+    known = own.join(F.broadcast(found), F.col("id") == F.col("_id")).select("text", "y", F.xxhash64("id", "text").alias("h"))  # no text is shuffled
+    chosen = written(known.orderBy("h").limit(labelled), "labelled")
     place = F.expr(f"1 + pmod(shiftright(h, 8), greatest(length(text) - {PIECE}, 1))")
     pieces = chosen.where("h % 2 = 0").select("y", "h", F.substring("text", place, F.lit(PIECE)).alias("piece")).collect()
     content = {0: b"", 1: b""}
