@@ -91,11 +91,11 @@ def fences(merged: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(sketch: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """(lang, source, f_*) for each language and source that has a row: of its own sketch, its language's or that of all."""
     names = [f"f_{r}" for r in RATES]
-    whole = fences(sketch, []).select(*(F.col(c).alias(f"all_{c}") for c in names))
+    whole = fences(sketch, []).select(*names).first()  # one row
     lang = fences(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("n").alias("n_lang"), *(F.col(c).alias(f"lang_{c}") for c in names))
     own = fences(sketch, ["lang", "source"])
-    rows = own.join(F.broadcast(whole)).join(lang, own["lang"].eqNullSafe(lang["_lang"]))  # one row beside each
-    return rows.select("lang", "source", *(F.when(F.col("n") >= enough, F.col(c)).when(F.col("n_lang") >= enough, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in names))
+    rows = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]))
+    return rows.select("lang", "source", *(F.when(F.col("n") >= enough, F.col(c)).when(F.col("n_lang") >= enough, F.col(f"lang_{c}")).otherwise(F.lit(whole[c] if whole else None)).alias(c) for c in names))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", enough: int = ENOUGH) -> DataFrame:
