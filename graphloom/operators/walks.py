@@ -153,7 +153,7 @@ def pick(rows: DataFrame, key: list[str], order: list[str], u: Column) -> DataFr
     run = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(*key)
     summed = rows.withColumns({"_cum": F.sum("weight").over(run), "_total": F.sum("weight").over(total)})
-    reached = summed.where((F.col("_total") > 0) & (F.col("_cum") >= u * F.col("_total")) & (F.col("weight") > 0))
+    reached = summed.where((F.col("_total") > 0) & (F.col("_cum") >= u * F.col("_total")))
     first = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return reached.withColumn("_first", first).where("_first = 1").drop("_first", "_cum", "_total")
 

@@ -102,13 +102,14 @@ def row_sums(adj: DataFrame) -> DataFrame:
 
 
 def adjacency(graph: Graph, weighted: bool = False) -> DataFrame:
-    """(src, dst, w) by assignment: repeated edges are one, of weights the last given counts, a zero weight is no edge."""
+    """(src, dst, w) by assignment: repeated edges are one, of weights the last given counts (of equal
+    places the greatest), a zero weight is no edge."""
     check_endpoints(graph.edges, graph.nodes)
     if not weighted:
         return graph.edges.select("src", "dst").distinct().withColumn("w", F.lit(1.0))
     if not graph.weighted:
         raise ValueError("the graph has no edge weights")
-    last = graph.edges.groupBy("src", "dst").agg(F.max_by("w", "pos").alias("w"))
+    last = graph.edges.groupBy("src", "dst").agg(F.max_by("w", F.struct("pos", "w")).alias("w"))
     return last.where("w <> 0")
 
 
