@@ -16,6 +16,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ class Words:
         pieces = {p for both in parts.values() for p in both if p}
         known = {p: x for p in pieces if (x := self.known.get(p)) is not None}
         fresh = list(pieces.difference(known))
-        known |= ((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True))
+        known |= ((p, array("I", x.ids).tobytes()) for p, x in zip(fresh, self.encode(fresh, add_special_tokens=False), strict=True))
         known[""] = b""
         made = {w: known[p] + known[q] for w, (p, q) in parts.items()}
         if len(self.known) + len(made) + len(fresh) > CACHE:
@@ -91,14 +92,23 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def encoded_all(texts: list[str], path: str, end_id: int | None = END_ID) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's ids, the end id included, and the offsets after which a sentence has ended; the texts' words are looked up together."""
+    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+    split = [t.split() if not SEPARATORS.search(t) else [w for w in SPACE.split(t) if w] for t in texts]
+    flat = [w for some in split for w in some]
+    each = words(path).of(flat)
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+    ends = np.fromiter((w[-1] in ".!?" for w in flat), np.bool_, len(flat))
+    at = 0
+    for some in split:
+        to = at + len(some)
+        yield np.frombuffer(b"".join(each[at:to]) + tail, dtype="<u4"), np.cumsum(sizes[at:to])[ends[at:to]]
+        at = to
+
+
 def encoded(text: str, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """A text's ids, the end id included, and the offsets after which a sentence has ended."""
-    found = text.split() if not SEPARATORS.search(text) else [w for w in SPACE.split(text) if w]
-    each = words(path).of(found)
-    ids = np.frombuffer(b"".join(each) + (b"" if end_id is None else end_id.to_bytes(4, "little")), dtype="<u4")
-    ends = [i for i, w in enumerate(found) if w[-1] in ".!?"]
-    after = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) >> 2)
-    return ids, after[ends]
+    return next(encoded_all([text], path, end_id))
 
 
 def candidates(lengths: list[int], ends: list[np.ndarray], step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -120,20 +130,19 @@ def candidates(lengths: list[int], ends: list[np.ndarray], step: int = STEP) ->
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> tuple[list[float], list[int]]:
     """The least cost up to each position and the position before it on the way."""
     total, back = [0.0], [0]
-    places, prices = at.tolist(), cost.tolist()
-    who, least, first = [0], [0.0], 0  # the queue: from `first` on, least costs rising
-    for i in range(1, len(places)):
-        here = places[i]
+    who, where, least, first = [0], [0], [0.0], 0  # the queue: from `first` on, least costs rising
+    for i, (here, price) in enumerate(zip(at[1:].tolist(), cost[1:].tolist(), strict=True), 1):
         low = here - window
-        while places[who[first]] < low:
+        while where[first] < low:
             first += 1
-        total.append(value := least[first] - low + prices[i])
+        value = least[first] - low + price
+        total.append(value)
         back.append(who[first])
         value += here
         while len(least) > first and least[-1] >= value:
-            least.pop()
-            who.pop()
+            del least[-1], where[-1], who[-1]
         who.append(i)
+        where.append(here)
         least.append(value)
     return total, back
 
@@ -211,8 +220,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             for batch in batches:
                 for start, end in text_chunks(batch, 1):
                     part = batch.slice(start, end - start)
-                    for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        yield name, *encoded(text or "", vocabulary, end_id)
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for name, found in zip(part.column(0).to_pylist(), encoded_all(texts, vocabulary, end_id), strict=True):
+                        yield name, *found
 
         rows: list[tuple] = []
 
