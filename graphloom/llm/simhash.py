@@ -12,6 +12,8 @@ are linked to the smallest of them.  That is exact, linear, and at most 65 rows
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,14 +151,112 @@ def ring_keys(hashes: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
+def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int, turn: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that join classes of one segment whose fingerprints are within ``reach`` bits; ``same`` ascends.
+
+    Up to ``paired`` classes are all held against each other and each is linked to the first of its component.  More are
+    dealt to groups by their hash, the same groups in each segment; then REPS of each component, and the classes
+    without a link, are dealt anew by other bits, and so on while their number falls, TURNS times at least.
+    """
+    n = len(same)
+    if n <= paired:
+        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= reach
+        label = np.arange(n)
+        while True:
+            least = np.where(near, label[None], n).min(1)
+            if (least == label).all():
+                break
+            label = least
+        moved = label != np.arange(n)
+        return [(same[moved], same[label[moved]])]
+    mixed = same.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0xD1342543DE82EF95 * turn & (1 << 64) - 1)
+    bits = (2 * n // paired).bit_length()
+    group = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.diff(group[order])) + 1
+    out, again = [], []
+    for part in np.split(order, edges):
+        if len(part) > paired:
+            out += linked(same[part], fp[part], reach, paired, turn + 1)
+            again.append(part[:REPS])
+            continue
+        found = linked(same[part], fp[part], reach, paired)
+        out += found
+        member, first = found[0]
+        root = same[part].copy()
+        root[np.searchsorted(same[part], member)] = first
+        by = np.argsort(root, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], root[by][1:] != root[by][:-1]]))
+        rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
+        again.append(part[by[rank < REPS]])
+    rest = np.sort(np.concatenate(again))
+    if len(rest) < n or turn < TURNS:
+        out += linked(same[rest], fp[rest], reach, paired, turn + 1)
+    return out
+
+
+#: Classes of a component that stand for it in the next turn, and turns that classes without links get at least.
+REPS, TURNS = 4, 4
+
+
+def ring_links(keys: DataFrame, reach: int, paired: int) -> DataFrame:
+    """Links (a, b) of rows (same, fp, key).
+
+    Rows are dealt by ranges of (key, same), so that a segment of a third of all classes spreads over many tasks, and
+    read in that order.  Where a segment goes on in the next range, REPS classes from each end of it are linked afterwards.
+    """
+
+    def runs(batches):
+        left: list[np.ndarray] = []
+        first = True
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                left.append(np.stack([batch.column(i).to_numpy() for i in range(3)]))
+                if sum(x.shape[1] for x in left) < 50_000:
+                    continue
+            if not left:
+                break
+            rows = np.concatenate(left, axis=1)
+            cut = np.flatnonzero(np.diff(rows[0])) + 1
+            if batch is not None and not len(cut):
+                left = [rows]
+                continue
+            stop = rows.shape[1] if batch is None else int(cut[-1])
+            bounds = np.concatenate([[0], cut[cut < stop], [stop]])
+            yield rows[:, :stop], bounds, first, batch is None
+            left, first = [rows[:, stop:]] if batch is not None else [], False
+
+    def run(batches):
+        for rows, bounds, first, last in runs(batches):
+            a, b, ends = [], [], []
+            for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                some = slice(bounds[i], bounds[i + 1])
+                for x, y in linked(rows[1, some], rows[2, some].view(np.uint64), reach, paired):
+                    a.append(x), b.append(y)
+            for i in {*([0] if first else []), *([len(bounds) - 2] if last else [])}:
+                at = np.arange(bounds[i], bounds[i + 1])
+                ends.append(rows[:, np.unique(np.concatenate([at[:REPS], at[-REPS:]]))])
+            none = np.zeros((3, 0), dtype=np.int64)
+            x = np.concatenate([np.stack([np.concatenate(a), np.concatenate(b)]) if a else none[:2], np.zeros((2, len(np.concatenate(a)) if a else 0), dtype=np.int64)])
+            e = np.concatenate(ends, axis=1) if ends else none
+            rows_out = np.concatenate([x, np.stack([e[1], e[1], e[0], e[2]])], axis=1)
+            kind = np.arange(rows_out.shape[1]) >= x.shape[1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows_out), pa.array(kind)], ["a", "b", "key", "fp", "end"])
+
+    dealt = keys.select("key", "same", "fp").repartitionByRange("key", "same").sortWithinPartitions("key", "same")
+    found = written(dealt.mapInArrow(run, "a long, b long, key long, fp long, end boolean"), "links")
+    ends = found.where("end").select("key", F.col("a").alias("same"), "fp").distinct()
+    over = ends.repartition(1).sortWithinPartitions("key", "same").mapInArrow(run, "a long, b long, key long, fp long, end boolean")  # at most 4 * REPS rows a task
+    return found.where("NOT end").select("a", "b").union(over.where("NOT end").select("a", "b")).where("a <> b").distinct()
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED) -> DataFrame:
     """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have about ``similarity`` or more.
 
     Fingerprints of sets as similar as that differ in up to a third of their 64 bits less than others: far too many for
     segments of the fingerprint.  So the ring's segments are made of the shingle set, where similar sets have fewer
     differences than segments, and pairs that share one are held to the full Hamming distance.  Texts of the same words
-    are one class from the start.  In a segment that more than ``paired`` classes share, each is held against three
-    of them (the smallest and two random ones, others in each segment) instead of all.  Null or empty texts: one class.
+    are one class from the start.  Of a segment that more than ``paired`` classes share see :func:`linked`.  Null or empty texts: one class.
     A null id keeps its row; an empty table gives no rows; other columns are not read.
     """
     cosine = 2 * similarity / (1 + similarity)
@@ -185,19 +285,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     prints = written(few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, fp long, same long, keys array<long>"), "prints")
     classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = written(classes, "classes")
-    keys = written(classes.select("same", "fp", F.explode("keys").alias("key")), "keys")
-    item = F.struct("same", "fp")
-    sizes = keys.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(item).alias("r0"), F.min(F.struct(F.xxhash64("key", "same").alias("h"), "same", "fp")).alias("r1"), F.max(F.struct(F.xxhash64("key", "same").alias("h"), "same", "fp")).alias("r2")
-    )
-    sizes = written(sizes.where("n > 1"), "sizes")
-    low = keys.join(sizes.where(F.col("n") <= paired).select("key"), "key").groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    pairs = low.select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
-    many = sizes.where(F.col("n") > paired).select("key", F.array("r0", F.struct("r1.same", "r1.fp"), F.struct("r2.same", "r2.fp")).alias("all"))
-    stars = keys.join(many, "key").select(item.alias("a"), F.explode("all").alias("b"))
-    near = pairs.union(stars).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= reach)
-    found = written(near.select(F.col("a.same").alias("a"), F.col("b.same").alias("b")).where("a <> b").distinct(), "near")
-    release(keys, sizes)
+    found = written(ring_links(classes.select("same", "fp", F.explode("keys").alias("key")), reach, paired), "near")
     joined = components(found)
     whole = classes.join(joined, classes["same"] == joined["node"], "left").select("same", "least", F.coalesce("component", "same").alias("component"))
     whole = written(whole, "whole")
