@@ -32,6 +32,8 @@ GIANT, CHUNK = 32_768, 8192
 #: Units and pairs of pieces that a worker keeps.
 CACHE, PAIRS, LONGEST = 1_000_000, 400_000, 64
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: No piece spans the place behind the first of these signs.
+SYNC = re.compile(f"[^{BLANK}](?={BLANK})")
 
 
 class Codec:
@@ -134,18 +136,60 @@ class Codec:
                 nodes[p] = here
         return nodes
 
+    def syncs(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and last place in [begin, end] that no piece spans: the text's start, and a blank after another sign."""
+        first = 0 if begin == 0 else next((m.start() + 1 for m in SYNC.finditer(text, begin - 1, min(len(text), end + 1))), None)
+        if first is None or first > end:
+            return None
+        last = end
+        while last > first and not (last < len(text) and text[last] == BLANK != text[last - 1]):
+            last -= 1
+        return first, last
+
+    def before(self, text: str, last: int) -> tuple[int, str | None]:
+        """The state at a place that no piece spans: the piece that ends there."""
+        if last == 0:
+            return (0, None)
+        start = last - 1
+        while start > 0 and not (text[start] == BLANK != text[start - 1]):
+            start -= 1
+        (piece,) = self.lattice(text, start, last, [(start, None)])[last]
+        return (last, piece)
+
     def transfer(self, text: str, begin: int, end: int, last: bool) -> dict[tuple[int, str | None], tuple]:
-        """Exit state -> entry states with weight 0."""
+        """Exit state -> entry states with weight 0.
+
+        No way leads past a place that no piece spans but through it, so there the matrix is a product of a column (from
+        the entries to the first such place) and a row (from the last one to the exits): the lattice is built for those
+        ends alone.  Without such a place it is built for the whole chunk.
+        """
         entries = self.entries(text, begin)
-        nodes = self.lattice(text, begin, end, entries)
+        places = self.syncs(text, begin, end)
+        if places is None:
+            nodes = self.lattice(text, begin, end, entries)
+            begun, same = begin, None
+        else:
+            head = self.lattice(text, begin, places[0], entries)
+            mask = 0
+            for bits in head.get(places[0], {}).values():
+                mask |= bits
+            same = tuple(entries[i] for i in range(mask.bit_length()) if mask >> i & 1)
+            begun = places[1]
+            nodes = self.lattice(text, begun, end, [(begun, None)])
         out = {}
-        for p in range(end if last else end - self.longest + 1, end + 1):
-            for x, bits in nodes.get(p, {}).items() if p > begin else ():
-                out[p, x] = tuple(entries[i] for i in range(bits.bit_length()) if bits >> i & 1)
+        for p in range(end if last else max(begun, end - self.longest + 1), end + 1):
+            if p == begun and places is not None:
+                if p > places[0] or p == 0:
+                    out[self.before(text, p)] = same
+                else:
+                    out |= {(p, x): tuple(entries[i] for i in range(bits.bit_length()) if bits >> i & 1) for x, bits in head[p].items()}
+                continue
+            for x, bits in nodes.get(p, {}).items() if p > begun else ():
+                out[p, x] = same if same is not None else tuple(entries[i] for i in range(bits.bit_length()) if bits >> i & 1)
         return out
 
-    def trace(self, text: str, begin: int, end: int, entry: tuple[int, str | None], leave: tuple[int, str | None]) -> list[str]:
-        """The chunk's pieces between two states."""
+    def along(self, text: str, begin: int, end: int, entry: tuple[int, str | None], leave: tuple[int, str | None]) -> list[str]:
+        """The pieces between two states by the lattice."""
         nodes = self.lattice(text, begin, end, [entry])
         out: list[str] = []
         p, x = leave
@@ -155,6 +199,26 @@ class Codec:
             x = next(y for y in nodes[p] if self.fits(y, x))
         return out[::-1]
 
+    def trace(self, text: str, begin: int, end: int, entry: tuple[int, str | None], leave: tuple[int, str | None]) -> list[int]:
+        """The chunk's ids between two states: units where no piece spans their ends, the lattice at the chunk's ends."""
+        places = self.syncs(text, begin, end)
+        if places is None or leave[0] < places[1]:
+            return self.numbers(self.along(text, begin, end, entry, leave))
+        first, last = places
+        out: list[int] = []
+        if entry[0] < first:
+            (piece,) = self.lattice(text, begin, first, [entry])[first]
+            out += self.numbers(self.along(text, begin, first, entry, (first, piece)))
+        for unit in UNIT.findall(text, first, last):
+            if (found := self.units.get(unit)) is None:
+                found = self.units[unit] = self.unit(unit)
+                if len(self.units) > CACHE:
+                    self.units.clear()
+            out += np.frombuffer(found, dtype="<i4").tolist()
+        if leave[0] > last:
+            out += self.numbers(self.along(text, last, end, (last, None), leave))
+        return out
+
     def numbers(self, pieces: list[str]) -> list[int]:
         """Ids of pieces; a character that is none becomes its bytes."""
         out: list[int] = []
@@ -167,7 +231,8 @@ class Codec:
 
     def walk(self, text: str) -> list[int]:
         """A text without the leading blank, by the lattice."""
-        return self.numbers(self.trace(text, 0, len(text), (0, None), next(iter(self.transfer(text, 0, len(text), True)))))
+        last = next(iter(self.lattice(text, 0, len(text), [(0, None)])[len(text)]))
+        return self.numbers(self.along(text, 0, len(text), (0, None), (len(text), last)))
 
 
 @functools.lru_cache(2)
@@ -245,7 +310,7 @@ def giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             for row in batch.to_pylist():
                 text, begin, end = bounds(row)
                 a, b = ((row[c]["p"] - row["first"], row[c]["x"]) for c in "ab")
-                ids = tool.numbers(tool.trace(text, begin, end, a, b))
+                ids = tool.trace(text, begin, end, a, b)
                 yield pa.RecordBatch.from_arrays([pa.array([row["uid"]]), pa.array([row["k"]]), pa.array([ids], pa.list_(pa.int32()))], ["uid", "k", "ids"])
 
     traced = parts.join(known, ["uid", "k"]).mapInArrow(back, "uid long, k long, ids array<int>")

@@ -25,7 +25,7 @@ def by_scan(text, chunk):
     cuts = [*range(0, len(s), chunk), len(s)]
     relations = [tool.transfer(s, a, b, b == len(s)) for a, b in zip(cuts, cuts[1:], strict=False)]
     at = pieces.states(relations)
-    return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in tool.numbers(tool.trace(s, a, b, at[k], at[k + 1]))]
+    return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in tool.trace(s, a, b, at[k], at[k + 1])]
 
 
 @settings(max_examples=150, deadline=None)
