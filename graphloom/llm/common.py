@@ -7,7 +7,6 @@ takes the single copy of an intermediate with it.
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
@@ -65,13 +64,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread(df: DataFrame, mb: int = 16) -> int:
-    """A number of partitions for ``df``: the session's, or more for very large inputs."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    return max(n, min(100_000, math.ceil(min(size, 1 << 50) / (mb << 20))))
-
-
 def text_chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about ``limit`` bytes together; a longer text comes alone."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
