@@ -151,12 +151,12 @@ def ring_keys(hashes: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
-def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int, turn: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that join classes of one segment whose fingerprints are within ``reach`` bits; ``same`` ascends.
+def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that join classes of one segment whose fingerprints are within ``reach`` bits, each class to the first found of its component.
 
-    Up to ``paired`` classes are all held against each other and each is linked to the first of its component.  More are
-    dealt to groups by their hash, the same groups in each segment; then REPS of each component, and the classes
-    without a link, are dealt anew by other bits, and so on while their number falls, TURNS times at least.
+    Up to ``paired`` classes are held against each other at once.  More are searched breadth first: a class is held against
+    all that no component has yet.  Either way no pair is passed over but pairs of one component; near copies of
+    one text cost one step for all, classes without links half their number squared.
     """
     n = len(same)
     if n <= paired:
@@ -169,85 +169,53 @@ def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int, turn: int
             label = least
         moved = label != np.arange(n)
         return [(same[moved], same[label[moved]])]
-    mixed = same.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * 0xD1342543DE82EF95 * turn & (1 << 64) - 1)
-    bits = (2 * n // paired).bit_length()
-    group = (mixed >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    edges = np.flatnonzero(np.diff(group[order])) + 1
-    out, again = [], []
-    for part in np.split(order, edges):
-        if len(part) > paired:
-            out += linked(same[part], fp[part], reach, paired, turn + 1)
-            again.append(part[:REPS])
-            continue
-        found = linked(same[part], fp[part], reach, paired)
-        out += found
-        member, first = found[0]
-        root = same[part].copy()
-        root[np.searchsorted(same[part], member)] = first
-        by = np.argsort(root, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], root[by][1:] != root[by][:-1]]))
-        rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
-        again.append(part[by[rank < REPS]])
-    rest = np.sort(np.concatenate(again))
-    if len(rest) < n or turn < TURNS:
-        out += linked(same[rest], fp[rest], reach, paired, turn + 1)
+    out = []
+    left = np.arange(n)
+    while len(left):
+        root, queue, left = left[0], [left[:1]], left[1:]
+        while queue and len(left):
+            for x in queue.pop():
+                near = np.bitwise_count(fp[left] ^ fp[x]) <= reach
+                if near.any():
+                    found, left = left[near], left[~near]
+                    out.append((same[found], np.full(len(found), same[root])))
+                    queue.append(found)
     return out
 
 
-#: Classes of a component that stand for it in the next turn, and turns that classes without links get at least.
-REPS, TURNS = 4, 4
-
-
 def ring_links(keys: DataFrame, reach: int, paired: int) -> DataFrame:
-    """Links (a, b) of rows (same, fp, key).
-
-    Rows are dealt by ranges of (key, same), so that a segment of a third of all classes spreads over many tasks, and
-    read in that order.  Where a segment goes on in the next range, REPS classes from each end of it are linked afterwards.
-    """
+    """Links (a, b) of rows (same, fp, key).  All rows of a segment are in one task and are one group."""
 
     def runs(batches):
         left: list[np.ndarray] = []
-        first = True
+        enough = 50_000
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 left.append(np.stack([batch.column(i).to_numpy() for i in range(3)]))
-                if sum(x.shape[1] for x in left) < 50_000:
+                if sum(x.shape[1] for x in left) < enough:
                     continue
             if not left:
                 break
             rows = np.concatenate(left, axis=1)
             cut = np.flatnonzero(np.diff(rows[0])) + 1
             if batch is not None and not len(cut):
-                left = [rows]
+                left, enough = [rows], 2 * rows.shape[1]
                 continue
             stop = rows.shape[1] if batch is None else int(cut[-1])
-            bounds = np.concatenate([[0], cut[cut < stop], [stop]])
-            yield rows[:, :stop], bounds, first, batch is None
-            left, first = [rows[:, stop:]] if batch is not None else [], False
+            yield rows[:, :stop], np.concatenate([[0], cut[cut < stop], [stop]])
+            left, enough = [rows[:, stop:]] if batch is not None else [], max(50_000, 2 * (rows.shape[1] - stop))
 
     def run(batches):
-        for rows, bounds, first, last in runs(batches):
-            a, b, ends = [], [], []
+        for rows, bounds in runs(batches):
+            found = []
             for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 some = slice(bounds[i], bounds[i + 1])
-                for x, y in linked(rows[1, some], rows[2, some].view(np.uint64), reach, paired):
-                    a.append(x), b.append(y)
-            for i in {*([0] if first else []), *([len(bounds) - 2] if last else [])}:
-                at = np.arange(bounds[i], bounds[i + 1])
-                ends.append(rows[:, np.unique(np.concatenate([at[:REPS], at[-REPS:]]))])
-            none = np.zeros((3, 0), dtype=np.int64)
-            x = np.concatenate([np.stack([np.concatenate(a), np.concatenate(b)]) if a else none[:2], np.zeros((2, len(np.concatenate(a)) if a else 0), dtype=np.int64)])
-            e = np.concatenate(ends, axis=1) if ends else none
-            rows_out = np.concatenate([x, np.stack([e[1], e[1], e[0], e[2]])], axis=1)
-            kind = np.arange(rows_out.shape[1]) >= x.shape[1]
-            yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows_out), pa.array(kind)], ["a", "b", "key", "fp", "end"])
-
-    dealt = keys.select("key", "same", "fp").repartitionByRange("key", "same").sortWithinPartitions("key", "same")
-    found = written(dealt.mapInArrow(run, "a long, b long, key long, fp long, end boolean"), "links")
-    ends = found.where("end").select("key", F.col("a").alias("same"), "fp").distinct()
-    over = ends.repartition(1).sortWithinPartitions("key", "same").mapInArrow(run, "a long, b long, key long, fp long, end boolean")  # at most 4 * REPS rows a task
-    return found.where("NOT end").select("a", "b").union(over.where("NOT end").select("a", "b")).where("a <> b").distinct()
+                found += linked(rows[1, some], rows[2, some].view(np.uint64), reach, paired)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = keys.select("key", "same", "fp").repartition("key").sortWithinPartitions("key", "same")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from graphloom.llm import simhash
@@ -105,6 +106,40 @@ def test_similar_sets(spark, paired):
             assert alike > 0.3 or i // 12 == j // 12 < 3 or got[i] != got[j]
 
 
+def hamming_components(fp, reach):
+    near = np.bitwise_count(fp[:, None] ^ fp[None]) <= reach
+    label = np.arange(len(fp))
+    while True:
+        least = np.where(near, label[None], len(fp)).min(1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def test_large_segment_is_whole():
+    """Pairs whose one side is absorbed by a large component early, among many classes of no link."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    copies = [base ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 7, replace=False))) for _ in range(700)]
+    tails = [copies[i] ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, 12, replace=False))) for i in range(0, 700, 7)]
+    fp = np.array([*copies, *tails, *rng.integers(0, 1 << 63, 600, dtype=np.uint64)], dtype=np.uint64)
+    same = np.sort(rng.choice(1 << 62, len(fp), replace=False))
+    fp = fp[rng.permutation(len(fp))]
+    label = dict(zip(same.tolist(), same.tolist(), strict=True))
+    for a, b in simhash.linked(same, fp, 14, 64):
+        label.update(zip(a.tolist(), b.tolist(), strict=True))
+    assert [label[x] for x in same.tolist()] == same[hamming_components(fp, 14)].tolist()
+
+
+def test_segment_over_many_tasks(spark):
+    """One segment of a chain: neighbours link, so all is one component however the rows are spread."""
+    fp = [(1 << k) - 1 for k in range(0, 63)]
+    rows = [(1000 + k, f, 7) for k, f in enumerate(fp)]
+    random.Random(1).shuffle(rows)
+    found = simhash.ring_links(spark.createDataFrame(rows, "same long, fp long, key long").repartition(16), 1, 8)
+    assert {(r["node"], r["component"]) for r in components(found).collect()} == {(1000 + k, 1000) for k in range(63)}
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {(r["node"], r["component"]) for r in components(links).collect()} == {(i, 0) for i in range(101)} | {(500, 500), (501, 500)}
