@@ -13,6 +13,7 @@ are linked to the smallest of them.  That is exact, linear, and at most 65 rows
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +155,15 @@ def ring_keys(hashes: np.ndarray, similarity: float) -> list[int]:
 def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links (a, b) that join classes of one segment whose fingerprints are within ``reach`` bits, each class to the first found of its component.
 
-    Up to ``paired`` classes are held against each other at once.  More are searched breadth first: a class is held against
-    all that no component has yet.  Either way no pair is passed over but pairs of one component; near copies of
-    one text cost one step for all, classes without links half their number squared.
+    ``fp`` has one column of words for each class, or is one word for each.  Up to ``paired`` classes are held against each
+    other at once.  More are searched breadth first: a class is held against all that no component has yet.  Either
+    way no pair is passed over but pairs of one component; near copies of one text cost one step for all,
+    classes without links half their number squared.
     """
     n = len(same)
+    fp = fp.reshape(-1, n)
     if n <= paired:
-        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= reach
+        near = sum(np.bitwise_count(x[:, None] ^ x[None]) for x in fp) <= reach
         label = np.arange(n)
         while True:
             least = np.where(near, label[None], n).min(1)
@@ -175,7 +178,7 @@ def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int) -> list[tu
         root, queue, left = left[0], [left[:1]], left[1:]
         while queue and len(left):
             for x in queue.pop():
-                near = np.bitwise_count(fp[left] ^ fp[x]) <= reach
+                near = np.bitwise_count(fp[:, left] ^ fp[:, x : x + 1]).sum(0) <= reach
                 if near.any():
                     found, left = left[near], left[~near]
                     out.append((same[found], np.full(len(found), same[root])))
@@ -184,14 +187,14 @@ def linked(same: np.ndarray, fp: np.ndarray, reach: int, paired: int) -> list[tu
 
 
 def ring_links(keys: DataFrame, reach: int, paired: int) -> DataFrame:
-    """Links (a, b) of rows (same, fp, key).  All rows of a segment are in one task and are one group."""
+    """Links (a, b) of rows (same, fp, fp2, key), fingerprints of 128 bits.  All rows of a segment are in one task and are one group."""
 
     def runs(batches):
         left: list[np.ndarray] = []
         enough = 50_000
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                left.append(np.stack([batch.column(i).to_numpy() for i in range(3)]))
+                left.append(np.stack([batch.column(i).to_numpy() for i in range(4)]))
                 if sum(x.shape[1] for x in left) < enough:
                     continue
             if not left:
@@ -210,26 +213,154 @@ def ring_links(keys: DataFrame, reach: int, paired: int) -> DataFrame:
             found = []
             for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 some = slice(bounds[i], bounds[i + 1])
-                found += linked(rows[1, some], rows[2, some].view(np.uint64), reach, paired)
+                found += linked(rows[1, some], rows[2:, some].view(np.uint64), reach, paired)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 
-    dealt = keys.select("key", "same", "fp").repartition("key").sortWithinPartitions("key", "same")
+    dealt = keys.select("key", "same", "fp", "fp2").repartition("key").sortWithinPartitions("key", "same")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED) -> DataFrame:
-    """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have about ``similarity`` or more.
+def shingled(text: str | None, words: int) -> tuple[bytes, np.ndarray]:
+    """The text in small letters and single blanks, and the set of its shingles' hashes, ascending."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    few = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in few] if found else [], dtype="<u8")
+    return b" ".join(found), np.unique(hashes)
+
+
+def bound(similarity: float, missed: float = 1e-7) -> int:
+    """Bits of 128 that the fingerprints of sets of this similarity exceed with odds under ``missed``."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    odds, bits = 1.0, -1
+    while odds > missed:
+        bits += 1
+        odds -= math.comb(128, bits) * share**bits * (1 - share) ** (128 - bits)
+    return bits
+
+
+def set_print(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingle hashes as two signed longs: the SimHash of the hashes and that of the hashes mixed."""
+    mixed = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    both = np.stack([hashes, mixed ^ mixed >> np.uint64(31)], axis=1)
+    bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+    a, b = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")
+    return int(a), int(b)
+
+
+class Sets:
+    """Shingle sets by place, with the places of each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        self.names, code = np.unique(every, return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.who = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.begin = np.append(0, np.cumsum(np.bincount(code, minlength=len(self.names))))
+
+    def near(self, some: np.ndarray, similarity: float) -> np.ndarray:
+        """Places of the sets whose Jaccard similarity to ``some`` is ``similarity`` at least."""
+        at = np.searchsorted(self.names, some)
+        at = at[at < len(self.names)]
+        at = at[np.isin(self.names[at], some)]
+        shared = np.bincount(np.concatenate([self.who[self.begin[k] : self.begin[k + 1]] for k in at] or [self.who[:0]]), minlength=len(self.size))
+        return np.flatnonzero((shared > 0) & (shared >= similarity * (self.size + len(some) - shared) - 1e-9))
+
+    def components(self, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+        """The first place of each set's component, breadth first."""
+        root = np.full(len(sets), -1)
+        for start in range(len(sets)):
+            if root[start] < 0:
+                root[start], queue = start, [start]
+                while queue and (root < 0).any():
+                    found = self.near(sets[queue.pop()], similarity)
+                    found = found[root[found] < 0]
+                    root[found] = start
+                    queue += found.tolist()
+        return root
+
+
+#: Shingles of a block, about: what a task holds at once when sets are compared.
+SHINGLES = 1_000_000
+
+
+def verified(members: DataFrame, words: int, similarity: float, shingles: int = SHINGLES) -> DataFrame:
+    """Links (a, b) between classes of rows (same, text, group, blocks): each pair of a group whose similarity is exactly ``similarity`` at least is joined by a path of them.
+
+    A group of more than ``shingles`` is dealt to blocks.  Those are searched each for itself, then one class of each
+    block against the others'.  The classes outside a group's largest component so far then go to all its other blocks.
+    """
+    placed = members.select("group", F.pmod(F.xxhash64("same"), F.col("blocks")).alias("block"), "blocks", "same", "text")
 
-    Fingerprints of sets as similar as that differ in up to a third of their 64 bits less than others: far too many for
-    segments of the fingerprint.  So the ring's segments are made of the shingle set, where similar sets have fewer
-    differences than segments, and pairs that share one are held to the full Hamming distance.  Texts of the same words
-    are one class from the start.  Of a segment that more than ``paired`` classes share see :func:`linked`.  Null or empty texts: one class.
-    A null id keeps its row; an empty table gives no rows; other columns are not read.
+    def grouped(batches, n: int):
+        """Rows of one group and block, which may go over batches; the first ``n`` columns tell groups apart."""
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[-1][:n] != row[:n]:
+                    yield rows
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def batched(pairs):
+        while some := list(itertools.islice(pairs, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["a", "b"])
+
+    def inside(n: int):
+        def run(batches):
+            for rows in grouped(batches, n):
+                if len(rows) > 1:
+                    sets = [shingled(r[-1], words)[1] for r in rows]
+                    root = Sets(sets).components(sets, similarity)
+                    yield from ((rows[i][-2], rows[j][-2]) for i, j in enumerate(root.tolist()) if i != j)
+
+        return lambda batches: batched(run(batches))
+
+    def across(batches):
+        group, held, same = None, [], []
+        for batch in batches:
+            for *now, foreign, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != group:
+                    group, held, same, ready = now, [], [], None
+                some = shingled(text, words)[1]
+                if not foreign:
+                    held.append(some), same.append(name)
+                elif held:
+                    ready = ready or Sets(held)
+                    yield from ((same[i], name) for i in ready.near(some, similarity).tolist())
+
+    dealt = placed.select("group", "block", "same", "text").repartition("group", "block").sortWithinPartitions("group", "block", "same")
+    found = written(dealt.mapInArrow(inside(2), "a long, b long"), "verified")
+    large = written(placed.where("blocks > 1"), "large")
+    if not large.limit(1).count():
+        return found
+    heads = large.groupBy("group", "block").agg(F.min(F.struct("same", "text")).alias("h")).select("group", "h.same", "h.text")
+    heads = heads.repartition("group").sortWithinPartitions("group", "same").mapInArrow(inside(1), "a long, b long")
+    found = written(found.union(heads), "verified")
+    joined = components(found)
+    part = large.select("group", "same").join(joined, F.col("same") == F.col("node"), "left").select("group", "same", F.coalesce("component", "same").alias("part"))
+    part = written(part, "parts")
+    most = part.groupBy("group", "part").count().groupBy("group").agg(F.max(F.struct("count", "part")).alias("m")).select("group", F.col("m.part").alias("most"))
+    other = part.join(most, "group").where("part <> most").select("same")
+    other = large.join(other, "same", "left_semi")
+    sent = other.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("`to` <> block")
+    both = large.select("group", "block", F.lit(False).alias("foreign"), "same", "text").union(sent.select("group", F.col("to"), F.lit(True), "same", "text"))
+    both = both.repartition("group", "block").sortWithinPartitions("group", "block", "foreign")
+    return written(found.union(both.mapInArrow(lambda batches: batched(across(batches)), "a long, b long")), "verified")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED, shingles: int = SHINGLES) -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    The ring's segments are made of the shingle set, where similar sets have fewer differences than segments.  Classes
+    that share one and whose fingerprints of the set are within :func:`bound` bits make candidate groups; in each of them
+    the sets themselves are compared (:func:`verified`).  Texts of the same words are one class from the start.
+    Null or empty texts: one class.  A null id keeps its row; an empty table gives no rows; other columns are not read.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    reach = int(64 * share + 1.6 * (64 * share * (1 - share)) ** 0.5)
 
     def run(batches):
         for batch in batches:
@@ -237,29 +368,37 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 part = batch.slice(start, end - start)
                 rows = []
                 for text in part.column(1).to_pylist():
-                    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                    fp, keys = 0, []
-                    if found:
-                        few = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-                        hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in few], dtype="<u8")
-                        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        fp = int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
-                        keys = ring_keys(hashes, similarity)
-                    rows.append((fp, xxhash.xxh3_64_intdigest(b" ".join(found)) - (1 << 63), keys))
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], ["id", "fp", "same", "keys"])
+                    plain, hashes = shingled(text, words)
+                    some = (*set_print(hashes), len(hashes), ring_keys(hashes, similarity)) if len(hashes) else (0, 0, 0, [])
+                    rows.append((xxhash.xxh3_64_intdigest(plain) - (1 << 63), *some))
+                kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["id", "same", "fp", "fp2", "n", "keys"])
+
+    def named(batches):
+        for batch in batches:
+            for start, end in text_chunks(batch, 0):
+                texts = batch.column(0).slice(start, end - start)
+                same = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), texts], ["same", "text"])
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, fp long, same long, keys array<long>"), "prints")
-    classes = prints.groupBy("same").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    classes = written(classes, "classes")
-    found = written(ring_links(classes.select("same", "fp", F.explode("keys").alias("key")), reach, paired), "near")
+    prints = written(few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, same long, fp long, fp2 long, n long, keys array<long>"), "prints")
+    first = [F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys")]
+    classes = written(prints.groupBy("same").agg(F.min("id").alias("least"), *first), "classes")
+    near = written(ring_links(classes.select("same", "fp", "fp2", F.explode("keys").alias("key")), bound(similarity), paired), "near")
+    group = components(near).select(F.col("node").alias("same"), F.col("component").alias("group")).join(classes.select("same", "n"), "same")
+    group = written(group, "groups")
+    blocks = group.groupBy("group").agg(F.ceil(F.sum("n") / shingles).cast("long").alias("blocks"))
+    wanted = small(written(group.join(blocks, "group").select("same", "group", "blocks"), "wanted"))
+    texts = few.select("text").mapInArrow(named, "same long, text string").join(wanted, "same")
+    members = texts.groupBy("same").agg(F.min("text").alias("text"), F.first("group").alias("group"), F.first("blocks").alias("blocks"))
+    found = verified(members, words, similarity, shingles)
     joined = components(found)
     whole = classes.join(joined, classes["same"] == joined["node"], "left").select("same", "least", F.coalesce("component", "same").alias("component"))
     whole = written(whole, "whole")
     best = written(whole.groupBy("component").agg(F.min("least").alias("component_id")), "best")
     answer = written(whole.join(best, "component").select("same", "component_id"), "answer")
-    release(found, classes, whole, best)
+    release(near, group, found, classes, whole, best)
     return prints.select("id", "same").join(answer, "same").select("id", "component_id")
 
 

@@ -134,12 +134,42 @@ def test_large_segment_is_whole():
 def test_segment_over_many_tasks(spark):
     """One segment of a chain: neighbours link, so all is one component however the rows are spread."""
     fp = [(1 << k) - 1 for k in range(0, 63)]
-    rows = [(1000 + k, f, 7) for k, f in enumerate(fp)]
+    rows = [(1000 + k, f, 0, 7) for k, f in enumerate(fp)]
     random.Random(1).shuffle(rows)
-    found = simhash.ring_links(spark.createDataFrame(rows, "same long, fp long, key long").repartition(16), 1, 8)
+    found = simhash.ring_links(spark.createDataFrame(rows, "same long, fp long, fp2 long, key long").repartition(16), 1, 8)
     assert {(r["node"], r["component"]) for r in components(found).collect()} == {(1000 + k, 1000) for k in range(63)}
 
 
+@pytest.mark.parametrize("shingles", [2000, 1_000_000])
+def test_similarity_is_exact(spark, shingles):
+    """Pairs just below 0.8 stay apart, those above and repeats of one shingle set are found, in one block or many."""
+    rows = []
+    for base in range(8):
+        words = [f"b{base}w{i}" for i in range(204)]  # 200 shingles
+        rows += [" ".join(words[: 204 - k] + [f"n{base}c{k}w{i}" for i in range(k)]) for k in (0, 1, 40, 60)]  # (200 - k) / (200 + k)
+        rows += [" ".join([f"f{base}c{k}w{i}" for i in range(18)] + words[18:]) for k in range(6)]  # 182 / 218
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) * 10 >= 8 * len(x | sets[j]) and root[i] != root[j]:
+                least, most = sorted((root[i], root[j]))
+                root = [least if r == most else r for r in root]
+    assert len(set(root)) > 8
+    words = [f"l{i}" for i in range(200)]
+    rows += [" ".join(words + ["x"] * n) for n in (5, 6, 900)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shingles=shingles).collect()}
+    assert [got[i] for i in range(len(rows))] == root + [len(sets)] * 3
+
+
+def test_blocks_of_one_group(spark):
+    """A group over many blocks has the components of the whole group: a chain of texts, each like the next only."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k + 1, " ".join(words[18 * k : 18 * k + 204]), 7, 6) for k in range(30)] + [(99, " ".join(words[::-1]), 7, 6)]
+    found = simhash.verified(spark.createDataFrame(rows, "same long, text string, group long, blocks long"), 5, 0.8)
+    assert {(r["node"], r["component"]) for r in components(found).collect()} == {(k + 1, 1) for k in range(30)}
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     assert {(r["node"], r["component"]) for r in components(links).collect()} == {(i, 0) for i in range(101)} | {(500, 500), (501, 500)}
