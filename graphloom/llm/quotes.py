@@ -2,7 +2,8 @@
 
 Lines that begin with > quote; as many > as a line begins with is its level.  Neighbouring lines of one level are a
 passage.  Its normalised digest is looked up among those of all messages of the conversation: their own text, its
-paragraphs and its lines.  The first message with that passage is its original; the latest original that a message
+paragraphs, lines and sentences.  The first message with that passage is its original; of a trimmed passage, paragraphs,
+lines and sentences are looked up, and the message that was first with the most of it is the original.  The latest original that a message
 quotes at level 1 is what it replies to.  Replies stand below their message, in the order of their turns.
 """
 
@@ -58,6 +59,30 @@ def own(body: str) -> list[str]:
     return [body, *re.split(r"\n[ \t]*\n", body), *lines]
 
 
+#: The end of a sentence.
+SENTENCE = re.compile(r"(?<=[.!?…])[\s]+|(?<=[。！？])")
+
+
+def pieces(text: str) -> list[str]:
+    """What a trimmed quotation can share with its original: paragraphs, lines and sentences, of lines and over them."""
+    lines = text.split("\n")
+    paragraphs = re.split(r"\n[ \t]*\n", text)
+    return [*paragraphs, *lines, *(x for y in (*lines, *paragraphs) for x in SENTENCE.split(y))]
+
+
+def asked_for(passages: list[tuple[int, str]]) -> list[dict]:
+    """Lookups of each passage: itself, which outweighs all others, and its pieces by their length."""
+    out = []
+    for at, (level, passage) in enumerate(passages):
+        for weight, some in ((1 << 40, [passage]), (0, sorted(set(pieces(passage))))):
+            seen: dict[tuple[int, int], int] = {}
+            for x in some:
+                for d in digests([x]):
+                    seen[d] = max(seen.get(d, 0), weight + len(normal(x)))
+            out += [{"at": at, "level": level, "d1": a, "d2": b, "weight": n} for (a, b), n in seen.items()]
+    return out
+
+
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows (conv_id, turn, role, reply_to, depth, path, n_quotes, n_linked, body, rendered), one for each message.
 
@@ -72,27 +97,30 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         for batch in batches:
             for start, end in text_chunks(batch, 3):
                 part = batch.slice(start, end - start)
-                bodies, said, quoted = [], [], []
+                bodies, said, quoted, counts = [], [], [], []
                 for text in part.column(3).to_pylist():
                     body, passages = parsed(text)
                     bodies.append(body)
-                    said.append([{"d1": a, "d2": b} for a, b in sorted(digests(own(body)))])
-                    quoted.append([{"level": n, "d1": a, "d2": b} for n, p in passages for a, b in digests([p]) or [(0, 0)]])
+                    said.append([{"d1": a, "d2": b} for a, b in sorted(digests([*own(body), *pieces(body)]))])
+                    quoted.append(asked_for(passages))
+                    counts.append(len(passages))
                 one = [("d1", pa.int64()), ("d2", pa.int64())]
-                kinds = pa.list_(pa.struct(one)), pa.list_(pa.struct([("level", pa.int32()), *one]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bodies, pa.string()), pa.array(said, kinds[0]), pa.array(quoted, kinds[1])], ["conv_id", "turn", "role", "body", "said", "quoted"])
+                kinds = pa.list_(pa.struct(one)), pa.list_(pa.struct([("at", pa.int32()), ("level", pa.int32()), *one, ("weight", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bodies, pa.string()), pa.array(said, kinds[0]), pa.array(quoted, kinds[1]), pa.array(counts, pa.int64())], ["conv_id", "turn", "role", "body", "said", "quoted", "n_quotes"])
 
     few = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     conv = few.schema["conv_id"].dataType.simpleString()
-    found = few.mapInArrow(parse, f"conv_id {conv}, turn long, role string, body string, said array<struct<d1: long, d2: long>>, quoted array<struct<level: int, d1: long, d2: long>>")
+    found = few.mapInArrow(parse, f"conv_id {conv}, turn long, role string, body string, said array<struct<d1: long, d2: long>>, quoted array<struct<at: int, level: int, d1: long, d2: long, weight: long>>, n_quotes long")
     rows = written(found.select(F.monotonically_increasing_id().alias("uid"), "*"), "messages")
-    asked = rows.where("size(quoted) > 0").select("conv_id", "turn", "uid", F.posexplode("quoted").alias("at", "q")).select("conv_id", "turn", "uid", "at", "q.*")
+    asked = rows.where("size(quoted) > 0").select("conv_id", "turn", "uid", F.explode("quoted").alias("q")).select("conv_id", "turn", "uid", "q.*")
     asked = written(asked, "quoted")
     wanted = written(asked.select("conv_id", "d1", "d2").distinct(), "wanted")
     spoken = rows.where("turn IS NOT NULL").select("conv_id", "turn", "uid", F.explode("said").alias("s")).select("conv_id", "turn", "uid", "s.*")
     first = spoken.join(wanted, ["conv_id", "d1", "d2"]).groupBy("conv_id", "d1", "d2").agg(F.min(F.struct("turn", "uid")).alias("o"))
     first = written(first, "originals")
     hits = asked.join(first, ["conv_id", "d1", "d2"]).where("o.turn < turn")
+    match = hits.groupBy("uid", "turn", "at", "level", "o").agg(F.sum("weight").alias("weight"))
+    hits = match.groupBy("uid", "turn", "at", "level").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "o")).alias("m")).select("uid", "turn", "at", "level", "m.o")
     replies = hits.groupBy("uid", "turn").agg(F.max(F.when(F.col("level") == 1, F.struct("o.turn", "o.uid"))).alias("o"), F.countDistinct("at").alias("n_linked"))
     replies = written(replies.select("uid", "turn", F.col("o.turn").alias("reply_to"), F.col("o.uid").alias("above"), "n_linked"), "replies")
     paths = above(replies.where("above IS NOT NULL").select("uid", "above", F.array("reply_to").alias("path")))
@@ -100,7 +128,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     path = F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn"))
     release(wanted, asked)
     return named.select(
-        "conv_id", "turn", "role", "reply_to", (F.size(path) - 1).cast("long").alias("depth"), path.alias("path"), F.size("quoted").cast("long").alias("n_quotes"),
+        "conv_id", "turn", "role", "reply_to", (F.size(path) - 1).cast("long").alias("depth"), path.alias("path"), "n_quotes",
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "body", F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "body", F.lit("\n")).alias("rendered"),
     )
 

@@ -66,3 +66,13 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "> a\nb"), (1, 1, "user", "> a\nb")], "conv_id long, turn long, role string, text string")
     assert sorted(tuple(r["path"]) for r in quotes.link(df).collect()) == [(0,), (0, 1), (0, 1)]
     assert quotes.link(df.where("turn > 5")).count() == 0
+
+
+def test_trimmed_quotes(spark):
+    """Some lines of a paragraph, some paragraphs, a sentence of a line; the longest match is the original."""
+    said = "Red one here.\nGreen two there. And more green.\nBlue three.\n\nSecond part.\n\nThird part, the longest of all."
+    quoted = ["> Green two there. And more green.\n> Blue three.", "> Second part.\n>\n> Third part, the longest of all.", "> And more green.", "> Blue three.\n> Third part, the longest of all."]
+    rows = [(1, 0, "user", "Blue three."), (1, 1, "user", said)] + [(1, 2 + i, "user", f"{q}\nanswer {i}") for i, q in enumerate(quoted)] + [(1, 9, "user", "> never said\nx")]
+    got = {r["turn"]: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[2 + i]["reply_to"], got[2 + i]["n_quotes"], got[2 + i]["n_linked"]) for i in range(4)] == [(1, 1, 1)] * 4
+    assert (got[9]["reply_to"], got[9]["n_quotes"], got[9]["n_linked"]) == (None, 1, 0)
