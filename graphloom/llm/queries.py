@@ -31,8 +31,8 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.dedup(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), passage=suffixes.PASSAGE)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def vocabulary(name: str) -> str:

@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import release, small, text_chunks, written
@@ -353,26 +353,20 @@ def verified(members: DataFrame, words: int, similarity: float, shingles: int =
     return written(found.union(both.mapInArrow(lambda batches: batched(across(batches)), "a long, b long")), "verified")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED, shingles: int = SHINGLES) -> DataFrame:
-    """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
-
-    The ring's segments are made of the shingle set, where similar sets have fewer differences than segments.  Classes
-    that share one and whose fingerprints of the set are within :func:`bound` bits make candidate groups; in each of them
-    the sets themselves are compared (:func:`verified`).  Texts of the same words are one class from the start.
-    Null or empty texts: one class.  A null id keeps its row; an empty table gives no rows; other columns are not read.
-    """
+def resolved(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, paired: int = PAIRED, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Rows (k1, k2, id, same), one for each row of ``docs``, and (same, component) of each class.  k1 and k2 are hashes of id and text."""
 
     def run(batches):
         for batch in batches:
-            for start, end in text_chunks(batch, 1):
+            for start, end in text_chunks(batch, 3):
                 part = batch.slice(start, end - start)
                 rows = []
-                for text in part.column(1).to_pylist():
+                for text in part.column(3).to_pylist():
                     plain, hashes = shingled(text, words)
                     some = (*set_print(hashes), len(hashes), ring_keys(hashes, similarity)) if len(hashes) else (0, 0, 0, [])
                     rows.append((xxhash.xxh3_64_intdigest(plain) - (1 << 63), *some))
                 kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["id", "same", "fp", "fp2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["k1", "k2", "id", "same", "fp", "fp2", "n", "keys"])
 
     def named(batches):
         for batch in batches:
@@ -381,32 +375,68 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 same = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), texts], ["same", "text"])
 
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, same long, fp long, fp2 long, n long, keys array<long>"), "prints")
-    first = [F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys")]
-    classes = written(prints.groupBy("same").agg(F.min("id").alias("least"), *first), "classes")
-    near = written(ring_links(classes.select("same", "fp", "fp2", F.explode("keys").alias("key")), bound(similarity), paired), "near")
+    few = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = written(few.mapInArrow(run, f"k1 long, k2 long, id {few.schema['id'].dataType.simpleString()}, same long, fp long, fp2 long, n long, keys array<long>"), "prints")
+    classes = written(prints.groupBy("same").agg(*(F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys"))), "classes")
+    near = written(contracted(ring_links(classes.select("same", "fp", "fp2", F.explode("keys").alias("key")), bound(similarity), paired)), "near")
     group = components(near).select(F.col("node").alias("same"), F.col("component").alias("group")).join(classes.select("same", "n"), "same")
     group = written(group, "groups")
     blocks = group.groupBy("group").agg(F.ceil(F.sum("n") / shingles).cast("long").alias("blocks"))
-    wanted = small(written(group.join(blocks, "group").select("same", "group", "blocks"), "wanted"))
-    texts = few.select("text").mapInArrow(named, "same long, text string").join(wanted, "same")
+    wanted = written(group.join(blocks, "group").select("same", "group", "blocks"), "wanted")
+    texts = few.select("text").mapInArrow(named, "same long, text string").join(small(wanted), "same")
     members = texts.groupBy("same").agg(F.min("text").alias("text"), F.first("group").alias("group"), F.first("blocks").alias("blocks"))
     found = verified(members, words, similarity, shingles)
     joined = components(found)
-    whole = classes.join(joined, classes["same"] == joined["node"], "left").select("same", "least", F.coalesce("component", "same").alias("component"))
-    whole = written(whole, "whole")
-    best = written(whole.groupBy("component").agg(F.min("least").alias("component_id")), "best")
+    whole = written(classes.select("same").join(joined, classes["same"] == joined["node"], "left").select("same", F.coalesce("component", "same").alias("component")), "whole")
+    release(near, group, wanted, found, classes)
+    return prints.select("k1", "k2", "id", "same"), whole
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """The same components with about one link a class: a class that links to several roots keeps the least, and those roots link to it."""
+    ends = links.groupBy("a").agg(F.collect_set("b").alias("all"))  # one for each segment of the class at most
+    least = F.array_min("all")
+    return ends.select("a", least.alias("b")).union(ends.where("size(all) > 1").select(F.explode("all").alias("a"), least.alias("b"))).where("a <> b").distinct()
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of a row's id and text: equal just for rows that repeat both."""
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(F.col(id_col), text, F.col(id_col).isNull()).alias("k1"), F.xxhash64(text, F.col(id_col), text.isNull(), F.lit(1)).alias("k2")]
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, paired: int = PAIRED, shingles: int = SHINGLES) -> DataFrame:
+    """Rows (id, component_id), one for each row of ``docs``: near-duplicates whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    The ring's segments are made of the shingle set, where similar sets have fewer differences than segments.  Classes
+    that share one and whose fingerprints of the set are within :func:`bound` bits make candidate groups; in each of them
+    the sets themselves are compared (:func:`verified`).  Texts of the same words are one class from the start.
+    Null or empty texts: one class.  A null id keeps its row; an empty table gives no rows; other columns are not read.
+    """
+    prints, whole = resolved(docs, id_col, text_col, words, similarity, paired, shingles)
+    least = prints.groupBy("same").agg(F.min("id").alias("least"))
+    best = written(whole.join(least, "same").groupBy("component").agg(F.min("least").alias("component_id")), "best")
     answer = written(whole.join(best, "component").select("same", "component_id"), "answer")
-    release(near, group, found, classes, whole, best)
+    release(whole, best)
     return prints.select("id", "same").join(answer, "same").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row left of each group of :func:`similar`: that of the smallest id, and of rows that repeat an id the first; a null id stays."""
-    named = similar(docs, id_col, text_col, words, similarity)
-    gone = small(written(named.where("id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone"))
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    twice = small(written(docs.groupBy(F.col(id_col).alias("_twice")).count().where("count > 1 AND _twice IS NOT NULL").select("_twice"), "twice"))
-    once = kept.join(twice, kept[id_col] == twice["_twice"], "left_anti")
-    return once.unionByName(kept.join(twice, kept[id_col] == twice["_twice"], "left_semi").dropDuplicates([id_col]))
+    """``docs`` with one row left of each group of :func:`similar`: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text, so a text that is like no other stays whatever id it has.  Of rows that
+    repeat both one is left.  Null and empty texts are one group; an empty table stays empty; all columns are kept.
+    """
+    prints, whole = resolved(docs, id_col, text_col, words, similarity)
+    classes = prints.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k1", "k2")).alias("row"))
+    best = written(whole.join(classes, "same").groupBy("component").agg(F.min("row").alias("row")), "best")
+    stay = best.select(F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"))
+    counted = written(prints.groupBy("k1", "k2").agg(F.count("*").alias("times")).join(stay.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").where("stays IS NULL OR times > 1"), "counted")
+    release(whole, best)
+    gone = small(counted.where("stays IS NULL").select("k1", "k2"))
+    twice = small(counted.where("stays").select("k1", "k2"))
+    names = {x: f"{x}_of_the_documents" for x in docs.columns if x in ("k1", "k2")}
+    keyed = docs.withColumnsRenamed(names).select("*", *row_key(names.get(id_col, id_col), names.get(text_col, text_col)))
+    kept = keyed.join(gone, ["k1", "k2"], "left_anti")
+    once = kept.join(twice, ["k1", "k2"], "left_anti").unionByName(kept.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return once.drop("k1", "k2").withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)

@@ -30,6 +30,8 @@ from graphloom.llm.common import CHUNK_BYTES, release, text_chunks, written
 from graphloom.llm.lcpsort import digest, longest_shared
 
 SPAN, GRAM = 400, 32
+#: A repeated passage has so many words; it is looked for by strings of so many bytes, which words of three letters and a blank reach.
+WORDS, PASSAGE = 50, 200
 #: Bits of a place in a buffer: a buffer has fewer bytes than that.
 PLACE = 20
 ODD = 0x100000001B3
@@ -209,14 +211,49 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(*columns).alias("k1"), F.xxhash64(*columns[::-1], F.lit(1)).alias("k2"), columns[1].alias("text"))
 
 
-def marked(docs: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
-    """``docs`` with column runs: pairs (from, to) of repeated bytes, or null."""
-    if not GRAM < span <= 1000:
-        raise ValueError(f"span is over {GRAM} and at most 1000")
-    found = marks(keyed(docs, id_col, text_col), span)
-    text = F.col(text_col).cast("string")
-    named = docs.withColumns({"k1": F.xxhash64(id_col, text), "k2": F.xxhash64(text, id_col, F.lit(1))})
-    return named.join(found.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
+def runs_of(docs: DataFrame, id_col: str, text_col: str, span: int, passage: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Tables (k1, k2, runs) of the bytes that strings of ``span`` bytes cover, and of those of ``passage`` bytes.
+
+    Where a shorter ``passage`` is asked for too, it goes first: strings of ``span`` bytes repeat only inside its runs,
+    so only those pieces are searched again.
+    """
+    if not GRAM < min(span, passage or span) <= max(span, passage or span) <= 1000:
+        raise ValueError(f"spans are over {GRAM} and at most 1000")
+    texts = keyed(docs, id_col, text_col)
+    if passage is None:
+        return marks(texts, span), None
+    if passage > span:
+        raise ValueError("a passage is at most as long as the span")
+    short = marks(texts, passage)
+
+    def cut_out(batches):
+        for batch in batches:
+            for start, end in text_chunks(batch, 2):
+                part = batch.slice(start, end - start)
+                out = [(k1, k2, a, text[a:b]) for k1, k2, text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True) for a, b in joined_runs([(r["a"], r["b"]) for r in runs]) if b - a >= span]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)], ["k1", "k2", "at", "text"])
+
+    long_ = short.where(f"exists(runs, r -> r.b - r.a >= {span}) OR size(runs) > 1")
+    pieces = texts.join(long_.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(cut_out, "k1 long, k2 long, at long, text binary")
+    pieces = written(pieces.select(F.xxhash64("k1", "k2", "at").alias("p1"), F.xxhash64("at", "k2", "k1").alias("p2"), "k1", "k2", "at", "text"), "pieces")
+    inside = marks(pieces.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), "text"), span)
+    moved = pieces.select("p1", "p2", "k1", "k2", "at").distinct().join(inside.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "runs"), ["p1", "p2"])
+    moved = moved.select("k1", "k2", F.expr("transform(runs, r -> struct(r.a + at AS a, r.b + at AS b))").alias("runs"))
+    whole = written(moved.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "whole")  # a text's own
+    release(pieces, inside)
+    return whole, short
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, span: int, passage: int | None = None) -> DataFrame:
+    """``docs`` with column runs: pairs (from, to) of repeated bytes, or null; with ``passage`` also column passages."""
+    whole, short = runs_of(docs, id_col, text_col, span, passage)
+    if short is not None:
+        whole = short.withColumnRenamed("runs", "passages").join(whole, ["k1", "k2"], "left")
+    names = {x: f"{x}_of_the_documents" for x in docs.columns if x in ("k1", "k2", "runs", "passages")}
+    own, text = names.get(id_col, id_col), F.col(names.get(text_col, text_col)).cast("string")
+    named = docs.withColumnsRenamed(names).withColumns({"k1": F.xxhash64(F.col(own), text), "k2": F.xxhash64(text, F.col(own), F.lit(1))})
+    return named.join(whole.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
 
 
 def cut(text: bytes, runs: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -226,37 +263,57 @@ def cut(text: bytes, runs: list[dict] | None) -> tuple[bytes, list[tuple[int, in
     return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)], strict=True)), spans
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` (with all its columns) with the remaining text, whose parts of cut signs are dropped, and its length in ``chars_col`` where there is one."""
+def passages(text: bytes, runs: list[dict] | None, words: int) -> list[tuple[int, int]]:
+    """The maximal runs that have ``words`` words at least."""
+    return [(a, b) for a, b in joined_runs([(r["a"], r["b"]) for r in runs or []]) if len(text[a:b].split()) >= words]
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = PASSAGE, words: int = WORDS, chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` (with all its columns) without repeated passages: maximal runs of repeated strings of ``span`` bytes that have ``words`` words at least.
+
+    Every copy goes, that in the same text too.  Parts of cut signs are dropped, and the length follows in ``chars_col``
+    where there is one.  Null and empty texts stay as they are; no row goes.
+    """
     both = marked(docs, id_col, text_col, span)
+    runs_col = both.columns[-1]
 
     def keep(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or not len(r) else cut(t.encode(), list(r))[0].decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)], dtype=object)
+        out = []
+        for t, r in zip(texts, runs, strict=True):
+            spans = passages(t.encode(), list(r), words) if t is not None and r is not None and len(r) else []
+            out.append(cut(t.encode(), [{"a": a, "b": b} for a, b in spans])[0].decode("utf-8", "ignore") if spans else t)
+        return pd.Series(out, dtype=object)
 
+    renamed = {f"{x}_of_the_documents": x for x in docs.columns if x in ("k1", "k2", "runs", "passages")}
     left = F.pandas_udf(keep, "string")
-    out = both.withColumn(text_col, left(F.col(text_col), F.col("runs"))).drop("runs")
+    out = both.withColumn("_left", left(F.col({v: k for k, v in renamed.items()}.get(text_col, text_col)).cast("string"), F.col(runs_col))).drop(runs_col).withColumnsRenamed(renamed).withColumn(text_col, F.col("_left")).drop("_left")
     return out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)).select(*docs.columns) if chars_col in docs.columns else out.select(*docs.columns)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, passage: int | None = None, words: int = WORDS) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans), one for each row of ``docs``.
 
     kept: the remaining bytes; spans: the removed runs as pairs (from, to).  Strings never cross rows and are judged on
-    the input.  Null or empty text: nothing to remove.  Null ids are kept; a repeated row is a copy like any other;
-    an empty table gives no rows; other columns are not read.
+    the input.  With ``passage`` also n_passages: maximal runs of repeated strings of ``passage`` bytes (at most
+    ``span``) that have ``words`` words at least; they are counted, not removed.  Null or empty text: nothing to remove.
+    Null ids are kept; a repeated row is a copy like any other; an empty table gives no rows; other columns are not read.
     """
-    both = marked(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, span).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), "runs")
+    both = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", span, passage)
+    both = both.select("id", "text", "runs", *["passages"] * (passage is not None))
 
     def remove(batches):
         for batch in batches:
             for start, end in text_chunks(batch, 1):
                 part = batch.slice(start, end - start)
-                out = []
-                for text, runs in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                out, found = [], []
+                asked = part.column(3).to_pylist() if passage is not None else [None] * part.num_rows
+                for text, runs, short in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), asked, strict=True):
                     left, spans = cut(text := text or b"", runs)
                     out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left, [{"a": a, "b": b} for a, b in spans]))
+                    found.append(len(passages(text, short, words)))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                more = [pa.array(found, pa.int64())] if passage is not None else []
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)), *more], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"] + ["n_passages"] * len(more))
 
     kind = both.schema["id"].dataType.simpleString()
-    return both.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a: long, b: long>>")
+    return both.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a: long, b: long>>" + ", n_passages long" * (passage is not None))

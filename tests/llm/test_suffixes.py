@@ -102,3 +102,50 @@ def test_key_ranges(spark, monkeypatch):
     got = {(r["d1"], r["d2"]): r["shared"] for r in lcpsort.longest_shared(df, lambda b: b.column("s").to_pylist(), len(every)).collect()}
     want = {lcpsort.digest(s): n for s, n in lcpsort.neighbours([lcpsort.decoded(lcpsort.front_coded(*lcpsort.run_of(list(every))))])}
     assert got == want
+
+
+def brute_passages(texts, span, words):
+    """Runs of repeated strings with enough words, and the texts without them."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + span] for d in data for i in range(len(d) - span + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d) + 2, dtype=int)
+        for i in range(len(d) - span + 1):
+            if seen[d[i : i + span]] > 1:
+                gone[i + 1 : i + span + 1] = 1
+        edges = np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+        spans = [(a, b) for a, b in edges.tolist() if len(d[a:b].split()) >= words]
+        ends = [0, *(b for _, b in spans)]
+        out.append((len(spans), b"".join(d[x:y] for x, y in zip(ends, [*(a for a, _ in spans), len(d)], strict=True))))
+    return out
+
+
+def prose(rng, n):
+    return " ".join(made(rng, "abcdefghé", rng.randint(2, 8)) for _ in range(n))
+
+
+def test_passages_beside_the_long_span(spark):
+    rng = random.Random(12)
+    shared = [prose(rng, n) for n in (30, 51, 55, 60, 90, 200)]
+    texts = [" ".join([prose(rng, rng.randint(0, 60)), rng.choice(shared), prose(rng, rng.randint(0, 60))]) for _ in range(60)]
+    texts += [shared[5] + " " + prose(rng, 9) + " " + shared[5], prose(rng, 300), "a" * 500, "a" * 500, "", None]
+    docs = spark.createDataFrame([(i, t, 1, "r") for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, runs string").repartition(3)
+    got = {r["id"]: r for r in suffixes.dedup(docs, passage=200).collect()}
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(len(texts))] == brute(texts, 400)
+    want = brute_passages(texts, 200, 50)
+    assert [got[i]["n_passages"] for i in range(len(texts))] == [n for n, _ in want] and sum(n for n, _ in want) > 40
+    left = suffixes.without_repeats(docs)
+    assert left.columns == docs.columns
+    rows = {r["doc_id"]: r for r in left.collect()}
+    assert [rows[i]["text"] if texts[i] is not None else "" for i in range(len(texts))] == [x.decode("utf-8", "ignore") for _, x in want]
+    assert rows[len(texts) - 1]["text"] is None and all(r["n_chars"] == len(r["text"]) for r in rows.values() if r["text"] is not None)
+    assert {r["runs"] for r in rows.values()} == {"r"}
+
+
+@pytest.mark.parametrize(("seed", "span", "passage"), [(1, 100, 60), (5, 80, 80), (6, 60, 40)])
+def test_two_spans_against_brute_force(spark, seed, span, passage):
+    texts = corpus(seed, span)
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"]) for r in suffixes.dedup(docs, span=span, passage=passage, words=2).collect())
+    assert got == Counter((*x, n) for x, (n, _) in zip(brute(texts, span), brute_passages(texts, passage, 2), strict=True))
