@@ -6,6 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from graphloom.llm import packing
 from tokenizers import Tokenizer
 
@@ -62,7 +64,7 @@ def test_least_cost_against_every_choice():
         best = [0.0]
         for i in range(1, len(at)):
             best.append(min(best[j] + window - (at[i] - at[j]) for j in range(i) if at[i] - at[j] <= window) + cost[i])
-        assert packing.best_cuts(at, cost, window)[0] == best
+        assert packing.best_cuts(at, cost, window)[0].tolist() == best
 
 
 def test_small_blocks_keep_order():
@@ -77,3 +79,32 @@ def test_small_blocks_keep_order():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_words_against_the_library(monkeypatch):
+    """Every kind of word, each text by itself and all together, with a cache that is emptied now and then."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3 + "àéîõüßñçÀÉÎÕÜÑÇÿœŒšİıſÅµªº"
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ".", ",", "!?", "'s", "'ll", "-x", "7", "e\u0301", "%&|", "\u00b2"]) for _ in range(4000)]
+    made += ["aaaaaaaaaaaaaaaaaaaaaa", "lalalalalala", "...", "''", "'S", "don'T.", "ß.", "ẞ", "Ǆ", "a" * 300, "<|startoftext|>.", "日本語。", "٣٤", "x\u00ady", "😀😀"]
+    texts = [rng.choice([" ", "\n", "\u00a0", "\u3000 "]).join(rng.choices(made, k=rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "a\x1cb \x1f c"]
+    plain = Tokenizer.from_file(PATH)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    monkeypatch.setattr(packing, "CACHE", 2000)
+    for step in (7, 404):
+        got = [ids.tolist() for i in range(0, len(texts), step) for ids, _ in packing.encoded_all(pa.array(texts[i : i + step], pa.string()), PATH)]
+        assert got == want
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "long", "decimal(20,0)", "string", "binary", "date"])
+def test_ids_of_any_type(spark, kind):
+    docs = spark.createDataFrame([(i % 7 if i else None, f"text number {i} . " * (i + 1)) for i in range(20)], "doc_id int, text string")
+    docs = docs.selectExpr("date_add(date'2020-01-01', doc_id) AS doc_id" if kind == "date" else f"CAST(CAST(doc_id AS STRING) AS {kind}) AS doc_id", "text").repartition(2)
+    out = packing.pack(docs, PATH)
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    got, want = {}, {}
+    for r in out.collect():
+        got[str(r["doc_id"])] = got.get(str(r["doc_id"]), 0) + r["length"]
+    for r in docs.collect():
+        want[str(r["doc_id"])] = want.get(str(r["doc_id"]), 0) + len(packing.encoded(r["text"], PATH)[0])
+    assert got == want and "None" in got
