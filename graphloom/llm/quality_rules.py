@@ -2,8 +2,12 @@
 
 Rates of each text become counts in a mergeable sketch: an integer below 64 is its own bucket, a larger one keeps its
 six leading bits, so that a bucket is at most 1/32 wide and sketches merge by adding counts.  The sketch of each
-(language, source) gives the quartiles; a small group's are those of its language, a small language's those of all.
-A text over a rate's upper fence is not kept.
+(language, source) is merged with PRIOR rows dealt as its language's, and that with PRIOR rows dealt as all, so a small
+group leans on its language without any switch.  Its quantiles give the group's fences:
+
+- symbols, repeated lines and repeated words: WIDER times the quantile of TAIL; a text is over it only by more than
+  DEVIATIONS standard deviations of a count, so that one or two of them in a short text say nothing;
+- characters a word: FENCE quartile distances below the lower and above the upper quartile.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from graphloom.llm.common import release, small, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Below so many rows a group's quartiles are those of the wider group.
-ENOUGH = 200
-#: Fences lie FENCE quartile distances over the upper quartile; a distance counts as the value here at least (per thousand).
-FENCE = 3
-SPREADS = {"symbols": 50, "lines": 150, "repeats": 80, "length": 1500}
-
+#: Rows dealt as the wider group's that each sketch is merged with.
+PRIOR = 100
+#: Percentiles that hold what is usual: up to a tenth of a source may be strewn with symbols, a hundredth repeats itself.
+TAIL = {"symbols": 90, "lines": 99, "repeats": 99}
+#: Fences over the percentile, in halves; and those of the characters a word, in quartile distances.
+WIDER, FENCE = 3, 3
+DEVIATIONS = 3
 
 def measured(text: Column) -> dict[str, Column]:
     """First the arrays that the counts need: words, and \\n-split lines that have a word."""
@@ -55,50 +60,63 @@ def counted(rows: DataFrame) -> DataFrame:
     ).drop("whole", "words", "lines", "three", "twice")
 
 
-RATES = {
-    "symbols": "n_symbols * 1000 div greatest(n_words, 1)",
-    "lines": "n_dup_lines * 1000 div greatest(n_lines, 1)",
-    "repeats": "n_repeat_words * 1000 div greatest(n_words, 1)",
-    "length": "word_chars * 1000 div greatest(n_words, 1)",
-}
+#: What is counted, and among how many.
+PARTS = {"symbols": ("n_symbols", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "length": ("word_chars", "n_words")}
+RATES = {k: f"{n} * 1000 div greatest({of}, 1)" for k, (n, of) in PARTS.items()}
 #: Bucket of a rate v, and the largest rate of bucket b.
 BUCKET = "IF(v < 64, v, (length(bin(v)) - 6) * 32 + shiftright(v, CAST(length(bin(v)) - 6 AS INT)))"
 VALUE = "IF(b < 64, b, shiftleft(b - (b div 32 - 1) * 32 + 1, CAST(b div 32 - 1 AS INT)) - 1)"
 
 
 def sketches(metrics: DataFrame) -> DataFrame:
-    """(lang, source, rate, b, n): one mergeable sketch for each language, source and rate, from rows that pass the base rules."""
+    """(l, s, rate, b, n): one mergeable sketch for each language, source and rate, from rows that pass the base rules."""
     rates = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), F.expr(v).alias("v")) for k, v in RATES.items())))
-    each = metrics.where("NOT base_failed").select("lang", "source", rates.alias("r")).select("lang", "source", "r.rate", F.col("r.v").alias("v"))
-    return each.select("lang", "source", "rate", F.expr(BUCKET).alias("b")).groupBy("lang", "source", "rate", "b").agg(F.count("*").alias("n"))
+    each = metrics.where("NOT base_failed").select("l", "s", rates.alias("r")).select("l", "s", "r.rate", F.col("r.v").alias("v"))
+    return each.select("l", "s", "rate", F.expr(BUCKET).alias("b")).groupBy("l", "s", "rate", "b").agg(F.count("*").cast("double").alias("n"))
+
 
+def merged(sketch: DataFrame) -> DataFrame:
+    """(l, s, rate, b, w): each sketch with PRIOR rows dealt as its language's, which has PRIOR rows dealt as all.
+
+    Weights are whole numbers in doubles: counts times N (all rows) times the language's rows and PRIOR.  A group has a
+    row for each bucket of all, at most 64 + 32 * 58 a rate.
+    """
+    every = sketch.groupBy("rate", "b").agg(F.sum("n").alias("of_all"))
+    total = every.groupBy("rate").agg(F.sum("of_all").alias("total"))
+    langs = sketch.groupBy("l", "rate", "b").agg(F.sum("n").alias("of_lang"))
+    sizes = langs.groupBy("l", "rate").agg(F.sum("of_lang").alias("in_lang"))
+    wide = sizes.join(every.join(total, "rate"), "rate").join(langs, ["l", "rate", "b"], "left")
+    wide = wide.select("l", "rate", "b", (F.col("total") * (F.col("in_lang") + PRIOR)).alias("unit"), (F.coalesce("of_lang", F.lit(0.0)) * F.col("total") + PRIOR * F.col("of_all")).alias("share"))
+    groups = sketch.select("l", "s", "rate").distinct().join(wide, ["l", "rate"]).join(sketch, ["l", "s", "rate", "b"], "left")
+    return groups.select("l", "s", "rate", "b", (F.coalesce("n", F.lit(0.0)) * F.col("unit") + PRIOR * F.col("share")).alias("w"))
 
-def fences(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, one upper fence a rate) of sketches merged by ``keys``; the windows are over the buckets of a sketch, at most 64 + 32 * 58."""
-    one = merged.groupBy(*keys, "rate", "b").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rate")
-    run = one.withColumns({"up": F.sum("n").over(group.orderBy("b")), "all": F.sum("n").over(group)})
 
-    def quartile(k: int) -> Column:
-        return F.min(F.when(F.col("up") * 4 >= F.col("all") * k, F.expr(VALUE)))
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(l, s, f_symbols, f_lines, f_repeats, f_least, f_most) for each language and source; the windows are over the buckets of a sketch."""
+    group = Window.partitionBy("l", "s", "rate")
+    run = merged(sketch).withColumns({"up": F.sum("w").over(group.orderBy("b")), "all": F.sum("w").over(group)})
 
-    found = run.groupBy(*keys, "rate").agg(F.max("all").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    spread = F.element_at(F.create_map(*(F.lit(x) for kv in SPREADS.items() for x in kv)), F.col("rate"))
-    fence = F.col("q3") + FENCE * F.greatest(F.col("q3") - F.col("q1"), spread)
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("rate") == r, fence)).alias(f"f_{r}") for r in RATES))
+    def percentile(k: int) -> Column:
+        return F.min(F.when(F.col("up") * 100 >= F.col("all") * k, F.expr(VALUE)))
 
+    found = run.groupBy("l", "s", "rate").agg(*(percentile(k).alias(f"q{k}") for k in (25, 75, 90, 99)))
+    fence = {f"f_{r}": (r, F.expr(f"q{k} * {WIDER} div 2")) for r, k in TAIL.items()}
+    fence |= {"f_least": ("length", F.col("q25") - FENCE * (F.col("q75") - F.col("q25"))), "f_most": ("length", F.col("q75") + FENCE * (F.col("q75") - F.col("q25")))}
+    return found.groupBy("l", "s").agg(*(F.max(F.when(F.col("rate") == r, f)).alias(name) for name, (r, f) in fence.items()))
 
-def thresholds(sketch: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """(lang, source, f_*) for each language and source that has a row: of its own sketch, its language's or that of all."""
-    names = [f"f_{r}" for r in RATES]
-    whole = fences(sketch, []).select(*names).first()  # one row
-    lang = fences(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("n").alias("n_lang"), *(F.col(c).alias(f"lang_{c}") for c in names))
-    own = fences(sketch, ["lang", "source"])
-    rows = own.join(lang, own["lang"].eqNullSafe(lang["_lang"]))
-    return rows.select("lang", "source", *(F.when(F.col("n") >= enough, F.col(c)).when(F.col("n_lang") >= enough, F.col(f"lang_{c}")).otherwise(F.lit(whole[c] if whole else None)).alias(c) for c in names))
 
+def over(rate: str) -> str:
+    """Whether a text has significantly more than the fence f allows: x = count - f * n / 1000 with x > 0 and x^2 > DEVIATIONS^2 (f * n / 1000 + 1)."""
+    n, of = PARTS[rate]
+    allowed, excess = f"CAST(f_{rate} AS DOUBLE) * {of} / 1000", f"(CAST({n} AS DOUBLE) - CAST(f_{rate} AS DOUBLE) * {of} / 1000)"
+    return f"({excess} > 0 AND {excess} * {excess} > {DEVIATIONS**2} * ({allowed} + 1))"
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", enough: int = ENOUGH) -> DataFrame:
+
+#: A text is out where it is over a fence; one whose group has none isn't.
+OUT = "coalesce(" + " OR ".join([*map(over, TAIL), f"({RATES['length']}) < f_least", f"({RATES['length']}) > f_most"]) + ", false)"
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Rows (id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, kept, f_*), one for each of ``docs``.
 
     Null text: no words, base_failed.  A null language or source is a group like any other; null ids and repeated rows
@@ -106,16 +124,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("_text"))
     rows = counted(named.withColumns(measured(F.col("_text"))).drop("_text"))
-    metrics = written(rows.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "metrics")
+    keys = {k: F.coalesce(F.concat(F.lit("="), c), F.lit("")) for k, c in (("l", "lang"), ("s", "source"))}  # null is a value too
+    metrics = written(rows.withColumns({"base_failed": F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"), **keys}), "metrics")
     sketch = written(sketches(metrics), "sketch")
-    limits = written(thresholds(sketch, enough), "limits")
+    limits = written(thresholds(sketch), "limits")
     release(sketch)
-    limits = small(limits).withColumnsRenamed({"lang": "_l", "source": "_s"})
-    judged = metrics.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
-    over = F.lit(False)
-    for r, rate in RATES.items():
-        over = over | (F.expr(rate) > F.coalesce(f"f_{r}", F.expr(rate)))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~over)
+    judged = metrics.join(small(limits), ["l", "s"], "left").drop("l", "s")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.expr(OUT))
 
 
 ORACLE = rf"""
@@ -142,25 +157,28 @@ rated AS (
     SELECT lang, source, u.rate AS rate, u.v AS v
     FROM (SELECT lang, source, unnest([{{'rate': 'symbols', 'v': symbols}}, {{'rate': 'lines', 'v': lines}}, {{'rate': 'repeats', 'v': repeats}}, {{'rate': 'length', 'v': length}}]) AS u FROM rated WHERE NOT base_failed)
 ), sketch AS (
-    SELECT lang, source, rate, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b, count(*) AS n FROM long GROUP BY ALL
-), levels AS (
-    SELECT 1 AS level, lang, source, rate, b, n FROM sketch
-    UNION ALL SELECT 2, lang, NULL, rate, b, sum(n) FROM sketch GROUP BY lang, rate, b
-    UNION ALL SELECT 3, NULL, NULL, rate, b, sum(n) FROM sketch GROUP BY rate, b
+    SELECT lang, source, rate, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY ALL
+), every AS (SELECT rate, b, sum(n) AS of_all FROM sketch GROUP BY ALL),
+langs AS (SELECT lang, rate, b, sum(n) AS of_lang FROM sketch GROUP BY ALL),
+sizes AS (SELECT lang, rate, sum(of_lang) AS in_lang FROM langs GROUP BY ALL),
+wide AS (
+    SELECT z.lang, z.rate, e.b, in_lang, sum(of_all) OVER (PARTITION BY z.lang, z.rate) AS total, coalesce(of_lang, 0) AS of_lang, of_all
+    FROM sizes z JOIN every e USING (rate) LEFT JOIN langs g ON g.lang IS NOT DISTINCT FROM z.lang AND g.rate = z.rate AND g.b = e.b
 ), run AS (
-    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY b) AS up, sum(n) OVER (PARTITION BY level, lang, source, rate) AS every,
-           CASE WHEN b < 64 THEN b ELSE ((b - (b // 32 - 1) * 32 + 1) << (b // 32 - 1)) - 1 END AS value FROM levels
-), quartiles AS (
-    SELECT level, lang, source, rate, max(every) AS n, min(value) FILTER (up * 4 >= every) AS q1, min(value) FILTER (up * 4 >= every * 3) AS q3 FROM run GROUP BY ALL
+    SELECT lang, source, rate, b, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY b) AS up, sum(w) OVER (PARTITION BY lang, source, rate) AS every,
+           CASE WHEN b < 64 THEN b ELSE ((b - (b // 32 - 1) * 32 + 1) << (b // 32 - 1)) - 1 END AS value
+    FROM (
+        SELECT g.lang, g.source, g.rate, w.b, coalesce(k.n, 0) * total * (in_lang + {PRIOR}) + {PRIOR} * (of_lang * total + {PRIOR} * of_all) AS w
+        FROM (SELECT DISTINCT lang, source, rate FROM sketch) g JOIN wide w ON w.lang IS NOT DISTINCT FROM g.lang AND w.rate = g.rate
+        LEFT JOIN sketch k ON k.lang IS NOT DISTINCT FROM g.lang AND k.source IS NOT DISTINCT FROM g.source AND k.rate = g.rate AND k.b = w.b
+    )
+), quantiles AS (
+    SELECT lang, source, rate, {", ".join(f"min(value) FILTER (up * 100 >= every * {k}) AS q{k}" for k in (25, 75, 90, 99))} FROM run GROUP BY ALL
 ), fence AS (
-    SELECT level, lang, source, rate, n, q3 + {FENCE} * greatest(q3 - q1, CASE rate {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SPREADS.items())} END) AS f FROM quartiles
-), chosen AS (
-    SELECT a.lang, a.source, a.rate, CASE WHEN a.n >= {ENOUGH} THEN a.f WHEN b.n >= {ENOUGH} THEN b.f ELSE c.f END AS f
-    FROM fence a JOIN fence b ON a.level = 1 AND b.level = 2 AND a.lang IS NOT DISTINCT FROM b.lang AND a.rate = b.rate JOIN fence c ON c.level = 3 AND c.rate = a.rate
-), wide AS (
-    SELECT lang, source, max(f) FILTER (rate = 'symbols') AS f1, max(f) FILTER (rate = 'lines') AS f2, max(f) FILTER (rate = 'repeats') AS f3, max(f) FILTER (rate = 'length') AS f4 FROM chosen GROUP BY ALL
+    SELECT lang, source, {", ".join(f"max(q{k} * {WIDER} // 2) FILTER (rate = '{r}') AS f_{r}" for r, k in TAIL.items())},
+           max(q25 - {FENCE} * (q75 - q25)) FILTER (rate = 'length') AS f_least, max(q75 + {FENCE} * (q75 - q25)) FILTER (rate = 'length') AS f_most FROM quantiles GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (symbols > coalesce(f1, symbols) OR lines > coalesce(f2, lines) OR repeats > coalesce(f3, repeats) OR length > coalesce(f4, length)) AS kept
-FROM rated r LEFT JOIN wide w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
+       NOT base_failed AND NOT coalesce({" OR ".join(map(over, TAIL))} OR length < f_least OR length > f_most, false) AS kept
+FROM rated r LEFT JOIN fence w ON r.lang IS NOT DISTINCT FROM w.lang AND r.source IS NOT DISTINCT FROM w.source
 """

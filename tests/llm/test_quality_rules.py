@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 from graphloom.llm import quality_rules as rules
 
@@ -40,23 +41,36 @@ def top(b):
 
 def test_counts_and_verdicts(spark):
     rows = corpus()
-    got = rules.judge(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, kept int"), enough=40).collect()
+    got = rules.judge(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, kept int")).collect()
     assert sorted((r["id"] or 0, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == sorted((i or 0, *brute(t)) for i, t, _, _ in rows)
-    rates = lambda r: {"symbols": r["n_symbols"] * 1000 // max(1, r["n_words"]), "lines": r["n_dup_lines"] * 1000 // max(1, r["n_lines"]), "repeats": r["n_repeat_words"] * 1000 // max(1, r["n_words"]), "length": r["word_chars"] * 1000 // max(1, r["n_words"])}
+    parts = {"symbols": ("n_symbols", "n_words"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "length": ("word_chars", "n_words")}
+    rate = lambda r, k: r[parts[k][0]] * 1000 // max(1, r[parts[k][1]])
     good = [r for r in got if not r["base_failed"]]
 
-    def fence(rate, some):
-        values = sorted(bucket(rates(r)[rate]) for r in some)
-        q1, q3 = (top(values[-(-len(values) * k // 4) - 1]) for k in (1, 3))
-        return q3 + 3 * max(q3 - q1, rules.SPREADS[rate])
+    def quantile(k, r, percent):
+        """Of the group with a hundred rows dealt as the language's, which has a hundred dealt as all."""
+        lang = [x for x in good if x["lang"] == r["lang"]]
+        own = [x for x in lang if x["source"] == r["source"]]
+        weight = Counter()
+        for some, w in ((own, 1), (lang, Fraction(100, len(lang) + 100)), (good, Fraction(100, len(lang) + 100) * Fraction(100, len(good)))):
+            for x in some:
+                weight[bucket(rate(x, k))] += w
+        up = 0
+        for b in sorted(weight):
+            up += weight[b]
+            if up * 100 >= sum(weight.values()) * percent:
+                return top(b)
 
     for r in got:
-        limits = {}
-        for rate in rules.RATES:
-            own = [x for x in good if (x["lang"], x["source"]) == (r["lang"], r["source"])]
-            lang = [x for x in good if x["lang"] == r["lang"]]
-            limits[rate] = fence(rate, own if len(own) >= 40 else lang if len(lang) >= 40 else good) if own else 10**9
-        assert r["kept"] == (not r["base_failed"] and all(v <= limits[k] for k, v in rates(r).items())), r
+        out = False
+        if any((x["lang"], x["source"]) == (r["lang"], r["source"]) for x in good):
+            for k, percent in (("symbols", 90), ("lines", 99), ("repeats", 99)):
+                allowed = Fraction(quantile(k, r, percent) * 3 // 2 * r[parts[k][1]], 1000)
+                x = r[parts[k][0]] - allowed
+                out |= x > 0 and x * x > 9 * (allowed + 1)
+            q1, q3 = (quantile("length", r, p) for p in (25, 75))
+            out |= not q1 - 3 * (q3 - q1) <= rate(r, "length") <= q3 + 3 * (q3 - q1)
+        assert r["kept"] == (not r["base_failed"] and not out), r
     assert 0 < sum(r["kept"] for r in got) < len(good)
 
 
