@@ -15,11 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of fixed width (at most 64 bytes) that is ever broadcast explicitly: about 13 MB.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes that are ever broadcast explicitly at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Bytes of text that a Python worker turns over at once.
 CHUNK_BYTES = 1 << 20
 
@@ -47,8 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`written` that no later result reads."""
+def release(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Deletes tables made by :func:`written` that no later result reads.
+
+    ``shuffles``: Spark deletes shuffle files when the driver's JVM finds that nothing refers to them; it is asked to look.
+    """
+    if shuffles and tables:
+        tables[0].sparkSession._jvm.System.gc()
     for df in tables:
         path = df._graphloom_path
         jvm = df.sparkSession._jvm
@@ -56,12 +61,24 @@ def release(*tables: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged: then the join shuffles.
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row has."""
+    out = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f"`{f.name}`")
+        size = F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind in ("array<bigint>", "array<double>") else F.length(F.to_json(F.struct(c))) if "<" in kind else F.lit(8)
+        out = out + 8 + F.coalesce(size, F.lit(0))
+    return out
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else unchanged: then the join shuffles.
 
-    Counting needs no more than ``rows + 1`` rows.
+    Measuring needs no more than ``rows + 1`` rows.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def text_chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -4,11 +4,13 @@ log P(l | all) = text likelihood + log P(declared | l) + log P(suffix | l) + log
 
 The text's likelihood comes from hashed byte trigrams.  The other three come from grouped counts of the languages
 that the texts alone suggest: P(declared | l) and P(suffix | l) with additive smoothing, P(l | host) shrunk to its
-domain's share and that to the share of all, by PRIOR and DOMAIN pseudo-counts.
+domain's share and that to the share of all, by PRIOR and DOMAIN pseudo-counts.  One class more, UNKNOWN, takes texts
+of no learnt language: half of its trigrams are dealt evenly, half as all languages' together.
 """
 
 from __future__ import annotations
 
+import html
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import release, small, text_chunks, written
 
-#: Rows with a declared language that a fit uses at most (those of the least hashes) and characters of each.
-SAMPLE, PIECE = 4000, 2000
-#: Declared languages of fewer sample rows are not learnt; no more than MOST are.
-LEAST, MOST = 5, 64
+#: Rows of each declared language that a fit uses, about: those whose texts have the least hashes.  Of a text over
+#: LONG trigrams all count, together as LONG.
+SAMPLE, LONG = 1000, 4000
+#: Languages that so many rows of the whole table declare are learnt, the MOST most frequent: a table of 64 KB each.
+LEAST, MOST = 5, 128
+UNKNOWN = "und"
 BUCKETS = 1 << 14
 #: Trigrams are dependent: n of them count as n / (1 + n / TEMPER).
 TEMPER = 400.0
@@ -51,39 +55,65 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return who[:-2][good], bucket[good].astype(np.int64)
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` rows of ``rows`` (text, declared) and PIECE characters of each, which come to the driver."""
+def plain(texts: pa.Array, entities: bool) -> list[bytes]:
+    """The texts' bytes; with ``entities``, what HTML's character references stand for."""
+    if not entities:
+        return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    return [(html.unescape(t) if t and "&" in t else t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+
+
+def train(rows: DataFrame, sample: int = SAMPLE, entities: bool = False) -> Model:
+    """A model of ``rows`` (text, declared): about ``sample`` texts of each language, and whole ones.
+
+    Languages are counted over all rows, so that a rare one is learnt like any other.  Only trigram counts come to the
+    driver, at most MOST times BUCKETS.
+    """
     known = rows.where("declared IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, 2.0 * sample / max(1, known.count()))
-    known = known.select("declared", F.substring("text", 1, PIECE).alias("piece"), F.xxhash64("text", "declared").alias("h"))
-    if share < 1:  # about twice the sample, wherever the rows are; repeated texts are one
-        known = known.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = known.dropDuplicates(["declared", "h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h", "declared").limit(sample).collect()
-    by: dict[str, list[bytes]] = {}
-    for r in found:
-        by.setdefault(r["declared"], []).append(r["piece"].encode())
-    languages = sorted((x for x in by if len(by[x]) >= LEAST), key=lambda x: (-len(by[x]), x))[:MOST] or sorted(by)[:MOST] or ["und"]
-    table = np.zeros((len(languages), BUCKETS))
-    for i, x in enumerate(languages):
-        counts = np.bincount(trigrams(by.get(x, []))[1], minlength=BUCKETS) + 0.5
-        table[i] = np.log(counts / counts.sum())
-    return Model(languages, table.astype(np.float32))
-
-
-def likelihoods(rows: DataFrame, model: Model, rest: list[str]) -> DataFrame:
+    sizes = known.groupBy("declared").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "declared").limit(MOST).collect()
+    if not sizes:
+        return Model([UNKNOWN], np.zeros((1, BUCKETS), dtype=np.float32))
+    spark = rows.sparkSession
+    shares = spark.createDataFrame([(r["declared"], min(1 << 30, (sample << 30) // r["count"])) for r in sizes], "declared string, share long")
+    h = F.xxhash64("text", "declared")
+    some = known.join(F.broadcast(shares), "declared").withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < F.col("share")).dropDuplicates(["declared", "h"])
+
+    def count(batches):
+        for batch in batches:
+            for start, end in text_chunks(batch, 0):
+                part = batch.slice(start, end - start)
+                names = np.array(part.column(1).to_pylist(), dtype=object)
+                who, bucket = trigrams(plain(part.column(0), entities))
+                weight = np.minimum(1.0, LONG / np.maximum(1, np.bincount(who, minlength=len(names))))
+                for name in sorted(set(names)):
+                    counts = np.bincount(bucket[names[who] == name], weights=weight[who[names[who] == name]], minlength=BUCKETS)
+                    at = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.round(counts[at] * 1024), pa.float64())], ["declared", "bucket", "n"])
+
+    counted = some.select("text", "declared").mapInArrow(count, "declared string, bucket int, n double").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = [r["declared"] for r in sizes]
+    counts = np.zeros((len(languages), BUCKETS))
+    counts[counted["declared"].map(languages.index).to_numpy(dtype=np.int64), counted["bucket"].to_numpy()] = counted["n"].to_numpy() / 1024
+    counts += np.maximum(1, (counts > 0).sum(1, keepdims=True)) / BUCKETS  # as much for what was not seen as there were different trigrams
+    shares_ = counts / counts.sum(1, keepdims=True)
+    table = np.log(np.concatenate([shares_, [(shares_.mean(0) + 1 / BUCKETS) / 2]]))
+    return Model([*languages, UNKNOWN], table.astype(np.float32))
+
+
+def likelihoods(rows: DataFrame, model: Model, rest: list[str], entities: bool = False) -> DataFrame:
     """Columns ``rest``, n (trigrams) and ll (each language's tempered log likelihood) of column text."""
 
     def run(batches):
         for batch in batches:
             for start, end in text_chunks(batch, 0):
                 part = batch.slice(start, end - start)
-                texts = [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
+                texts = plain(part.column(0), entities)
                 who, bucket = trigrams(texts)
                 n = np.bincount(who, minlength=len(texts))
                 weight = 1.0 / np.maximum(n, 1) * (n / (1 + n / TEMPER))
-                ll = np.stack([np.bincount(who, weights=row[bucket], minlength=len(texts)) for row in model.table], axis=1) * weight[:, None]
+                ll = np.stack([np.bincount(who, weights=row[bucket], minlength=len(texts)) for row in sent.value], axis=1) * weight[:, None]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64()), pa.array(list(ll), pa.list_(pa.float64()))], [*rest, "n", "ll"])
 
+    sent = rows.sparkSession.sparkContext.broadcast(model.table)
     few = rows.select(F.col("text").cast("string").alias("text"), *rest)
     return few.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema.fields[1:]) + ", n long, ll array<double>")
 
@@ -94,19 +124,19 @@ def declared(value: Column) -> Column:
     return F.when(tag != "", tag)
 
 
-def identify(rows: DataFrame, model: Model | None = None, confident: float = CONFIDENT, id_col: str = "id") -> DataFrame:
+def identify(rows: DataFrame, model: Model | None = None, confident: float = CONFIDENT, id_col: str = "id", entities: bool = False) -> DataFrame:
     """Rows (id, language, confidence, n_trigrams, kept), one for each of ``rows`` (id, text, declared, suffix, host; the last three may be null).
 
-    kept: the text has a trigram with a letter and the language's probability is ``confident`` at least.  A null or empty
-    text has no trigrams: its language is that of its other evidence, and it is not kept.  A null declaration or suffix
+    kept: the text has a trigram with a letter, its language is a learnt one, not UNKNOWN, and that has a probability of
+    ``confident`` at least.  ``entities``: the texts come from HTML, with character references.  A null or empty text has no trigrams: its language is that of its other evidence, and it is not kept.  A null declaration or suffix
     is no evidence, a null host has the prior of all.  Null ids and repeated rows are kept, further columns not read; an
     empty table gives no rows.  A host with a third of all rows is counted before the shuffle and split in the join.
     """
     rows = rows.select(F.col(id_col).alias("id"), "text", "declared", "suffix", "host")
-    model = model or train(rows)
+    model = model or train(rows, entities=entities)
     languages = model.languages
     few = rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    seen = written(likelihoods(few, model, ["id", "declared", "suffix", "host", "domain"]), "likelihoods")
+    seen = written(likelihoods(few, model, ["id", "declared", "suffix", "host", "domain"], entities), "likelihoods")
     sure = seen.where("n > 0").withColumn("best", F.array_position("ll", F.array_max("ll")))
     sums = [F.sum((F.col("best") == i + 1).cast("long")).cast("double").alias(f"c{i}") for i in range(len(languages))]
     hosts = written(sure.groupBy("host", "domain").agg(*sums), "hosts")
@@ -140,7 +170,7 @@ def identify(rows: DataFrame, model: Model | None = None, confident: float = CON
     odds = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     out = out.select("id", F.element_at(names, F.array_position("s", F.col("top")).cast("int")).alias("language"), (1 / odds).alias("confidence"), F.col("n").alias("n_trigrams"))
     release(hosts)
-    return out.withColumn("kept", (F.col("n_trigrams") > 0) & (F.col("confidence") >= confident))
+    return out.withColumn("kept", (F.col("n_trigrams") > 0) & (F.col("language") != UNKNOWN) & (F.col("confidence") >= confident))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -149,9 +179,9 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def pages(raw: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Evidence of raw web pages: visible text, the markup's lang attribute, the address's last label and its host."""
+    """Evidence of raw web pages: visible text (with its character references), the markup's lang attribute, the address's last label and its host."""
     host = F.regexp_extract(F.lower(F.col(url_col)), r"^[^:/?#]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     tag = F.regexp_extract(F.col(html_col), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9_-]+)""", 1)
-    text = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&#?\w+;", " ")
+    text = F.regexp_replace(F.regexp_replace(F.col(html_col), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     rows = raw.select(F.col(id_col).alias("id"), text.alias("text"), declared(tag).alias("declared"), F.when(host != "", host).alias("host"))
     return rows.withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))

@@ -21,7 +21,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator over raw pages, where all four kinds of evidence occur."""
-    found = language.identify(language.pages(table(spark, sf_dir, "pages")))
+    found = language.identify(language.pages(table(spark, sf_dir, "pages")), entities=True)
     return found.select(F.col("id").alias("page_id"), "language", "confidence", "n_trigrams", "kept")
 
 
@@ -31,7 +31,7 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.dedup(table(spark, sf_dir, "documents"), passage=suffixes.PASSAGE)
+    found = suffixes.dedup(table(spark, sf_dir, "documents"), passage=suffixes.PASSAGE, with_kept=False)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 

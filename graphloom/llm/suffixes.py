@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,11 +120,37 @@ def marks(keyed: DataFrame, span: int = SPAN) -> DataFrame:
     hit = written(whole.unionByName(partly), "hit")
     found = places.join(hit, ["s1", "s2"]).select("k1", "k2", "at", F.explode("runs").alias("run"))
     runs = found.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") + F.col("run.a")).alias("a"), (F.col("at") + F.col("run.b")).alias("b"))).alias("runs"))
-    out = written(runs, "runs")
-    release(places, kinds, busy, hit)
+    out = written(maximal(runs), "runs")
+    release(places, kinds, busy, hit, shuffles=True)
     return out
 
 
+RUN_TYPE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+
+
+def maximal(rows: DataFrame) -> DataFrame:
+    """(k1, k2, runs) with the maximal runs that overlapping or touching ones make."""
+
+    def join(batches):
+        for batch in batches:
+            runs = batch.column(2)
+            sizes = np.asarray(pc.list_value_length(runs), dtype=np.int64)
+            who = np.repeat(np.arange(len(sizes)), sizes)
+            values = runs.flatten()
+            a, b = (np.asarray(values.field(k)) for k in (0, 1))
+            order = np.lexsort((a, who))
+            who, a, b = who[order], a[order], b[order]
+            base = who * (int(b.max(initial=0)) + 2)  # so that the rows' runs lie apart
+            reach = np.maximum.accumulate(b + base) if len(b) else b
+            first = np.flatnonzero(np.concatenate([[True], (a + base)[1:] > reach[:-1]])) if len(b) else who
+            last = np.append(first[1:], len(b)) - 1 if len(b) else who
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(who[first], minlength=len(sizes)))])
+            joined = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(reach[last] - base[last])], fields=list(RUN_TYPE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), joined)], ["k1", "k2", "runs"])
+
+    return rows.select("k1", "k2", "runs").mapInArrow(join, "k1 long, k2 long, runs array<struct<a: long, b: long>>")
+
+
 def partial(keyed: DataFrame, asked: DataFrame, span: int) -> DataFrame:
     """Rows (s1, s2, runs) of the asked-for contexts that came once and have repeated windows."""
 
@@ -193,16 +219,13 @@ def partial(keyed: DataFrame, asked: DataFrame, span: int) -> DataFrame:
     return out
 
 
-def joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The maximal runs that overlapping or touching ones make."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def pairs(runs: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Each row's runs, in order."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(runs), 0), dtype=np.int64)
+    values = runs.flatten()
+    every = list(zip(*(np.asarray(values.field(k)).tolist() for k in (0, 1)), strict=True))
+    ends = np.cumsum(sizes).tolist()
+    return [sorted(every[end - n : end]) if n else [] for n, end in zip(sizes.tolist(), ends, strict=True)]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -230,18 +253,18 @@ def runs_of(docs: DataFrame, id_col: str, text_col: str, span: int, passage: int
         for batch in batches:
             for start, end in text_chunks(batch, 2):
                 part = batch.slice(start, end - start)
-                out = [(k1, k2, a, text[a:b]) for k1, k2, text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True) for a, b in joined_runs([(r["a"], r["b"]) for r in runs]) if b - a >= span]
+                out = [(k1, k2, a, text[a:b]) for k1, k2, text, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.binary()).to_pylist(), pairs(part.column(3)), strict=True) for a, b in runs if b - a >= span]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)], ["k1", "k2", "at", "text"])
 
-    long_ = short.where(f"exists(runs, r -> r.b - r.a >= {span}) OR size(runs) > 1")
+    long_ = short.where(f"exists(runs, r -> r.b - r.a >= {span})")
     pieces = texts.join(long_.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(cut_out, "k1 long, k2 long, at long, text binary")
     pieces = written(pieces.select(F.xxhash64("k1", "k2", "at").alias("p1"), F.xxhash64("at", "k2", "k1").alias("p2"), "k1", "k2", "at", "text"), "pieces")
     inside = marks(pieces.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), "text"), span)
     moved = pieces.select("p1", "p2", "k1", "k2", "at").distinct().join(inside.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "runs"), ["p1", "p2"])
     moved = moved.select("k1", "k2", F.expr("transform(runs, r -> struct(r.a + at AS a, r.b + at AS b))").alias("runs"))
-    whole = written(moved.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "whole")  # a text's own
-    release(pieces, inside)
+    whole = written(moved.groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "whole")  # a text's own, which lie apart
+    release(pieces, inside, shuffles=True)
     return whole, short
 
 
@@ -256,16 +279,17 @@ def marked(docs: DataFrame, id_col: str, text_col: str, span: int, passage: int
     return named.join(whole.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
 
 
-def cut(text: bytes, runs: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes that are left, and the maximal runs that went."""
-    spans = joined_runs([(r["a"], r["b"]) for r in runs or []])
+def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes that are left without the spans, which lie apart and in order."""
+    if not spans:
+        return text
     ends = [0, *(b for _, b in spans)]
-    return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)], strict=True)), spans
+    return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)], strict=True))
 
 
-def passages(text: bytes, runs: list[dict] | None, words: int) -> list[tuple[int, int]]:
-    """The maximal runs that have ``words`` words at least."""
-    return [(a, b) for a, b in joined_runs([(r["a"], r["b"]) for r in runs or []]) if len(text[a:b].split()) >= words]
+def passages(text: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The spans that have ``words`` words at least."""
+    return [(a, b) for a, b in spans if len(text[a:b].split()) >= words]
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = PASSAGE, words: int = WORDS, chars_col: str = "n_chars") -> DataFrame:
@@ -280,8 +304,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keep(texts: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
         for t, r in zip(texts, runs, strict=True):
-            spans = passages(t.encode(), list(r), words) if t is not None and r is not None and len(r) else []
-            out.append(cut(t.encode(), [{"a": a, "b": b} for a, b in spans])[0].decode("utf-8", "ignore") if spans else t)
+            spans = passages(t.encode(), sorted((x["a"], x["b"]) for x in r), words) if t is not None and r is not None else []
+            out.append(cut(t.encode(), spans).decode("utf-8", "ignore") if spans else t)
         return pd.Series(out, dtype=object)
 
     renamed = {f"{x}_of_the_documents": x for x in docs.columns if x in ("k1", "k2", "runs", "passages")}
@@ -290,10 +314,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)).select(*docs.columns) if chars_col in docs.columns else out.select(*docs.columns)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, passage: int | None = None, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, passage: int | None = None, words: int = WORDS, with_kept: bool = True) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans), one for each row of ``docs``.
 
-    kept: the remaining bytes; spans: the removed runs as pairs (from, to).  Strings never cross rows and are judged on
+    kept: the remaining bytes; spans: the removed runs as pairs (from, to); both only ``with_kept``.  Strings never cross rows and are judged on
     the input.  With ``passage`` also n_passages: maximal runs of repeated strings of ``passage`` bytes (at most
     ``span``) that have ``words`` words at least; they are counted, not removed.  Null or empty text: nothing to remove.
     Null ids are kept; a repeated row is a copy like any other; an empty table gives no rows; other columns are not read.
@@ -306,14 +330,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
             for start, end in text_chunks(batch, 1):
                 part = batch.slice(start, end - start)
                 out, found = [], []
-                asked = part.column(3).to_pylist() if passage is not None else [None] * part.num_rows
-                for text, runs, short in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), asked, strict=True):
-                    left, spans = cut(text := text or b"", runs)
-                    out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left, [{"a": a, "b": b} for a, b in spans]))
+                asked = pairs(part.column(3)) if passage is not None else [[]] * part.num_rows
+                for text, spans, short in zip(part.column(1).cast(pa.binary()).to_pylist(), pairs(part.column(2)), asked, strict=True):
+                    left = cut(text := text or b"", spans)
+                    out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), *[left, [{"a": a, "b": b} for a, b in spans]] * with_kept))
                     found.append(len(passages(text, short, words)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-                more = [pa.array(found, pa.int64())] if passage is not None else []
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)), *more], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"] + ["n_passages"] * len(more))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary(), pa.list_(RUN_TYPE)] * with_kept)
+                more = [pa.array(found, pa.int64())] * (passage is not None)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)), *more], names)
 
     kind = both.schema["id"].dataType.simpleString()
-    return both.mapInArrow(remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<a: long, b: long>>" + ", n_passages long" * (passage is not None))
+    columns = [("id", kind), *((c, "long") for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", "string")]
+    columns += [("kept", "binary"), ("spans", "array<struct<a: long, b: long>>")] * with_kept + [("n_passages", "long")] * (passage is not None)
+    names = [c for c, _ in columns]
+    return both.mapInArrow(remove, ", ".join(f"{c} {t}" for c, t in columns))

@@ -57,7 +57,8 @@ def brute(rows, model):
             score.append(v)
         top = max(score)
         p = 1 / sum(math.exp(x - top) for x in score)
-        out.append((name, names[score.index(top)], round(p, 6), n > 0 and p >= 0.5))
+        best_name = names[score.index(top)]
+        out.append((name, best_name, round(p, 6), n > 0 and p >= 0.5 and best_name != "und"))
     return sorted(out, key=str)
 
 
@@ -79,5 +80,35 @@ def test_documents_pages_and_empty(spark):
     assert lang.identify(lang.documents(docs.where("doc_id < 0"))).count() == 0
     raw = spark.createDataFrame([(1, "https://U@WWW.Ex.ORG:80/a?b", "<html class=x lang='fr-CA'><script>the</script><p>le&amp;é</p>"), (2, None, None)], "page_id long, url string, html string")
     one, two = lang.pages(raw).orderBy("id").collect()
-    assert (one["declared"], one["suffix"], one["host"], one["text"].split()) == ("fr", "org", "www.ex.org", ["le", "é"])
+    assert (one["declared"], one["suffix"], one["host"], one["text"].split()) == ("fr", "org", "www.ex.org", ["le&amp;é"])
     assert (two["text"], two["declared"], two["host"]) == (None, None, None)
+
+
+def prose(rng, name, n):
+    return " ".join(rng.choices(WORDS[name], k=n))
+
+
+def test_rare_languages_are_learnt_and_unknown_ones_rejected(spark):
+    """Ten of 3,000 rows declare German; French is declared by nobody; what stands late in a long text counts."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, "en", 40), "en", "s") for i in range(2990)] + [(5000 + i, "1 2 3 " * 2000 + prose(rng, "de", 60), "de", "s") for i in range(10)]
+    rows += [(6000 + i, prose(rng, "de", 40), None, "t") for i in range(5)] + [(7000 + i, "éàé ôui quéau mèntéàu çàüï " * 8, None, "t") for i in range(5)]
+    got = {r["id"]: r for r in lang.identify(lang.documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert all(got[i]["language"] == "en" and got[i]["kept"] for i in range(2990))
+    assert all(got[i]["language"] == "de" and got[i]["kept"] for i in [*range(5000, 5010), *range(6000, 6005)])
+    assert all(got[i]["language"] == "und" and not got[i]["kept"] for i in range(7000, 7005))
+
+
+def test_sample_of_each_language_is_bounded(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(prose(rng, x, 30), x) for x in ["en"] * 900 + ["fr"] * 30 + ["de"] * 4], "text string, declared string")
+    model = lang.train(rows, sample=50)
+    assert model.languages == ["en", "fr", "und"] and model.table.shape == (3, lang.BUCKETS)
+    assert np.allclose(np.exp(model.table.astype(float)).sum(1), 1, atol=1e-3)
+
+
+def test_character_references(spark):
+    raw = spark.createDataFrame([(i, "http://a.example.org/", f"<html lang='{x}'><p>{t}") for i, (x, t) in enumerate([("de", "f&uuml;r &#246;ffnen und sch&ouml;n " * 9), ("en", "the thing with &amp; " * 9)] * 6)], "page_id long, url string, html string")
+    got = {r["id"]: r for r in lang.identify(lang.pages(raw), entities=True).collect()}
+    assert all(got[i]["language"] == ["de", "en"][i % 2] for i in range(12))
+    assert 0 <= got[0]["n_trigrams"] - len(lang.trigrams(["für öffnen und schön ".encode() * 9])[1]) <= 2  # blanks around
