@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Nodes up to which a dense inverse is made by one task; the result has the square of it entries.
 DENSE = 4096
+#: Nodes up to which power iteration runs on the driver.
+SMALL = 500
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir and read again, which ends its lineage; outside a cluster Spark's own checkpoint does."""
+    """``df`` written below spark.checkpoint.dir and read again, which ends its lineage.
+
+    Without that setting a local session gets a folder of its own, deleted at exit; a cluster a ValueError.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._graphloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by :func:`saved` that no later result reads."""
+    if path := getattr(df, "_graphloom_path", None):
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def identity(nodes: DataFrame, value: float = 1.0) -> DataFrame:
@@ -96,8 +115,8 @@ def rescale_laplacian(laplacian: DataFrame, nodes: DataFrame, largest_eigval: fl
 def power_iteration(a: DataFrame, nodes: DataFrame, max_iter: int = 100, tol: float = 1e-10) -> float:
     """The norm of A v after steps v = A v / |A v| from sin(i + 1) / sqrt(n): never negative.
 
-    A driver loop whose steps are a join and a sum; only the norm and the change come to the driver.  For graphs of up to
-    DENSE nodes the steps run in one task over the collected entries, which are DENSE ** 2 at most.
+    A driver loop whose steps are a join and a sum; only the norm and the change come to the driver.  The entries of
+    graphs of up to SMALL nodes, SMALL ** 2 at most, come there whole.
     """
     from graphloom.operators.linalg import spmv
     from graphloom.sources.graph import ilocs
@@ -106,11 +125,10 @@ def power_iteration(a: DataFrame, nodes: DataFrame, max_iter: int = 100, tol: fl
     if not n:
         return 0.0
     places = ilocs(nodes)
-    if n <= DENSE:
-        at = {r["id"]: r["iloc"] for r in places.collect()}
+    if n <= SMALL:
+        rows = placed(a, places).toPandas()
         block = np.zeros((n, n))
-        for r in a.groupBy("src", "dst").agg(F.sum("w").alias("w")).collect():
-            block[at[r["src"]], at[r["dst"]]] = r["w"]
+        np.add.at(block, (rows["i"].to_numpy(), rows["j"].to_numpy()), rows["w"].to_numpy())
         v = np.sin(np.arange(n) + 1.0) / np.sqrt(n)
         value = 0.0
         for _ in range(max_iter):
@@ -122,7 +140,8 @@ def power_iteration(a: DataFrame, nodes: DataFrame, max_iter: int = 100, tol: fl
                 break
             v = u / value
         return value
-    v = saved(places.select("id", (F.sin(F.col("iloc") + 1.0) / F.lit(float(np.sqrt(n)))).alias("v")))
+    a = saved(a.select("src", "dst", "w"))
+    held = v = saved(places.select("id", (F.sin(F.col("iloc") + 1.0) / F.lit(float(np.sqrt(n)))).alias("v")))
     value = 0.0
     for _ in range(max_iter):
         u = saved(nodes.join(spmv(a, v), "id", "left").select("id", F.coalesce("v", F.lit(0.0)).alias("v")))
@@ -131,12 +150,22 @@ def power_iteration(a: DataFrame, nodes: DataFrame, max_iter: int = 100, tol: fl
             return 0.0
         new = u.withColumn("v", F.col("v") / value)
         change = new.join(v.withColumnRenamed("v", "_v"), "id").agg(F.sum(F.abs(F.col("v") - F.col("_v")))).first()[0]
-        v = new
+        dropped(held)
+        held, v = u, new
         if change < tol:
             break
+    dropped(held)
+    dropped(a)
     return value
 
 
+def placed(a: DataFrame, places: DataFrame) -> DataFrame:
+    """(i, j, w): entries by the dense positions of their nodes."""
+    rows = a.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    rows = rows.join(places.select(F.col("id").alias("src"), F.col("iloc").alias("i")), "src")
+    return rows.join(places.select(F.col("id").alias("dst"), F.col("iloc").alias("j")), "dst").select("i", "j", "w")
+
+
 def inverted(block: np.ndarray) -> np.ndarray:
     """The inverse; LinAlgError where elimination meets a pivot of 1e-15 of the largest entry or less."""
     n, bound = len(block), 1e-15 * np.abs(block).max(initial=0.0)
@@ -154,22 +183,39 @@ def inverted(block: np.ndarray) -> np.ndarray:
 
 
 def invert(a: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The dense inverse (src, dst, w), by one task; ValueError beyond DENSE nodes: its result grows with their square."""
+    """The dense inverse (src, dst, w), by one task; ValueError beyond DENSE nodes: its result grows with their square.
+
+    A singular matrix raises LinAlgError.  Entries reach the task, and the inverse leaves it, in Arrow batches; the driver
+    has neither.
+    """
     from graphloom.sources.graph import ilocs
 
     if nodes.limit(DENSE + 1).count() > DENSE:
         raise ValueError(f"a dense inverse is limited to {DENSE} nodes; propagate instead")
-    ids = [r["id"] for r in ilocs(nodes).orderBy("iloc").collect()]
-    at = {x: i for i, x in enumerate(ids)}
-    block = np.zeros((len(ids), len(ids)))
-    for r in a.groupBy("src", "dst").agg(F.sum("w").alias("w")).collect():
-        block[at[r["src"]], at[r["dst"]]] = r["w"]
-    out = inverted(block) if ids else block
-    spark = a.sparkSession
-    rows = [(ids[i], [float(x) for x in out[i]]) for i in range(len(ids))]
-    order = F.array(*(F.lit(x) for x in ids)) if ids else F.array().cast("array<long>")
-    wide = spark.createDataFrame(rows, "src long, w array<double>")
-    return wide.select("src", F.explode(F.arrays_zip(order.alias("dst"), F.col("w").alias("w"))).alias("e")).select("src", F.col("e")["dst"].alias("dst"), F.col("e")["w"].alias("w"))
+    places = saved(ilocs(nodes))
+    n = places.count()
+    if not n:
+        return a.select("src", "dst", "w").where("false")
+
+    def run(batches):
+        block = np.zeros((n, n))
+        for batch in batches:
+            i, j, w = (np.asarray(c) for c in batch.columns)
+            np.add.at(block, (i, j), w)
+        try:
+            out = inverted(block)
+        except np.linalg.LinAlgError:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.float64())], ["i", "j", "w"])
+            return
+        for i in range(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n)), pa.array(out[i])], ["i", "j", "w"])
+
+    one = a.sparkSession.range(1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("w"))  # the task runs without entries too
+    found = saved(placed(a, places).unionByName(one).repartition(1).mapInArrow(run, "i long, j long, w double"))
+    if found.where("i IS NULL").limit(1).count():
+        raise np.linalg.LinAlgError("Singular matrix")
+    named = found.join(F.broadcast(places.select(F.col("id").alias("src"), F.col("iloc").alias("i"))), "i")
+    return named.join(F.broadcast(places.select(F.col("id").alias("dst"), F.col("iloc").alias("j"))), "j").select("src", "dst", "w")
 
 
 def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:

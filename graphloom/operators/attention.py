@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import activations
-from graphloom.operators.linalg import activate, filled, gather, weights
+from graphloom.operators import wide
+from graphloom.operators.adjacency import saved
+from graphloom.operators.linalg import gather
 
 #: Nodes up to which rows are paired with all nodes (empty rows, weighted masks, saliency with nu).
 DENSE = 5000
@@ -42,81 +44,87 @@ class GraphAttention:
         self.bias = np.zeros((self.attn_heads, self.units))
         return self
 
-    def projected(self, features: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """h(id, head, j, v) and scores(id, head, s, t)."""
-        spark = features.sparkSession
-        kernel = weights(spark, self.kernels, "hkj").withColumnsRenamed({"h": "head", "v": "_w"})
-        h = features.join(kernel, "k").groupBy("id", "head", "j").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
-        attn = weights(spark, self.attn, "hpj").groupBy("h", "j").agg(F.sum(F.when(F.col("p") == 0, F.col("v"))).alias("_s"), F.sum(F.when(F.col("p") == 1, F.col("v"))).alias("_t")).withColumnRenamed("h", "head")
-        scores = h.join(F.broadcast(attn), ["head", "j"]).groupBy("id", "head").agg(F.sum(F.col("v") * F.col("_s")).alias("s"), F.sum(F.col("v") * F.col("_t")).alias("t"))
-        return h, scores
-
-    def logits(self, pairs: DataFrame, scores: DataFrame) -> DataFrame:
-        left = scores.select(F.col("id").alias("src"), "head", "s")
-        right = scores.select(F.col("id").alias("dst"), "head", "t")
-        e = activations.scalar("leaky_relu", F.col("s") + F.col("t"))
-        return pairs.join(left, "src").join(right, ["dst", "head"]).withColumn("e", e).drop("s", "t")
+    @property
+    def columns(self) -> int:
+        return self.attn_heads * self.units
+
+    def projected(self, features: DataFrame, width: int) -> DataFrame:
+        """(id, h, s, t): all heads' vectors, and the two scores of each head; one matrix product."""
+        own, near = (np.stack([k @ a[i] for k, a in zip(self.kernels, self.attn, strict=True)], axis=1) for i in (0, 1))
+        y = wide.matmul(wide.packed(features, ["id"], width), np.concatenate([*self.kernels, own, near], axis=1))
+        n, m = self.columns, self.attn_heads
+        return y.select("id", F.slice("x", 1, n).alias("h"), F.slice("x", n + 1, m).alias("s"), F.slice("x", n + m + 1, m).alias("t"))
+
+    def logits(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs with e, a logit for each head, and x, the vectors of dst: one row an entry through both joins."""
+        right = nodes.select(F.col("id").alias("dst"), F.col("t").alias("_t"), F.col("h").alias("x"))
+        left = nodes.select(F.col("id").alias("src"), F.col("s").alias("_s"))
+        e = F.zip_with("_s", "_t", lambda a, b: activations.scalar("leaky_relu", a + b))
+        return pairs.join(right, "dst").join(left, "src").withColumn("e", e).drop("_s", "_t")
 
     def call(self, features: DataFrame, adj: DataFrame, nodes: DataFrame, out_indices: DataFrame | None = None) -> DataFrame:
-        """(id, j, v)."""
+        """(id, j, v).  features: (id, k, v) or (id, x)."""
+        width = wide.width_of(features) or 1
         if self.kernels is None:
-            self.build((features.agg(F.max("k")).first()[0] or 0) + 1)
-        h, scores = self.projected(features)
+            self.build(width)
+        if width != self.kernels.shape[1]:
+            raise ValueError(f"features have {width} columns, the kernels {self.kernels.shape[1]} rows")
+        h = saved(self.projected(features, width))
         if self.sparse:
-            return self.reduced(self.attended(self.logits(adj.select("src", "dst"), scores), h), nodes, out_indices)
+            return self.finished(self.attended(self.logits(adj.select("src", "dst"), h)), nodes, out_indices)
+        one = saved(adj.groupBy("src", "dst").agg(F.sum("w").alias("w")))
         if self.saliency_map_support:
-            return self.reduced(self.salient(adj, nodes, h, scores), nodes, out_indices)
-        one = adj.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+            return self.finished(self.salient(one, nodes, h), nodes, out_indices)
         plain = not one.where("w <> 0 AND w <> 1").limit(1).count()
         kept = one.where("w <> 0")
-        bare = nodes.join(kept.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+        bare = nodes.select("id").join(kept.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         if plain and not bare.limit(1).count():
-            return self.reduced(self.attended(self.logits(kept.select("src", "dst"), scores), h), nodes, out_indices)
+            return self.finished(self.attended(self.logits(kept.select("src", "dst"), h)), nodes, out_indices)
         # a masked logit of a row with entries of 1 underflows to nothing; rows without entries or with other weights need every node
-        rows = bare if plain else nodes
-        masked = self.logits(grid(rows, nodes).join(one, ["src", "dst"], "left"), scores)
-        masked = masked.withColumn("e", F.col("e") - 1e10 * (1 - F.coalesce("w", F.lit(0.0)))).select("src", "dst", "head", "e")
+        masked = grid(bare if plain else nodes, nodes).join(one, ["src", "dst"], "left")
+        masked = masked.select("src", "dst", (1e10 * (F.coalesce("w", F.lit(0.0)) - 1)).alias("mask"))
         if plain:
-            masked = masked.unionByName(self.logits(kept.select("src", "dst"), scores).select("src", "dst", "head", "e"))
-        return self.reduced(self.attended(masked, h), nodes, out_indices)
-
-    def attended(self, logits: DataFrame, h: DataFrame) -> DataFrame:
-        """(id, head, j, v): the softmax-weighted mean of h; numerator and denominator are summed in one pass."""
-        top = logits.groupBy("src", "head").agg(F.max("e").alias("_top"))
-        shifted = logits.join(top, ["src", "head"]).withColumn("_p", F.exp(F.col("e") - F.col("_top")))
-        joined = shifted.join(h.withColumnRenamed("id", "dst"), ["dst", "head"])
-        return joined.groupBy(F.col("src").alias("id"), "head", "j").agg((F.sum(F.col("_p") * F.col("v")) / F.sum("_p")).alias("v"))
-
-    def salient(self, adj: DataFrame, nodes: DataFrame, h: DataFrame, scores: DataFrame) -> DataFrame:
+            masked = masked.unionByName(kept.select("src", "dst", F.lit(0.0).alias("mask")))
+        every = self.logits(masked, h).withColumn("e", F.transform("e", lambda v: v + F.col("mask")))
+        return self.finished(self.attended(every), nodes, out_indices)
+
+    def attended(self, entries: DataFrame) -> DataFrame:
+        """(id, x): the softmax-weighted mean of x for each head; numerators and denominators are summed in one pass."""
+        heads = range(self.attn_heads)
+        top = entries.groupBy("src").agg(*(F.max(F.col("e")[i]).alias(f"_m{i}") for i in heads))
+        shifted = entries.join(top, "src").withColumns({f"_p{i}": F.exp(F.col("e")[i] - F.col(f"_m{i}")) for i in heads})
+        return self.weighted(shifted, lambda n, d: n / d)
+
+    def weighted(self, entries: DataFrame, ratio) -> DataFrame:
+        """(id, x) of the weights _p0, _p1 ...: ratio(sum of weight times x, sum of weights)."""
+        places = [(i, j) for i in range(self.attn_heads) for j in range(self.units)]
+        numerators = [F.sum(F.col(f"_p{i}") * F.col("x")[i * self.units + j]).alias(f"_n{i}_{j}") for i, j in places]
+        sums = entries.groupBy(F.col("src").alias("id")).agg(*numerators, *(F.sum(f"_p{i}").alias(f"_d{i}") for i in range(self.attn_heads)))
+        return sums.select("id", F.array(*(ratio(F.col(f"_n{i}_{j}"), F.col(f"_d{i}")) for i, j in places)).alias("x"))
+
+    def salient(self, one: DataFrame, nodes: DataFrame, h: DataFrame) -> DataFrame:
         """Weights delta A e (1 - nu) + nu (A + delta (1 - A) + I) e, where e is shifted by the row's maximum over all nodes; a row without weight is NaN."""
-        nu, delta = float(self.non_exist_edge), float(self.delta)
-        one = adj.groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        most = scores.groupBy("head").agg(F.max("t").alias("_t"))
-        top = scores.join(F.broadcast(most), "head").select(F.col("id").alias("src"), "head", activations.scalar("leaky_relu", F.col("s") + F.col("_t")).alias("_top"))
+        nu, delta, heads = float(self.non_exist_edge), float(self.delta), range(self.attn_heads)
+        most = h.agg(*(F.max(F.col("t")[i]) for i in heads)).first()
+        top = h.select(F.col("id").alias("src"), *(activations.scalar("leaky_relu", F.col("s")[i] + F.lit(most[i])).alias(f"_m{i}") for i in heads))
         pairs = one if nu == 0 else grid(nodes, nodes).join(one, ["src", "dst"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-        e = self.logits(pairs, scores).join(top, ["src", "head"]).withColumn("e", F.exp(F.col("e") - F.col("_top")))
+        entries = self.logits(pairs, h).join(top, "src")
         own = (F.col("src") == F.col("dst")).cast("double")
-        weight = delta * F.col("w") * F.col("e") * (1 - nu) + nu * (F.col("w") + delta * (1 - F.col("w")) + own) * F.col("e")
-        joined = e.withColumn("_p", weight).join(h.withColumnRenamed("id", "dst"), ["dst", "head"])
-        rows = joined.groupBy(F.col("src").alias("id"), "head", "j").agg(F.sum(F.col("_p") * F.col("v")).alias("n"), F.sum("_p").alias("d"))
-        rows = rows.select("id", "head", "j", F.when(F.col("d") != 0, F.col("n") / F.col("d")).otherwise(F.lit(float("nan"))).alias("v"))
-        bare = nodes.join(rows.select("id").distinct(), "id", "left_anti")
-        grid_ = [(a, b) for a in range(self.attn_heads) for b in range(self.units)]
-        every = F.explode(F.array(*(F.struct(F.lit(a).alias("head"), F.lit(b).alias("j")) for a, b in grid_)))
-        return rows.unionByName(bare.select("id", every.alias("x")).select("id", "x.head", "x.j", F.lit(float("nan")).alias("v")))
-
-    def reduced(self, rows: DataFrame, nodes: DataFrame, out_indices: DataFrame | None) -> DataFrame:
+        weight = delta * F.col("w") * (1 - nu) + nu * (F.col("w") + delta * (1 - F.col("w")) + own)
+        entries = entries.withColumns({f"_p{i}": weight * F.exp(F.col("e")[i] - F.col(f"_m{i}")) for i in heads})
+        nan = F.lit(float("nan"))
+        rows = self.weighted(entries, lambda n, d: F.when(d != 0, n / d).otherwise(nan))
+        return wide.on(nodes.select("id"), rows, ["id"], self.columns, float("nan"))
+
+    def finished(self, rows: DataFrame, nodes: DataFrame, out_indices: DataFrame | None) -> DataFrame:
         """Head biases, concatenation or mean, activation, gather; a node without any entry has its biases alone."""
-        place = (F.col("head") * self.units + F.col("j")).cast("int")
-        wide = filled(rows.select("id", place.alias("k"), "v"), nodes, self.attn_heads * self.units)
+        rows = wide.on(nodes.select("id"), rows, ["id"], self.columns)
         if self.use_bias:
-            bias = weights(rows.sparkSession, self.bias.ravel(), "k").withColumnRenamed("v", "_b")
-            wide = wide.join(bias, "k").select("id", "k", (F.col("v") + F.col("_b")).alias("v"))
+            rows = rows.withColumn("x", wide.plus("x", self.bias.ravel()))
         if self.attn_heads_reduction == "average":
-            out = wide.groupBy("id", (F.col("k") % self.units).alias("j")).agg((F.sum("v") / self.attn_heads).alias("v"))
-        else:
-            out = wide.withColumnRenamed("k", "j")
-        return gather(activate(out, self.activation, ["id"]), out_indices, self.final_layer, nodes)
+            means = [sum((F.col("x")[i * self.units + j] for i in range(1, self.attn_heads)), F.col("x")[j]) / self.attn_heads for j in range(self.units)]
+            rows = rows.withColumn("x", F.array(*means))
+        return gather(wide.unpacked(wide.activated(rows, self.activation), ["id"]), out_indices, self.final_layer, nodes)
 
 
 class GraphAttentionSparse(GraphAttention):
@@ -129,6 +137,5 @@ def grid(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each of ``rows`` beside every node; ValueError beyond DENSE nodes, as the result grows with their square."""
     if nodes.limit(DENSE + 1).count() > DENSE:
         raise ValueError(f"rows without entries, weighted masks and saliency with non_exist_edge are limited to {DENSE} nodes")
-    ids = [r["id"] for r in nodes.select("id").collect()]
-    every = F.array(*(F.lit(x) for x in ids)) if ids else F.array().cast("array<long>")
-    return rows.select(F.col("id").alias("src"), F.explode(every).alias("dst"))
+    every = nodes.select(F.col("id").alias("dst"), F.lit(0).alias("_one"))
+    return rows.select(F.col("id").alias("src"), F.lit(0).alias("_one")).join(F.broadcast(every), "_one").drop("_one")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import activations
 from graphloom.operators import adjacency as adj_ops
-from graphloom.operators.linalg import activate, add_bias, dense, filled, gather, product, spmm, weights
+from graphloom.operators import wide
+from graphloom.operators.linalg import gather
 from graphloom.sources.graph import FullBatchNodeGenerator
 
 #: Propagation steps between written tables.
@@ -34,21 +35,26 @@ class GraphConvolution:
         return self
 
     def call(self, features: DataFrame, adj: DataFrame, nodes: DataFrame, out_indices: DataFrame | None = None) -> DataFrame:
-        """(id, j, v), with pos where rows are asked for."""
-        width = features.agg(F.max("k")).first()[0]
+        """(id, j, v), with pos where rows are asked for.  features: (id, k, v) or (id, x)."""
+        return gather(wide.unpacked(self.vectors(features, adj, nodes), ["id"]), out_indices, self.final_layer, nodes)
+
+    def vectors(self, features: DataFrame, adj: DataFrame, nodes: DataFrame, width: int | None = None) -> DataFrame:
+        """(id, x)."""
+        width = wide.width_of(features) if width is None else width
         if self.kernel is None:
-            self.build(0 if width is None else width + 1)
-        if width is not None and width + 1 != len(self.kernel):
-            raise ValueError(f"features have {width + 1} columns, the kernel {len(self.kernel)} rows")
-        kernel = weights(features.sparkSession, self.kernel)
-        if self.units < len(self.kernel):
-            mixed = product(features, kernel, "k", ["id"], ["j"]).withColumnRenamed("j", "k")
-            rows = spmm(adj, mixed, nodes, self.units).withColumnRenamed("k", "j")
+            self.build(width or 0)
+        if width is not None and width != len(self.kernel):
+            raise ValueError(f"features have {width} columns, the kernel {len(self.kernel)} rows")
+        bias = self.bias if self.use_bias else None
+        if width is None:
+            rows = nodes.select("id", wide.zeros(self.units).alias("x"))
+            rows = rows if bias is None else rows.withColumn("x", wide.plus("x", bias))
+        elif self.units < width:
+            rows = wide.spmm(adj, wide.matmul(wide.packed(features, ["id"], width), self.kernel), self.units, nodes)
+            rows = rows if bias is None else rows.withColumn("x", wide.plus("x", bias))
         else:
-            rows = product(spmm(adj, features, nodes, len(self.kernel)), kernel, "k", ["id"], ["j"])
-        bias = weights(features.sparkSession, self.bias, "j") if self.use_bias and self.bias is not None else None
-        rows = activate(add_bias(rows, bias), self.activation, ["id"])
-        return gather(rows, out_indices, self.final_layer, nodes)
+            rows = wide.matmul(wide.spmm(adj, wide.packed(features, ["id"], width), width, nodes), self.kernel, bias)
+        return wide.activated(rows, self.activation)
 
 
 class GCN:
@@ -72,16 +78,17 @@ class GCN:
     def __call__(self, out_indices: DataFrame | None = None) -> DataFrame:
         g = self.generator
         adj = adj_ops.preprocess(g.adj, g.graph.nodes) if g.method == "none" else g.adj
-        x = g.features
+        x, width = g.features, wide.width_of(g.features)
         if self.layers[0].kernel is None:
-            self.build((x.agg(F.max("k")).first()[0] or 0) + 1)
+            self.build(width or 1)
+        if len(self.layers) > 1:
+            adj = adj_ops.saved(adj)  # made once for all layers
         for layer in self.layers:
-            rows = layer.call(x, adj, g.graph.nodes, out_indices)
-            x = rows.withColumnRenamed("j", "k")
-        return rows
+            x, width = layer.vectors(x, adj, g.graph.nodes, width), layer.units
+        return gather(wide.unpacked(x, ["id"]), out_indices, self.layers[-1].final_layer, g.graph.nodes)
 
     def node_model(self):
-        n, f = len(self.generator), (self.generator.features.agg(F.max("k")).first()[0] or 0) + 1
+        n, f = len(self.generator), wide.width_of(self.generator.features) or 1
         return (((n, f),), None)
 
 
@@ -92,14 +99,15 @@ class PPNPPropagationLayer:
         self.units, self.final_layer = units, final_layer
 
     def call(self, features: DataFrame, adj: DataFrame, nodes: DataFrame, out_indices: DataFrame | None = None) -> DataFrame:
-        return gather(spmm(adj, features, nodes), out_indices, self.final_layer, nodes)
+        width = wide.width_of(features) or 1
+        return gather(wide.unpacked(wide.spmm(adj, wide.packed(features, ["id"], width), width, nodes), ["id"], "k"), out_indices, self.final_layer, nodes)
 
 
 def propagated(prop: DataFrame, x: DataFrame, adj: DataFrame, nodes: DataFrame, alpha: float, width: int) -> DataFrame:
-    """(1 - alpha) A prop + alpha x, both as one sum over their union."""
-    step = spmm(adj, prop).withColumn("v", F.col("v") * (1 - alpha))
-    both = step.select("id", "k", "v").unionByName(x.select("id", "k", (F.col("v") * alpha).alias("v")))
-    return filled(both.groupBy("id", "k").agg(F.sum("v").alias("v")), nodes, width)
+    """(1 - alpha) A prop + alpha x of tables (id, x)."""
+    step = wide.spmm(adj, prop, width, nodes).withColumnRenamed("x", "_step")
+    both = step.join(x, "id", "left")
+    return both.select("id", F.zip_with("_step", F.coalesce("x", wide.zeros(width)), lambda a, b: a * (1 - alpha) + b * alpha).alias("x"))
 
 
 class APPNPPropagationLayer:
@@ -109,8 +117,9 @@ class APPNPPropagationLayer:
         self.units, self.teleport_probability, self.final_layer = units, teleport_probability, final_layer
 
     def call(self, prop: DataFrame, features: DataFrame, adj: DataFrame, nodes: DataFrame, out_indices: DataFrame | None = None) -> DataFrame:
-        width = (features.agg(F.max("k")).first()[0] or 0) + 1
-        return gather(propagated(prop, features, adj, nodes, self.teleport_probability, width), out_indices, self.final_layer, nodes)
+        width = wide.width_of(features) or 1
+        z = propagated(wide.packed(prop, ["id"], width), wide.packed(features, ["id"], width), adj, nodes, self.teleport_probability, width)
+        return gather(wide.unpacked(z, ["id"], "k"), out_indices, self.final_layer, nodes)
 
 
 class _DenseStack:
@@ -134,12 +143,14 @@ class _DenseStack:
         return self
 
     def stack(self) -> DataFrame:
+        """(id, x)."""
         x = self.generator.features
+        width = wide.width_of(x) or 1
         if not self.kernels:
-            self.build((x.agg(F.max("k")).first()[0] or 0) + 1)
+            self.build(width)
+        x = wide.packed(x, ["id"], width)
         for kernel, bias, act in zip(self.kernels, self.biases, self.activations, strict=True):
-            spark = x.sparkSession
-            x = dense(x, weights(spark, kernel), weights(spark, bias, "j") if self.bias else None, act).withColumnRenamed("j", "k")
+            x = wide.activated(wide.matmul(x, kernel, bias if self.bias else None), act)
         return x
 
 
@@ -163,16 +174,22 @@ class APPNP(_DenseStack):
         return propagate(x, adj, nodes, k, self.teleport_probability)
 
     def __call__(self, out_indices: DataFrame | None = None) -> DataFrame:
-        x, g = self.stack(), self.generator
-        near = self.propagate(x, g.adj, self.approx_iter - 1)
-        return APPNPPropagationLayer(self.layer_sizes[-1], self.teleport_probability, True).call(near, x, g.adj, g.graph.nodes, out_indices)
+        g = self.generator
+        x, adj = adj_ops.saved(self.stack()), adj_ops.saved(g.adj)
+        near = wide.packed(self.propagate(x, adj, self.approx_iter - 1), ["id"], self.layer_sizes[-1])
+        return APPNPPropagationLayer(self.layer_sizes[-1], self.teleport_probability, True).call(near, x, adj, g.graph.nodes, out_indices)
 
 
 def propagate(x: DataFrame, adj: DataFrame, nodes: DataFrame, k: int, alpha: float = 0.1) -> DataFrame:
-    width = (x.agg(F.max("k")).first()[0] or 0) + 1
+    """k steps z = (1 - alpha) A z + alpha x from x: (id, k, v), or (id, x) where x is such a table."""
+    as_it_was = "x" in x.columns
+    width = wide.width_of(x) or 1
+    x = wide.packed(x, ["id"], width)
+    if k > 1:
+        x, adj = adj_ops.saved(x), adj_ops.saved(adj)  # made once for all steps
     z = x
     for step in range(1, k + 1):
         z = propagated(z, x, adj, nodes, alpha, width)
         if step % CADENCE == 0 and step < k:
             z = adj_ops.saved(z)
-    return z
+    return z if as_it_was else wide.unpacked(z, ["id"], "k")

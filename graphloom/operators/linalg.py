@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import activations
+from graphloom.operators import wide
 
 #: Entries (24 bytes each) of a weight table that may be broadcast: 24 MB.
 KERNEL = 1 << 20
@@ -49,11 +50,14 @@ def filled(rows: DataFrame, nodes: DataFrame, width: int, col: str = "k") -> Dat
 
 
 def spmm(adj: DataFrame, x: DataFrame, nodes: DataFrame | None = None, width: int | None = None) -> DataFrame:
-    """Sparse times dense: (id, k, v).  Duplicate entries all count; with ``nodes`` rows without entries are zero."""
-    out = adj.join(x.withColumnRenamed("id", "dst"), "dst").groupBy("src", "k").agg(F.sum(F.col("w") * F.col("v")).alias("v")).withColumnRenamed("src", "id")
-    if nodes is None:
-        return out
-    return filled(out, nodes, width if width is not None else (x.agg(F.max("k")).first()[0] or 0) + 1)
+    """Sparse times dense: (id, k, v).  Duplicate entries all count; with ``nodes`` rows without entries are zero.
+
+    An edge is one row with the whole vector of its end through the join (:mod:`graphloom.operators.wide`).
+    """
+    width = width if width is not None else wide.width_of(x) or 0
+    if not width:
+        return x.select("id", "k", "v").where("false")
+    return wide.unpacked(wide.spmm(adj, wide.packed(x, ["id"], width), width, nodes), ["id"], "k")
 
 
 def sparse_matmul_dense(adj: DataFrame, x: DataFrame, n_rows: int, n_cols: int, nodes: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import activations
-from graphloom.operators.linalg import activate, add_bias, product, weights
+from graphloom.operators import wide
 
 #: Element-wise embeddings of two values.
 ELEMENTS = {
@@ -22,7 +22,7 @@ ELEMENTS = {
 
 
 def link_inference(output_dim=1, output_act="linear", edge_embedding_method="ip", clip_limits=None, name="link_inference", kernel=None, bias=None):
-    """f(pairs, embeddings) -> (pos, j, v) for pairs(pos, src, dst) and embeddings(id, k, v).
+    """f(pairs, embeddings) -> (pos, j, v) for pairs(pos, src, dst) and embeddings(id, k, v) or (id, x).
 
     ip and dot: the inner product, of width 1.  l1, l2 (squares), mul or hadamard, avg and concat are followed by kernel
     and bias.  Then the activation and, with ``clip_limits``, a clipped slope of 0.1 outside them.
@@ -48,32 +48,36 @@ def link_inference(output_dim=1, output_act="linear", edge_embedding_method="ip"
     print(f"link_inference: {method} edge embedding, {output_act} activation")
 
     def finish(rows: DataFrame) -> DataFrame:
-        rows = activate(rows, output_act, ["pos"])
+        rows = wide.unpacked(wide.activated(rows, output_act), ["pos"])
         if clip_limits is not None:
             rows = rows.withColumn("v", activations.leaky_clipped(F.col("v"), clip_limits[0], clip_limits[1]))
         return rows
 
+    def joined(pairs: DataFrame, nodes: DataFrame, first: Column, second: Column) -> DataFrame:
+        left, right = nodes.select(F.col("id").alias("src"), first.alias("_a")), nodes.select(F.col("id").alias("dst"), second.alias("_b"))
+        return pairs.select("pos", "src", "dst").join(left, "src").join(right, "dst")
+
     def edges(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
-        spark = pairs.sparkSession
+        width = wide.width_of(embeddings)
+        vectors = wide.packed(embeddings, ["id"], width or 1)
         if method == "concat":
             half = len(kernel) // 2
             if len(kernel) % 2:
                 raise ValueError("a concatenation needs an even number of kernel rows")
-            # the kernel is split where the second node's columns begin; no concatenation is made
-            ends = [pairs.select("pos", F.col(c).alias("id")).join(embeddings, "id").select("pos", (F.col("k") + at).cast("int").alias("k"), "v") for c, at in (("src", 0), ("dst", half))]
-            rows = product(ends[0].unionByName(ends[1]), weights(spark, kernel), "k", ["pos"], ["j"])
-        else:
-            left = embeddings.select(F.col("id").alias("src"), "k", F.col("v").alias("_a"))
-            right = embeddings.select(F.col("id").alias("dst"), "k", F.col("v").alias("_b"))
-            both = pairs.join(left, "src").join(right, ["dst", "k"])
-            if method in ("ip", "dot"):
-                rows = both.groupBy("pos").agg(F.sum(F.col("_a") * F.col("_b")).alias("v")).select("pos", F.lit(0).alias("j"), "v")
-                return finish(rows)
-            width = embeddings.agg(F.max("k")).first()[0]
-            if width is not None and width + 1 != len(kernel):
-                raise ValueError(f"embeddings have {width + 1} columns, the kernel {len(kernel)} rows")
-            rows = product(both.select("pos", "k", ELEMENTS[method](F.col("_a"), F.col("_b")).alias("v")), weights(spark, kernel), "k", ["pos"], ["j"])
-        return finish(add_bias(rows, weights(spark, bias, "j") if bias is not None else None))
+            # the kernel is split where the second node's columns begin: each node is multiplied once, pairs add the products
+            if width is not None and width != half:
+                raise ValueError(f"embeddings have {width} columns, the kernel {len(kernel)} rows")
+            sides = wide.matmul(vectors, np.concatenate([kernel[:half], kernel[half:]], axis=1))
+            both = joined(pairs, sides, F.slice("x", 1, output_dim), F.slice("x", output_dim + 1, output_dim))
+            rows = both.select("pos", wide.plus("_a", F.col("_b")).alias("x"))
+            return finish(rows if bias is None else rows.withColumn("x", wide.plus("x", bias)))
+        both = joined(pairs, vectors, F.col("x"), F.col("x"))
+        if method in ("ip", "dot"):
+            inner = F.aggregate(F.zip_with("_a", "_b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            return finish(both.select("pos", F.array(inner).alias("x")))
+        if width is not None and width != len(kernel):
+            raise ValueError(f"embeddings have {width} columns, the kernel {len(kernel)} rows")
+        return finish(wide.matmul(both.select("pos", F.zip_with("_a", "_b", ELEMENTS[method]).alias("x")), kernel, bias))
 
     return edges
 

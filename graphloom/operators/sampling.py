@@ -1,6 +1,7 @@
 """Aggregation of sampled neighbourhoods, of one kind of node (GraphSAGE) and of several (HinSAGE).
 
-A sampled tensor is a table x(b, h, s, k, v): batch row, head, sample, feature.  With several relations there is r too.
+A sampled tensor is a table (b, h, s, k, v): batch row, head, sample, feature; or (b, h, s, x) with whole vectors, which
+is what layers hand on.  With several relations there is r too.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import activations
+from graphloom.operators import wide
+from graphloom.operators.adjacency import saved
 from graphloom.operators.convolution import glorot
-from graphloom.operators.linalg import activate, add_bias, concat, normalization, product, softmax, weights
 
 NAN = float("nan")
 KEY = ["b", "h"]
@@ -22,12 +24,6 @@ def shares(width: int, groups: int) -> list[int]:
     return [width // groups + (width % groups if g == 0 else 0) for g in range(groups)]
 
 
-def with_heads(rows: DataFrame, heads: DataFrame, width: int, empty: float) -> DataFrame:
-    """Rows for heads(b, h) without samples: ``empty`` in each column."""
-    lost = heads.join(rows.select(*KEY).distinct(), KEY, "left_anti")
-    return rows.unionByName(lost.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j"), F.lit(empty).alias("v")))
-
-
 class Aggregator:
     """weights: one kernel a group.  call() puts the groups side by side, adds the bias and activates."""
 
@@ -43,41 +39,61 @@ class Aggregator:
         self.bias = np.zeros(self.output_dim) if self.has_bias else None
         return self
 
-    def kernel(self, x: DataFrame, g: int) -> DataFrame:
-        return weights(x.sparkSession, self.w_group[g])
-
     def group_aggregate(self, x: DataFrame, g: int, heads: DataFrame | None = None, width: int | None = None) -> DataFrame:
         raise NotImplementedError
 
     def flattened(self, x: DataFrame, width: int | None) -> DataFrame:
-        """Group 0: the samples of a head one behind the other."""
-        width = width if width is not None else (x.agg(F.max("k")).first()[0] or 0) + 1
-        flat = x.select(*KEY, (F.col("s") * width + F.col("k")).cast("int").alias("k"), "v")
-        return product(flat, self.kernel(x, 0), "k", KEY, ["j"])
+        """(b, h, x) of group 0: the samples of a head one behind the other."""
+        width = width if width is not None else wide.width_of(x) or 1
+        rows = len(self.w_group[0])
+        if rows != width:
+            long = wide.unpacked(x, [*KEY, "s"], "k") if "x" in x.columns else x
+            x = wide.packed(long.select(*KEY, (F.col("s") * width + F.col("k")).alias("k"), "v"), KEY, rows)
+        return wide.matmul(wide.packed(x, KEY, rows), self.w_group[0])
 
     def call(self, groups: list[DataFrame], heads: DataFrame | None = None) -> DataFrame:
-        for g, part in enumerate(shares(self.output_dim, len(groups))):
+        """(b, h, j, v)."""
+        return wide.unpacked(self.vectors(groups, heads), KEY)
+
+    def vectors(self, groups: list[DataFrame], heads: DataFrame | None = None) -> DataFrame:
+        """(b, h, x) for ``heads``, or the heads of group 0."""
+        parts = shares(self.output_dim, len(groups))
+        for g, part in enumerate(parts):
             if self.w_group[g].shape[1] != part:
                 raise ValueError(f"group {g} has {self.w_group[g].shape[1]} columns, its share is {part}")
         blocks = [self.group_aggregate(x, g, heads) for g, x in enumerate(groups)]
-        return self.finished(concat(blocks, shares(self.output_dim, len(groups))))
+        heads = groups[0].select(*KEY).distinct() if heads is None else heads.select(*KEY)
+        return self.finished(beside(heads, blocks, parts, [0.0, *[self.empty] * (len(blocks) - 1)]))
+
+    #: What a head without samples has in a group's columns.
+    empty = 0.0
 
     def finished(self, rows: DataFrame) -> DataFrame:
-        if self.bias is not None and len(self.bias) != self.output_dim:
-            raise ValueError("the bias is not as wide as the output")
-        bias = weights(rows.sparkSession, self.bias, "j") if self.bias is not None else None
-        return activate(add_bias(rows, bias), self.act, KEY)
+        if self.bias is not None:
+            if len(self.bias) != self.output_dim:
+                raise ValueError("the bias is not as wide as the output")
+            rows = rows.withColumn("x", wide.plus("x", np.asarray(self.bias)))
+        return wide.activated(rows, self.act)
+
+
+def beside(heads: DataFrame, blocks: list[DataFrame], parts: list[int], empty: list[float]) -> DataFrame:
+    """(b, h, x) for each head: the blocks' vectors one behind the other, ``empty`` where a block has none."""
+    out = heads
+    for i, block in enumerate(blocks):
+        out = out.join(block.withColumnRenamed("x", f"_x{i}"), KEY, "left")
+    return out.select(*KEY, F.concat(*(F.coalesce(f"_x{i}", wide.zeros(n, e)) for i, (n, e) in enumerate(zip(parts, empty, strict=True)))).alias("x"))
 
 
 class MeanAggregator(Aggregator):
     """The mean of a group's samples times its kernel; of no samples NaN."""
 
+    empty = NAN
+
     def group_aggregate(self, x, g, heads=None, width=None):
         if g == 0:
             return self.flattened(x, width)
-        mean = x.groupBy(*KEY, "k").agg(F.avg("v").alias("v"))
-        out = product(mean, self.kernel(x, g), "k", KEY, ["j"])
-        return out if heads is None else with_heads(out, heads, self.w_group[g].shape[1], NAN)
+        n = len(self.w_group[g])
+        return wide.matmul(wide.reduced(wide.packed(x, [*KEY, "s"], n), KEY, n, F.avg), self.w_group[g])
 
 
 class PoolingAggregator(Aggregator):
@@ -101,18 +117,14 @@ class PoolingAggregator(Aggregator):
         self.bias = np.zeros(self.output_dim) if self.has_bias else None
         return self
 
-    def pooled(self, rows: DataFrame):
-        return F.max("v")
+    pool = staticmethod(F.max)
 
     def group_aggregate(self, x, g, heads=None, width=None):
         if g == 0:
             return self.flattened(x, width)
-        spark = x.sparkSession
-        hidden = product(x, weights(spark, self.w_pool[g]), "k", [*KEY, "s"], ["j"])
-        hidden = activate(add_bias(hidden, weights(spark, self.b_pool[g], "j")), "relu", [*KEY, "s"])
-        pooled = hidden.groupBy(*KEY, "j").agg(self.pooled(hidden).alias("v")).withColumnRenamed("j", "k")
-        out = product(pooled, self.kernel(x, g), "k", KEY, ["j"])
-        return out if heads is None else with_heads(out, heads, self.w_group[g].shape[1], self.empty)
+        hidden = wide.matmul(wide.packed(x, [*KEY, "s"], len(self.w_pool[g])), self.w_pool[g], self.b_pool[g])
+        pooled = wide.reduced(wide.activated(hidden, "relu"), KEY, self.w_pool[g].shape[1], self.pool)
+        return wide.matmul(pooled, self.w_group[g])
 
 
 class MaxPoolingAggregator(PoolingAggregator):
@@ -121,9 +133,7 @@ class MaxPoolingAggregator(PoolingAggregator):
 
 class MeanPoolingAggregator(PoolingAggregator):
     empty = NAN
-
-    def pooled(self, rows):
-        return F.avg("v")
+    pool = staticmethod(F.avg)
 
 
 class AttentionalAggregator(Aggregator):
@@ -143,24 +153,32 @@ class AttentionalAggregator(Aggregator):
         return self
 
     def group_aggregate(self, x_self, x_g, g, out_size=None):
-        """x_self has one sample a head; the candidates are it and the samples."""
-        spark = x_self.sparkSession
-        own = product(x_self.withColumn("s", F.lit(-1).cast("long")), self.kernel(x_self, g), "k", [*KEY, "s"], ["j"])
-        near = product(x_g.withColumn("s", F.col("s").cast("long")), self.kernel(x_self, g), "k", [*KEY, "s"], ["j"])
-        every = own.unionByName(near)
-        scores = every.join(weights(spark, self.w_attn_g, "j").withColumnRenamed("v", "_a"), "j").groupBy(*KEY, "s").agg(F.sum(F.col("v") * F.col("_a")).alias("t"))
-        mine = own.join(weights(spark, self.w_attn_s, "j").withColumnRenamed("v", "_a"), "j").groupBy(*KEY).agg(F.sum(F.col("v") * F.col("_a")).alias("_s"))
-        logits = scores.join(mine, KEY).withColumn("t", activations.scalar("leaky_relu", F.col("_s") + F.col("t"))).drop("_s")
-        share = softmax(logits, KEY, "t")
-        return every.join(share, [*KEY, "s"]).groupBy(*KEY, "j").agg(F.sum(F.col("t") * F.col("v")).alias("v"))
+        """x_self has one sample a head; the candidates are it and the samples.  The scores are columns of the same matrix products."""
+        kernel = self.w_group[g]
+        n, units = kernel.shape
+        both = np.concatenate([kernel, kernel @ self.w_attn_g[:, None], kernel @ self.w_attn_s[:, None]], axis=1)
+        own = wide.matmul(wide.packed(x_self.withColumn("s", F.lit(-1).cast("long")), [*KEY, "s"], n), both)
+        near = wide.matmul(wide.packed(x_g.withColumn("s", F.col("s").cast("long")), [*KEY, "s"], n), both)
+        mine = own.select(*KEY, F.col("x")[units + 1].alias("_s"))
+        logits = own.unionByName(near).join(mine, KEY).withColumn("_e", activations.scalar("leaky_relu", F.col("_s") + F.col("x")[units])).drop("_s")
+        top = logits.groupBy(*KEY).agg(F.max("_e").alias("_top"))
+        p = F.exp(F.col("_e") - F.col("_top"))
+        sums = logits.join(top, KEY).withColumn("_p", p).withColumn("x", F.concat(F.slice("x", 1, units), F.array(F.lit(1.0))))
+        out = wide.reduced(sums, KEY, units + 1, F.sum, F.col("_p"))
+        return out.select(*KEY, F.transform(F.slice("x", 1, units), lambda v: v / F.col("x")[units]).alias("x"))
 
     def call(self, x_self, x_groups, heads=None):
-        groups = list(x_groups) or [x_self]
-        parts = shares(self.output_dim, len(groups))
+        return wide.unpacked(self.vectors([x_self, *x_groups], heads), KEY)
+
+    def vectors(self, groups, heads=None):
+        x_self, *x_groups = groups
+        x_groups = x_groups or [x_self]
+        parts = shares(self.output_dim, len(x_groups))
         for g, part in enumerate(parts):
             if self.w_group[g].shape[1] != part:
                 raise ValueError(f"group {g} has {self.w_group[g].shape[1]} columns, its share is {part}")
-        return self.finished(concat([self.group_aggregate(x_self, x, g, n) for g, (x, n) in enumerate(zip(groups, parts, strict=True))], parts))
+        blocks = [self.group_aggregate(x_self, x, g, n) for g, (x, n) in enumerate(zip(x_groups, parts, strict=True))]
+        return self.finished(blocks[0] if len(blocks) == 1 else beside(x_self.select(*KEY).distinct(), blocks, parts, [0.0] * len(blocks)))
 
 
 class GraphSAGE:
@@ -190,18 +208,19 @@ class GraphSAGE:
             raise TypeError("a list with a table for each hop is needed")
         if len(xin) != len(self.layers) + 1:
             raise ValueError(f"{len(self.layers) + 1} tables are needed")
-        h = list(xin)
+        width = wide.width_of(xin[0]) or 1
+        h = [wide.packed(x, KEY, width) for x in xin]
         for depth, layer in enumerate(self.layers):
             after = []
             for i in range(len(h) - 1):
                 n = self.samples[i]
-                near = h[i + 1].select("b", F.expr(f"h div {n}").cast("long").alias("h"), (F.col("h") % n).alias("s"), "k", "v")
-                own = h[i].select("b", F.col("h").cast("long").alias("h"), F.lit(0).cast("long").alias("s"), "k", "v")
-                heads = own.select(*KEY).distinct()
-                rows = layer.call(own, [near], heads) if isinstance(layer, AttentionalAggregator) else layer.call([own, near], heads)
-                after.append(rows.select("b", "h", F.col("j").alias("k"), "v"))
-            h = after
-        return normalization(h[0], KEY, self.normalize).withColumnRenamed("k", "j")
+                near = h[i + 1].select("b", F.expr(f"h div {n}").cast("long").alias("h"), (F.col("h") % n).alias("s"), "x")
+                own = h[i].select("b", F.col("h").cast("long").alias("h"), F.lit(0).cast("long").alias("s"), "x")
+                after.append(layer.vectors([own, near], own.select(*KEY)))
+            last = depth + 1 == len(self.layers)
+            h = after if last else [saved(x) for x in after]  # each is read twice by the next layer
+        rows = h[0] if self.normalize in (None, "none", "None") else wide.normalized(h[0])
+        return wide.unpacked(rows, KEY)
 
 
 class MeanHinAggregator:
@@ -225,14 +244,19 @@ class MeanHinAggregator:
         """x_self(b, h, k, v), x_neigh(r, b, h, s, k, v): (b, h, j, v)."""
         if relations is not None and relations != self.nr or x_neigh.where(F.col("r") >= self.nr).limit(1).count():
             raise ValueError(f"{self.nr} relations are expected")
-        spark = x_self.sparkSession
-        own = product(x_self, weights(spark, self.w_self), "k", KEY, ["j"])
-        mean = x_neigh.groupBy("r", *KEY, "k").agg(F.avg("v").alias("v"))
-        kernel = weights(spark, self.w_neigh, "rkj").withColumnRenamed("v", "_w")
-        near = mean.join(kernel, ["r", "k"]).groupBy(*KEY, "j").agg((F.sum(F.col("v") * F.col("_w")) / self.nr).alias("v"))
-        near = with_heads(near, x_self.select(*KEY).distinct(), self.half, 0.0)
-        rows = concat([own, near], [self.half, self.half])
-        return activate(add_bias(rows, weights(spark, self.bias, "j") if self.bias is not None else None), self.act, KEY)
+        rows = self.vectors(x_self, x_neigh)
+        return wide.unpacked(rows, KEY)
+
+    def vectors(self, x_self: DataFrame, x_neigh: DataFrame) -> DataFrame:
+        own = wide.matmul(wide.packed(x_self, KEY, len(self.w_self)), self.w_self)
+        n = self.w_neigh.shape[1]
+        mean = wide.reduced(wide.packed(x_neigh, ["r", *KEY, "s"], n), ["r", *KEY], n, F.avg)
+        each = wide.matmul(mean, np.asarray(self.w_neigh), by="r")
+        near = wide.reduced(each, KEY, self.half, F.sum, F.lit(1.0 / self.nr))
+        rows = beside(x_self.select(*KEY).distinct(), [own, near], [self.half, self.half], [0.0, 0.0])
+        if self.bias is not None:
+            rows = rows.withColumn("x", wide.plus("x", np.asarray(self.bias)))
+        return wide.activated(rows, self.act)
 
 
 class HinSAGE:
@@ -258,5 +282,8 @@ class HinSAGE:
             raise ValueError("build() comes first")
         h = x_self
         for layer, near in zip(self.layers, neighbourhoods, strict=True):
-            h = layer.call(h, near).withColumnRenamed("j", "k")
-        return normalization(h, KEY, self.normalize).withColumnRenamed("k", "j")
+            if near.where(F.col("r") >= layer.nr).limit(1).count():
+                raise ValueError(f"{layer.nr} relations are expected")
+            h = layer.vectors(h, near)
+        rows = h if self.normalize in (None, "none", "None") else wide.normalized(h)
+        return wide.unpacked(rows, KEY)

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.adjacency import saved
-from graphloom.sources.graph import Graph, check_endpoints, check_ids, check_weights
+from graphloom.sources.graph import Graph, check_endpoints, check_ids, check_weights, ranked
 
-#: Steps between written tables.
-CADENCE = 8
+#: Steps between written tables, and edges that a biased step tries before it looks at all.
+CADENCE, TRIES = 8, 12
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -64,13 +64,12 @@ class GraphWalk:
         check_ids(nodes, self.graph.nodes)
         return nodes.select(F.col("pos").alias("root_pos"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("walk"), F.col("id").alias("node"))
 
-    def ranked(self) -> DataFrame:
-        """(node, rank, degree, next, pos): each node's edges in order."""
-        edges = self.graph.edges
-        order = Window.partitionBy("src").orderBy("dst", "pos")
-        degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-        ranked = edges.select("src", "dst", "pos", (F.row_number().over(order) - 1).cast("long").alias("rank"))
-        return ranked.join(degree, "src").select(F.col("src").alias("node"), "rank", "degree", F.col("dst").alias("next"))
+    def table(self, edges: DataFrame | None = None) -> DataFrame:
+        """(node, rank, next, w, degree, top): each node's edges in order, how many there are and their greatest weight; written once."""
+        rows = ranked(self.graph.edges if edges is None else edges)
+        rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1.0))
+        top = rows.groupBy("src").agg(F.max("w").alias("top"))
+        return saved(rows.join(top, "src").select(F.col("src").alias("node"), "rank", F.col("dst").alias("next"), "w", "degree", "top"))
 
 
 def collected(walks: DataFrame) -> DataFrame:
@@ -88,26 +87,29 @@ class UniformRandomWalk(GraphWalk):
         start = self.starts(nodes, n)
         if start is None:
             return spark.createDataFrame([], "root_pos long, walk int, step int, node long")
-        here = start.withColumn("step", F.lit(0))
-        out = [here.select("root_pos", "walk", "step", "node")]
-        ranked = self.ranked()
-        degree = ranked.where("rank = 0").select("node", "degree")
+        table = self.table()
+        degree = table.where("rank = 0").select("node", "degree")
+        ends = degree.select(F.col("node").alias("next"), F.col("degree").alias("after"))
+        table = saved(table.select("node", "rank", "next").join(ends, "next", "left"))  # with the degree at the other end, so that a step is one join
+        here = start.join(degree, "node", "left").withColumn("path", F.array("node"))
         for step in range(1, length):
             u = uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step))
-            drawn = here.join(degree, "node").withColumn("rank", F.least(F.floor(u * F.col("degree")).cast("long"), F.col("degree") - 1))
-            here = drawn.drop("degree").join(ranked.drop("degree"), ["node", "rank"]).select("root_pos", "walk", F.lit(step).alias("step"), F.col("next").alias("node"))
+            drawn = here.withColumn("rank", F.least(F.floor(u * F.col("degree")).cast("long"), F.col("degree") - 1)).drop("degree")
+            on = drawn.join(table, ["node", "rank"], "left")
+            path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))
+            here = on.select("root_pos", "walk", F.col("next").alias("node"), F.col("after").alias("degree"), path.alias("path"))
             if step % CADENCE == 0 and step + 1 < length:
                 here = saved(here)
-            out.append(here)
-        every = out[0]
-        for part in out[1:]:
-            every = every.unionByName(part)
-        return every
+        return here.select("root_pos", "walk", F.posexplode("path").alias("step", "node"))
 
 
 class BiasedRandomWalk(GraphWalk):
     """Second-order walks: after a first uniform step a neighbour x of the current node has weight w / p if it is the node
-    before, w if that node has an edge to x, else w / q.  A walk stops without neighbours or weight."""
+    before, w if that node has an edge to x, else w / q.  A walk stops without neighbours or weight.
+
+    A step draws TRIES edges by rank and takes the first that is accepted with odds of its weight over the greatest: a
+    walk costs that many rows, however many edges its node has.  Where none is, the choice is among all edges.
+    """
 
     def __init__(self, graph, n=None, length=None, p=1.0, q=1.0, weighted=False, seed=None):
         super().__init__(graph, n, length, seed)
@@ -134,16 +136,26 @@ class BiasedRandomWalk(GraphWalk):
         if length < 3:
             return first
         key = ["root_pos", "walk"]
+        out = first = saved(first)
         before = first.where("step = 0").select(*key, F.col("node").alias("prev"))
-        here = first.where("step = 1").select(*key, "node").join(before, key)
-        known = edges.select(F.col("src").alias("prev"), "dst").distinct().withColumn("_near", F.lit(True))
-        out = first
+        here = saved(first.where("step = 1").select(*key, "node").join(before, key))
+        known = saved(edges.select(F.col("src").alias("prev"), F.col("dst").alias("next")).distinct().withColumn("_near", F.lit(True)))
+        table = self.table(base)
+        degree = table.where("rank = 0").select("node", "degree", "top")
+        factor = F.when(F.col("next") == F.col("prev"), 1.0 / p).when(F.col("_near"), 1.0).otherwise(1.0 / q)
         for step in range(2, length):
-            steps = here.join(base.withColumnRenamed("src", "node"), "node").join(known, ["prev", "dst"], "left")
-            weight = F.col("w") * F.when(F.col("dst") == F.col("prev"), 1.0 / p).when(F.col("_near"), 1.0).otherwise(1.0 / q)
-            # a walk's candidates are its node's edges
-            chosen = pick(steps.withColumn("weight", weight), key, ["dst", "pos"], uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step)))
-            here = saved(chosen.select(*key, F.col("node").alias("prev"), F.col("dst").alias("node")))
+            draw = lambda which: uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step), F.col("try"), F.lit(which))  # noqa: B023, E731
+            tries = here.join(degree, "node").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+            tries = tries.withColumns({"rank": F.least(F.floor(draw(0) * F.col("degree")).cast("long"), F.col("degree") - 1), "bar": draw(1) * F.col("top") * max(1.0 / p, 1.0, 1.0 / q)})
+            tries = tries.drop("degree", "top").join(table.select("node", "rank", "next", "w"), ["node", "rank"]).join(known, ["prev", "next"], "left")
+            good = tries.where(F.col("bar") < F.col("w") * factor)
+            taken = good.groupBy(*key).agg(F.min(F.struct("try", "next", "node")).alias("t"))
+            after = saved(here.join(taken, key, "left").select(*key, "prev", "node", F.col("t.next").alias("next")))
+            # the few walks whose tries all fail choose among all edges of their node
+            rest = after.where("next IS NULL").drop("next").join(base.select(F.col("src").alias("node"), F.col("dst").alias("next"), "pos", "w"), "node").join(known, ["prev", "next"], "left")
+            chosen = pick(rest.withColumn("weight", F.col("w") * factor), key, ["next", "pos"], uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step)))
+            now = after.where("next IS NOT NULL").select(*key, F.col("node").alias("prev"), F.col("next").alias("node")).unionByName(chosen.select(*key, F.col("node").alias("prev"), F.col("next").alias("node")))
+            here = saved(now)
             out = out.unionByName(here.select(*key, F.lit(step).alias("step"), "node"))
         return out
 

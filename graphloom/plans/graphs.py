@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.sources.graph import Graph
 
-WIDTH = 8
-VECTORS = 500
+#: Components of the embeddings.
+WIDTH = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,15 @@ def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     return p.unionByName(table(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("id")))
 
 
-def features(spark: SparkSession, d: str, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, k, v): the first components of the embedding that the id falls to."""
-    vectors = table(spark, d, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", F.posexplode(F.slice("embedding", 1, width)).alias("k", "v"))
-    return nodes.join(vectors, F.col("id") % VECTORS == F.col("vec_id")).select("id", "k", F.col("v").cast("double").alias("v"))
+def features(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    """(id, x): the embedding that the id falls to, by the remainder over their number."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    return nodes.join(vectors, F.col("id") % vectors.count() == F.col("vec_id")).select("id", "x")
+
+
+def long_features(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    """(id, k, v)."""
+    return features(spark, d, nodes).select("id", F.posexplode("x").alias("k", "v"))
 
 
 def part_graph(spark: SparkSession, d: str) -> Graph:
@@ -69,14 +74,19 @@ def part_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(nodes, edges, features(spark, d, nodes))
 
 
+def first_ends(pairs: DataFrame, keys: list[str], end: str, samples: int) -> DataFrame:
+    """(keys, s, id): the ``samples`` least different ends of each key; each task keeps no more of a key before the shuffle."""
+    order = Window.partitionBy(*keys).orderBy(end)
+    ranked = pairs.select(*keys, end).distinct().withColumn("s", F.row_number().over(order) - 1)
+    return ranked.where(F.col("s") < samples).select(*keys, F.col("s").cast("long").alias("s"), F.col(end).alias("id"))
+
+
 def sampled(spark: SparkSession, d: str, samples: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(heads, own, near): parts, their features, and those of their first suppliers, as sampled tensors."""
-    adj = parts(spark, d).where("src % 2 = 0")
-    first = adj.groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, samples).alias("dst"))  # suppliers of a part
-    near = first.select(F.col("src").alias("b"), F.posexplode("dst").alias("s", "id"))
+    """(heads, own, near): parts, their features, and those of their first suppliers, as sampled tensors of vectors."""
+    near = first_ends(parts(spark, d).where("src % 2 = 0").withColumnRenamed("src", "b"), ["b"], "dst", samples)
     heads = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("b"), F.lit(0).cast("long").alias("h"))
-    own = features(spark, d, heads.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("s"), "k", "v")
-    x = near.join(features(spark, d, part_nodes(spark, d)), "id").select("b", F.lit(0).cast("long").alias("h"), F.col("s").cast("long").alias("s"), "k", "v")
+    own = features(spark, d, heads.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("s"), "x")
+    x = near.join(features(spark, d, part_nodes(spark, d)), "id").select("b", F.lit(0).cast("long").alias("h"), "s", "x")
     return heads, own, x
 
 
@@ -84,10 +94,10 @@ def bought(spark: SparkSession, d: str, samples: int = 3) -> tuple[DataFrame, Da
     """(x_self, x_neigh): customers, and the suppliers (relation 0) and parts (1) of their first orders."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("b")), "l_orderkey")
     ends = lines.select("b", F.explode(F.array(F.struct(F.lit(0).alias("r"), (F.col("l_suppkey") * 2 + 1).alias("id")), F.struct(F.lit(1).alias("r"), (F.col("l_partkey") * 2).alias("id")))).alias("e")).select("b", "e.r", "e.id")
-    first = ends.groupBy("b", "r").agg(F.slice(F.array_sort(F.collect_set("id")), 1, samples).alias("ids")).select("b", "r", F.posexplode("ids").alias("s", "id"))
-    neigh = first.join(features(spark, d, part_nodes(spark, d)), "id").select("r", "b", F.lit(0).cast("long").alias("h"), F.col("s").cast("long").alias("s"), "k", "v")
+    first = first_ends(ends, ["b", "r"], "id", samples)
+    neigh = first.join(features(spark, d, part_nodes(spark, d)), "id").select("r", "b", F.lit(0).cast("long").alias("h"), "s", "x")
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    own = features(spark, d, people).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("h"), "k", "v")
+    own = features(spark, d, people).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("h"), "x")
     return own, neigh
 
 

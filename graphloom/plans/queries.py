@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import activations
 from graphloom.operators import adjacency as A
-from graphloom.operators import attention, convolution, linalg, links, sampling, walks
+from graphloom.operators import attention, convolution, linalg, links, sampling, walks, wide
 from graphloom.plans import graphs as G
 from graphloom.plans import sql as S
 from graphloom.sources import graph as src
@@ -197,20 +197,20 @@ def spmm(spark, d):
 
 @query(S.whole("SELECT src AS id, round(sum(w * v), 6) + 0e0 AS v FROM ps_loop_norm JOIN ps_x ON dst = id AND k = 0 GROUP BY src"))
 def spmv(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).where("k = 0").select("id", "v")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).where("k = 0").select("id", "v")
     return shown(linalg.spmv(gcn_parts(spark, d), x), "id", value="v")
 
 
 @query(S.whole("SELECT id AS i, j, round(sum(x.v * kernel.v), 6) + 0e0 AS v FROM ps_x x JOIN kernel ON x.k = kernel.k WHERE j < 5 GROUP BY id, j"))
 def dot(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("id", "i")
-    return shown(linalg.dot(x, linalg.weights(spark, G.kernel(8, 5))), "i", "j", value="v")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("id", "i")
+    return shown(linalg.dot(x, linalg.weights(spark, G.kernel(G.WIDTH, 5))), "i", "j", value="v")
 
 
 @query(S.whole("SELECT id AS i, round(sum(x.v * bias.v), 6) + 0e0 AS v FROM ps_x x JOIN bias ON x.k = bias.j GROUP BY id"))
 def dot_vec(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("id", "i")
-    return shown(linalg.dot_vec(x, linalg.weights(spark, G.bias(8), "k")), "i", value="v")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("id", "i")
+    return shown(linalg.dot_vec(x, linalg.weights(spark, G.bias(G.WIDTH), "k")), "i", value="v")
 
 
 @query(S.whole("SELECT src, dst, round(exp(w / 100 - m) / sum(exp(w / 100 - m)) OVER (PARTITION BY src), 6) + 0e0 AS v FROM (SELECT *, max(w / 100) OVER (PARTITION BY src) AS m FROM nn)"))
@@ -220,29 +220,29 @@ def sparse_softmax(spark, d):
 
 @query(S.whole("SELECT id, k, round(exp(v) / sum(exp(v)) OVER (PARTITION BY id), 6) + 0e0 AS v FROM ps_x"))
 def row_softmax(spark, d):
-    return shown(linalg.softmax(G.features(spark, d, G.part_nodes(spark, d)), ["id"]), "id", "k", value="v")
+    return shown(linalg.softmax(G.long_features(spark, d, G.part_nodes(spark, d)), ["id"]), "id", "k", value="v")
 
 
 @query(S.whole("SELECT id, k, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-7), 6) + 0e0 AS v FROM ps_x"))
 def l2_normalize(spark, d):
-    return shown(linalg.l2_normalize(G.features(spark, d, G.part_nodes(spark, d)), ["id"]), "id", "k", value="v")
+    return shown(linalg.l2_normalize(G.long_features(spark, d, G.part_nodes(spark, d)), ["id"]), "id", "k", value="v")
 
 
 @query(S.whole("SELECT id, k AS j, round(v + b, 6) + 0e0 AS v FROM ps_x JOIN (SELECT j, v AS b FROM bias) ON k = j"))
 def bias_add(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
-    return shown(linalg.add_bias(x, linalg.weights(spark, G.bias(8), "j")), "id", "j", value="v")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
+    return shown(linalg.add_bias(x, linalg.weights(spark, G.bias(G.WIDTH), "j")), "id", "j", value="v")
 
 
-@query(S.whole("SELECT id, k AS j, round(v, 6) + 0e0 AS v FROM ps_x UNION ALL SELECT id, k + 8, round(v * v, 6) + 0e0 FROM ps_x"))
+@query(S.whole("SELECT id, k AS j, round(v, 6) + 0e0 AS v FROM ps_x UNION ALL SELECT id, k + 64, round(v * v, 6) + 0e0 FROM ps_x"))
 def concat_blocks(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
-    return shown(linalg.concat([x, x.withColumn("v", F.col("v") * F.col("v"))], [8, 8]), "id", "j", value="v")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
+    return shown(linalg.concat([x, x.withColumn("v", F.col("v") * F.col("v"))], [G.WIDTH, G.WIDTH]), "id", "j", value="v")
 
 
 @query(S.whole("SELECT id, k AS j, round((v + v * v) / 2, 6) + 0e0 AS v FROM ps_x"))
 def average_blocks(spark, d):
-    x = G.features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
+    x = G.long_features(spark, d, G.part_nodes(spark, d)).withColumnRenamed("k", "j")
     return shown(linalg.average([x, x.withColumn("v", F.col("v") * F.col("v"))], ["id", "j"]), "id", "j", value="v")
 
 
@@ -268,7 +268,7 @@ def leaky_clipped(spark, d):
 
 # convolution
 
-S.dense("ps_gcn1", "ps_ax", 8, 6)
+S.dense("ps_gcn1", "ps_ax", 64, 6)
 S.spmm("ps_gcn1_ax", S.PS_GCN, "ps_gcn1", "ps_nodes", 6)
 S.dense("ps_gcn2", "ps_gcn1_ax", 6, 4)
 S.define("out_idx", "SELECT pos, id FROM (VALUES (0, 6), (1, 2), (2, 3), (3, 6), (4, 1)) AS t(pos, id)")
@@ -283,13 +283,13 @@ def conv(units, rows, final=False, activation="relu"):
 @query(S.out("ps_gcn1", "id, k AS j", "v"))
 def gcn_conv(spark, d):
     nodes = G.part_nodes(spark, d)
-    return shown(conv(6, 8).call(G.features(spark, d, nodes), gcn_parts(spark, d), nodes), "id", "j", value="v")
+    return shown(conv(6, G.WIDTH).call(G.features(spark, d, nodes), gcn_parts(spark, d), nodes), "id", "j", value="v")
 
 
 def stack(spark, d, out=None):
     model = convolution.GCN([6, 4], src.FullBatchNodeGenerator(G.part_graph(spark, d)))
     model.build(G.WIDTH)
-    for layer, rows in zip(model.layers, (8, 6), strict=True):
+    for layer, rows in zip(model.layers, (G.WIDTH, 6), strict=True):
         layer.kernel, layer.bias = G.kernel(rows, layer.units), G.bias(layer.units)
     return model(out)
 
@@ -310,7 +310,7 @@ def gcn_gather(spark, d):
 
 def gat_sql(name: str, edges: str, reduction: str = "concat", saliency: bool = False) -> str:
     """Two heads of four columns; kernels shifted by 7 a head, attention by part."""
-    S.define("gat_kernel", "SELECT head, CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ((31 * k + 17 * j + 7 * head) % 101 - 50) / 500e0 AS v FROM range(2) h(head), range(8) a(k), range(4) b(j)")
+    S.define("gat_kernel", "SELECT head, CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ((31 * k + 17 * j + 7 * head) % 101 - 50) / 500e0 AS v FROM range(2) h(head), range(64) a(k), range(4) b(j)")
     S.define("gat_h", "SELECT id, head, j, sum(x.v * g.v) AS v FROM ps_x x JOIN gat_kernel g ON x.k = g.k GROUP BY id, head, j")
     S.define("gat_s", "SELECT id, head, sum(v * ((31 * head + 17 * j + 3) % 101 - 50) / 500e0) AS s, sum(v * ((31 * head + 17 * j + 5) % 101 - 50) / 500e0) AS t FROM gat_h GROUP BY id, head")
     S.define(f"{name}_l", f"SELECT e.src, e.dst, a.head, CASE WHEN s + b.t >= 0 THEN s + b.t ELSE 0.2e0 * (s + b.t) END AS l FROM {edges} e JOIN (SELECT id, head, s FROM gat_s) a ON e.src = a.id JOIN (SELECT id, head, t FROM gat_s) b ON e.dst = b.id AND a.head = b.head")
@@ -322,7 +322,7 @@ def gat_sql(name: str, edges: str, reduction: str = "concat", saliency: bool = F
     return S.whole(f"SELECT id, CAST(head * 4 + j AS INTEGER) AS j, round(greatest(v, 0), 6) + 0e0 AS v FROM {name}_n")
 
 
-def gat(kind=attention.GraphAttention, features=8, **more):
+def gat(kind=attention.GraphAttention, features=G.WIDTH, **more):
     layer = kind(4, attn_heads=2, **more)
     k, j = np.indices((features, 4))
     h, i = np.indices((2, 4))
@@ -360,7 +360,7 @@ def gat_saliency(spark, d):
 
 
 S.define("few", "SELECT src, dst, 1e0 AS w FROM nn WHERE src < 20 AND dst < src")
-S.define("nn_x", "SELECT id, k, v FROM nn_nodes JOIN vectors ON id % 500 = vec_id")
+S.define("nn_x", "SELECT id, k, v FROM nn_nodes JOIN vectors ON id % (SELECT count(*) FROM embeddings) = vec_id")
 S.define("few_all", "SELECT src, dst FROM few UNION ALL SELECT n.id, m.id FROM nn_nodes n CROSS JOIN nn_nodes m WHERE n.id NOT IN (SELECT src FROM few)")
 
 
@@ -401,9 +401,9 @@ def sage_sql(name: str, near: str, empty: str = "CAST('NaN' AS DOUBLE)") -> str:
 
 def sage(kind):
     agg = kind(6)
-    agg.w_group, agg.bias = [G.kernel(8, 3), G.kernel(8, 3)], G.bias(6)
+    agg.w_group, agg.bias = [G.kernel(G.WIDTH, 3), G.kernel(G.WIDTH, 3)], G.bias(6)
     if isinstance(agg, sampling.PoolingAggregator):
-        agg.w_pool, agg.b_pool = {1: G.kernel(8, 6)}, {1: G.bias(6)}
+        agg.w_pool, agg.b_pool = {1: G.kernel(G.WIDTH, 6)}, {1: G.bias(6)}
         agg.w_group[1] = G.kernel(6, 3)
     return agg
 
@@ -447,7 +447,7 @@ S.define("att_o", "SELECT b, c.j, greatest(sum(p * c.v) + any_value(bias.v), 0)
 def sage_attn(spark, d):
     heads, own, near = G.sampled(spark, d)
     agg = sampling.AttentionalAggregator(6)
-    agg.w_group, agg.bias = [G.kernel(8, 6)], G.bias(6)
+    agg.w_group, agg.bias = [G.kernel(G.WIDTH, 6)], G.bias(6)
     agg.w_attn_s, agg.w_attn_g = G.bias(6), G.bias(8)[2:]
     return shown(agg.call(own, [near]), "b", "j", value="v")
 
@@ -462,8 +462,8 @@ def sage_model(spark, d):
     some = near.select("b").distinct()
     model = sampling.GraphSAGE([6], [3], activations=["relu"])
     model.layers[0] = sage(sampling.MeanAggregator)
-    hop0 = own.join(some, "b").select("b", "h", "k", "v")
-    hop1 = near.select("b", F.col("s").alias("h"), "k", "v")
+    hop0 = own.join(some, "b").select("b", "h", "x")
+    hop1 = near.select("b", F.col("s").alias("h"), "x")
     return shown(model([hop0, hop1]), "b", "j", value="v")
 
 
@@ -480,13 +480,11 @@ def sage_2layer(spark, d):
     """Two layers over nested hops: a part, three suppliers, two parts of each."""
     heads, own, near = G.sampled(spark, d)
     first = G.parts(spark, d)
-    three = first.where("src % 2 = 0").groupBy("src").agg(F.slice(F.array_sort(F.collect_set("dst")), 1, 3).alias("ids"))
-    one = three.select(F.col("src").alias("b"), F.posexplode("ids").alias("h1", "up"))
-    order = Window.partitionBy("src").orderBy("dst")
-    two = first.where("src % 2 = 1").withColumn("s", F.row_number().over(order) - 1).where("s < 2").select(F.col("src").alias("up"), "s", F.col("dst").alias("id"))
-    hop2 = one.join(two, "up").join(G.features(spark, d, G.part_nodes(spark, d)), "id").select("b", (F.col("h1") * 2 + F.col("s")).cast("long").alias("h"), "k", "v")
-    hop0 = own.join(near.select("b").distinct(), "b").select("b", "h", "k", "v")
-    hop1 = near.select("b", F.col("s").alias("h"), "k", "v")
+    one = G.first_ends(first.where("src % 2 = 0").withColumnRenamed("src", "b"), ["b"], "dst", 3).select("b", F.col("s").alias("h1"), F.col("id").alias("up"))
+    two = G.first_ends(first.where("src % 2 = 1").withColumnRenamed("src", "up"), ["up"], "dst", 2)
+    hop2 = one.join(two, "up").join(G.features(spark, d, G.part_nodes(spark, d)), "id").select("b", (F.col("h1") * 2 + F.col("s")).alias("h"), "x")
+    hop0 = own.join(near.select("b").distinct(), "b").select("b", "h", "x")
+    hop1 = near.select("b", F.col("s").alias("h"), "x")
     model = sampling.GraphSAGE([6, 4], [3, 2], normalize=None)
     model.layers[0] = sage(sampling.MeanAggregator)
     last = sampling.MeanAggregator(4, act="linear")
@@ -503,8 +501,8 @@ S.define("hin_out", "SELECT b, j, greatest(s.v + bias.v, 0) AS v FROM (SELECT b,
 
 def hin_layer(activation="relu"):
     agg = sampling.MeanHinAggregator(6, 2, activation)
-    agg.w_self, agg.bias = G.kernel(8, 3), G.bias(6)
-    agg.w_neigh = np.stack([G.kernel(8, 3, 7 * r) for r in range(2)])
+    agg.w_self, agg.bias = G.kernel(G.WIDTH, 3), G.bias(6)
+    agg.w_neigh = np.stack([G.kernel(G.WIDTH, 3, 7 * r) for r in range(2)])
     return agg
 
 
@@ -532,31 +530,31 @@ def appnp_sql(x: str, steps: int, alpha: float, width: int) -> str:
     return at
 
 
-@query(S.out(appnp_sql("ps_x", 2, 0.1, 8), "id, k", "v"))
+@query(S.out(appnp_sql("ps_x", 2, 0.1, 64), "id, k", "v"))
 def appnp_k2(spark, d):
     nodes = G.part_nodes(spark, d)
-    return shown(convolution.propagate(G.features(spark, d, nodes), gcn_parts(spark, d), nodes, 2), "id", "k", value="v")
+    return shown(wide.unpacked(convolution.propagate(G.features(spark, d, nodes), gcn_parts(spark, d), nodes, 2), ["id"], "k"), "id", "k", value="v")
 
 
-@query(S.out(appnp_sql("ps_x", 10, 0.1, 8), "id, k", "v", 4))
+@query(S.out(appnp_sql("ps_x", 10, 0.1, 64), "id, k", "v", 4))
 def appnp_k10(spark, d):
     nodes = G.part_nodes(spark, d)
-    return shown(convolution.propagate(G.features(spark, d, nodes), gcn_parts(spark, d), nodes, 10), "id", "k", value="v", digits=4)
+    return shown(wide.unpacked(convolution.propagate(G.features(spark, d, nodes), gcn_parts(spark, d), nodes, 10), ["id"], "k"), "id", "k", value="v", digits=4)
 
 
 @query(S.out("ps_ax", "id, k", "v"))
 def ppnp_prop(spark, d):
     nodes = G.part_nodes(spark, d)
-    return shown(convolution.PPNPPropagationLayer(8).call(G.features(spark, d, nodes), gcn_parts(spark, d), nodes), "id", "k", value="v")
+    return shown(convolution.PPNPPropagationLayer(G.WIDTH).call(G.features(spark, d, nodes), gcn_parts(spark, d), nodes), "id", "k", value="v")
 
 
-S.dense("ps_d1", "ps_x", 8, 6)
+S.dense("ps_d1", "ps_x", 64, 6)
 S.dense("ps_d2", "ps_d1", 6, 3, "v")
 S.spmm("ps_d2_ax", S.PS_GCN, "ps_d2", "ps_nodes", 3)
 
 
 def dense_stack(model):
-    model.kernels, model.biases = [G.kernel(8, 6), G.kernel(6, 3)], [G.bias(6), G.bias(3)]
+    model.kernels, model.biases = [G.kernel(G.WIDTH, 6), G.kernel(6, 3)], [G.bias(6), G.bias(3)]
     return model
 
 
@@ -583,28 +581,28 @@ def link(spark, d, method, **more):
     return shown(links.link_inference(edge_embedding_method=method, **more)(G.pairs(spark, d), G.features(spark, d, G.part_nodes(spark, d))), "pos", "j", value="v")
 
 
-@query(S.whole(f"SELECT pos, 0 AS j, round(1 / (1 + exp(-sum(a.v * b.v))), 6) + 0e0 AS v FROM {PAIR} GROUP BY pos"))
+@query(S.whole(f"SELECT pos, 0 AS j, round(1 / (1 + exp(-sum(a.v * b.v))), 6) + 0e0 AS v FROM {PAIR} GROUP BY uid, pos"))
 def link_ip(spark, d):
     return shown(links.link_classification()(G.pairs(spark, d), G.features(spark, d, G.part_nodes(spark, d))), "pos", "j", value="v")
 
 
-@query(S.whole(f"SELECT pos, 0 AS j, round({CLIP.format(lo='-0.05e0', hi='0.05e0')}, 6) + 0e0 AS v FROM (SELECT pos, sum(a.v * b.v) AS x FROM {PAIR} GROUP BY pos)"))
+@query(S.whole(f"SELECT pos, 0 AS j, round({CLIP.format(lo='-0.05e0', hi='0.05e0')}, 6) + 0e0 AS v FROM (SELECT pos, sum(a.v * b.v) AS x FROM {PAIR} GROUP BY uid, pos)"))
 def link_clip(spark, d):
     return shown(links.link_regression(clip_limits=(-0.05, 0.05))(G.pairs(spark, d), G.features(spark, d, G.part_nodes(spark, d))), "pos", "j", value="v")
 
 
 def link_sql(element: str) -> str:
-    return S.whole(f"SELECT pos, j, round(greatest(s.v + bias.v, 0), 6) + 0e0 AS v FROM (SELECT pos, j, sum(({element}) * kernel.v) AS v FROM {PAIR} JOIN kernel ON kernel.k = a.k AND j < 4 GROUP BY pos, j) s JOIN bias USING (j)")
+    return S.whole(f"SELECT pos, j, round(greatest(s.v + bias.v, 0), 6) + 0e0 AS v FROM (SELECT pos, j, sum(({element}) * kernel.v) AS v FROM {PAIR} JOIN kernel ON kernel.k = a.k AND j < 4 GROUP BY uid, pos, j) s JOIN bias USING (j)")
 
 
 def dense_link(method):
-    return lambda spark, d: link(spark, d, method, output_dim=4, output_act="relu", kernel=G.kernel(16 if method == "concat" else 8, 4), bias=G.bias(4))
+    return lambda spark, d: link(spark, d, method, output_dim=4, output_act="relu", kernel=G.kernel(2 * G.WIDTH if method == "concat" else G.WIDTH, 4), bias=G.bias(4))
 
 
 for _name, _element in (("l1", "abs(a.v - b.v)"), ("l2", "(a.v - b.v) * (a.v - b.v)"), ("mul", "a.v * b.v"), ("avg", "(a.v + b.v) * 0.5e0")):
     QUERIES[f"link_{_name}"], ORACLE_SQL[f"link_{_name}"] = dense_link(_name), link_sql(_element)
 QUERIES["link_concat"] = dense_link("concat")
-ORACLE_SQL["link_concat"] = S.whole("SELECT pos, j, round(greatest(s.v + bias.v, 0), 6) + 0e0 AS v FROM (SELECT pos, kernel.j, sum(x.v * kernel.v) AS v FROM (SELECT pos, k, v FROM pairs JOIN ps_x ON id = src UNION ALL SELECT pos, k + 8, v FROM pairs JOIN ps_x ON id = dst) x JOIN kernel ON x.k = kernel.k AND kernel.j < 4 GROUP BY pos, kernel.j) s JOIN bias USING (j)")
+ORACLE_SQL["link_concat"] = S.whole("SELECT pos, j, round(greatest(s.v + bias.v, 0), 6) + 0e0 AS v FROM (SELECT pos, kernel.j, sum(x.v * kernel.v) AS v FROM (SELECT uid, pos, k, v FROM pairs JOIN ps_x ON id = src UNION ALL SELECT uid, pos, k + 64, v FROM pairs JOIN ps_x ON id = dst) x JOIN kernel ON x.k = kernel.k AND kernel.j < 4 GROUP BY uid, pos, kernel.j) s JOIN bias USING (j)")
 
 
 # walks
@@ -630,26 +628,31 @@ def walk_uniform(spark, d):
 
 
 def biased_sql(name: str, edges: str, start: str, p: float, q: float, seed: int, length: int) -> str:
-    """edges(src, dst, pos, w); start(root_pos, walk, node)."""
-    S.define(f"{name}_r", f"SELECT src AS node, row_number() OVER (PARTITION BY src ORDER BY dst, pos) - 1 AS rank, count(*) OVER (PARTITION BY src) AS degree, dst AS nxt FROM {edges}")
+    """edges(src, dst, pos, w); start(root_pos, walk, node).  Tries by rank, the first accepted counts; for walks without one the exact choice."""
+    most = max(1 / p, 1.0, 1 / q)
+    f = f"CASE WHEN {{nxt}} = h.prev THEN {1 / p!r}::DOUBLE WHEN near = 1 THEN 1e0 ELSE {1 / q!r}::DOUBLE END"
+    S.define(f"{name}_r", f"SELECT src AS node, row_number() OVER (PARTITION BY src ORDER BY dst, pos) - 1 AS rank, count(*) OVER (PARTITION BY src) AS degree, max(w) OVER (PARTITION BY src) AS top, dst AS nxt, w FROM {edges}")
+    S.define(f"{name}_k", f"SELECT DISTINCT src, dst, 1 AS near FROM {edges}")
+    S.define(f"{name}_d", f"SELECT DISTINCT node, degree, top FROM {name}_r")
     S.define(f"{name}_1", f"SELECT s.root_pos, s.walk, s.node AS prev, r.nxt AS node FROM {start} s JOIN {name}_r r ON r.node = s.node AND r.rank = least(CAST(floor({u_sql(seed, 's.root_pos', 's.walk', '1')} * r.degree) AS BIGINT), r.degree - 1)")
     for i in range(2, length):
-        S.define(f"{name}_c{i}", f"SELECT h.root_pos, h.walk, h.node AS prev, e.dst AS node, sum(e.w * f) OVER (PARTITION BY h.root_pos, h.walk ORDER BY e.dst, e.pos ROWS UNBOUNDED PRECEDING) AS cum, sum(e.w * f) OVER (PARTITION BY h.root_pos, h.walk) AS total, e.dst, e.pos FROM (SELECT *, 1 AS one FROM {name}_{i - 1}) h JOIN {edges} e ON e.src = h.node LEFT JOIN (SELECT DISTINCT src, dst, 1 AS near FROM {edges}) k ON k.src = h.prev AND k.dst = e.dst CROSS JOIN LATERAL (SELECT CASE WHEN e.dst = h.prev THEN {1 / p!r}::DOUBLE WHEN near = 1 THEN 1e0 ELSE {1 / q!r}::DOUBLE END AS f)")
-        S.define(f"{name}_{i}", f"SELECT root_pos, walk, prev, node FROM (SELECT *, row_number() OVER (PARTITION BY root_pos, walk ORDER BY dst, pos) AS n FROM {name}_c{i} WHERE total > 0 AND cum >= {u_sql(seed, 'root_pos', 'walk', str(i))} * total) WHERE n = 1")
+        S.define(f"{name}_t{i}", f"SELECT h.root_pos, h.walk, h.node, h.prev, t, least(CAST(floor({u_sql(seed, 'h.root_pos', 'h.walk', str(i), 't', '0')} * d.degree) AS BIGINT), d.degree - 1) AS rank, {u_sql(seed, 'h.root_pos', 'h.walk', str(i), 't', '1')} * d.top * {most!r}::DOUBLE AS bar FROM {name}_{i - 1} h JOIN {name}_d d ON d.node = h.node CROSS JOIN range({walks.TRIES}) tries(t)")
+        S.define(f"{name}_a{i}", f"SELECT h.root_pos, h.walk, any_value(h.node) AS prev, arg_min(r.nxt, t) AS node FROM {name}_t{i} h JOIN {name}_r r ON r.node = h.node AND r.rank = h.rank LEFT JOIN {name}_k k ON k.src = h.prev AND k.dst = r.nxt WHERE h.bar < r.w * {f.format(nxt='r.nxt')} GROUP BY h.root_pos, h.walk")
+        S.define(f"{name}_c{i}", f"SELECT h.root_pos, h.walk, h.node AS prev, e.dst AS node, sum(e.w * {f.format(nxt='e.dst')}) OVER (PARTITION BY h.root_pos, h.walk ORDER BY e.dst, e.pos ROWS UNBOUNDED PRECEDING) AS cum, sum(e.w * {f.format(nxt='e.dst')}) OVER (PARTITION BY h.root_pos, h.walk) AS total, e.dst, e.pos FROM {name}_{i - 1} h ANTI JOIN {name}_a{i} a ON a.root_pos = h.root_pos AND a.walk = h.walk JOIN {edges} e ON e.src = h.node LEFT JOIN {name}_k k ON k.src = h.prev AND k.dst = e.dst")
+        S.define(f"{name}_{i}", f"SELECT root_pos, walk, prev, node FROM {name}_a{i} UNION ALL SELECT root_pos, walk, prev, node FROM (SELECT *, row_number() OVER (PARTITION BY root_pos, walk ORDER BY dst, pos) AS n FROM {name}_c{i} WHERE total > 0 AND cum >= {u_sql(seed, 'root_pos', 'walk', str(i))} * total) WHERE n = 1")
     steps = " UNION ALL ".join([f"SELECT root_pos, walk, 0 AS step, node FROM {start}"] + [f"SELECT root_pos, walk, {i}, node FROM {name}_{i}" for i in range(1, length)])
     return S.whole(f"SELECT root_pos, walk, CAST(step AS INTEGER) AS step, node FROM ({steps})")
 
 
 S.define("ps_pos", "SELECT src, dst, src * 1000000 + dst AS pos, 1e0 AS w FROM ps")
-S.define("ps_start", "SELECT root_pos, 0 AS walk, id AS node FROM roots WHERE root_pos % 10 = 0")
+S.define("ps_start", "SELECT root_pos, 0 AS walk, id AS node FROM roots")
 S.define("nn_pos", "SELECT src, dst, src * 1000 + dst AS pos, w FROM nn")
 S.define("nn_start", "SELECT id AS root_pos, CAST(t AS INTEGER) AS walk, id AS node FROM nn_nodes, range(3) r(t)")
 
 
 @query(biased_sql("bw", "ps_pos", "ps_start", 0.5, 2.0, 11, 4))
 def walk_biased(spark, d):
-    """Roots are a table of its own: each tenth part."""
-    return walks.BiasedRandomWalk(G.part_graph(spark, d), n=1, length=4, p=0.5, q=2.0, seed=11).run(roots(spark, d).where("pos % 10 = 0"))
+    return walks.BiasedRandomWalk(G.part_graph(spark, d), n=1, length=4, p=0.5, q=2.0, seed=11).run(roots(spark, d))
 
 
 @query(biased_sql("ww", "nn_pos", "nn_start", 2.0, 0.5, 5, 5))

@@ -11,13 +11,13 @@ PARTS: dict[str, str] = {
     "ps_half": "SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem",
     "ps": "SELECT src, dst, 1e0 AS w FROM ps_half UNION ALL SELECT dst, src, 1e0 FROM ps_half",
     "ps_nodes": "SELECT p_partkey * 2 AS id FROM part UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier",
-    "vectors": "SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(8) AS r(k) WHERE vec_id < 500",
-    "ps_x": "SELECT id, k, v FROM ps_nodes JOIN vectors ON id % 500 = vec_id",
-    "cu_x": "SELECT c_custkey AS b, CAST(0 AS BIGINT) AS h, k, v FROM customer JOIN vectors ON c_custkey % 500 = vec_id",
+    "vectors": "SELECT vec_id, CAST(k AS INTEGER) AS k, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS r(k)",
+    "ps_x": "SELECT id, k, v FROM ps_nodes JOIN vectors ON id % (SELECT count(*) FROM embeddings) = vec_id",
+    "cu_x": "SELECT c_custkey AS b, CAST(0 AS BIGINT) AS h, k, v FROM customer JOIN vectors ON c_custkey % (SELECT count(*) FROM embeddings) = vec_id",
     "nn_sym": "SELECT src, dst, w FROM (SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, greatest(coalesce(a.w, 0), coalesce(b.w, 0)) AS w FROM nn a FULL JOIN nn b ON a.src = b.dst AND a.dst = b.src) WHERE w <> 0",
-    "kernel": "SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ((31 * k + 17 * j) % 101 - 50) / 500e0 AS v FROM range(64) a(k), range(64) b(j)",
+    "kernel": "SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ((31 * k + 17 * j) % 101 - 50) / 500e0 AS v FROM range(128) a(k), range(64) b(j)",
     "bias": "SELECT CAST(j AS INTEGER) AS j, ((13 * j) % 11 - 5) / 100e0 AS v FROM range(64) b(j)",
-    "pairs": "SELECT l_orderkey * 10 + l_linenumber AS pos, l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem",
+    "pairs": "SELECT row_number() OVER () AS uid, l_orderkey * 10 + l_linenumber AS pos, l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem",
     "near": "SELECT b, s, id FROM (SELECT src AS b, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS s, dst AS id FROM ps_half) WHERE s < 3",
     "heads": "SELECT p_partkey * 2 AS b FROM part",
     "own_x": "SELECT b, k, v FROM heads JOIN ps_x ON id = b",
@@ -51,7 +51,7 @@ def product(name: str, a: str, b: str) -> str:
     return define(name, f"SELECT a.src, b.dst, sum(a.w * b.w) AS w FROM {a} a JOIN {b} b ON a.dst = b.src GROUP BY a.src, b.dst")
 
 
-def spmm(name: str, adj: str, x: str, nodes: str, width: int = 8) -> str:
+def spmm(name: str, adj: str, x: str, nodes: str, width: int = 64) -> str:
     define(f"{name}_raw", f"SELECT src AS id, k, sum(w * v) AS v FROM {adj} JOIN {x} ON dst = id GROUP BY src, k")
     return define(name, f"SELECT n.id, CAST(g.k AS INTEGER) AS k, coalesce(r.v, 0) AS v FROM {nodes} n CROSS JOIN range({width}) g(k) LEFT JOIN {name}_raw r ON r.id = n.id AND r.k = g.k")
 

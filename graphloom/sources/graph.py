@@ -57,6 +57,26 @@ def ilocs(nodes: DataFrame) -> DataFrame:
     return ranged.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("iloc"))
 
 
+def ranked(edges: DataFrame) -> DataFrame:
+    """(src, dst, pos, w, rank, degree): a node's edges numbered by dst and then pos, duplicates kept.
+
+    Places in the whole order are counted by range partitions, and a node's first place is taken off them: the edges of
+    a hub are over many tasks.
+    """
+    from graphloom.operators.adjacency import dropped, saved
+
+    rows = edges.select("src", "dst", "pos", *["w"] * ("w" in edges.columns))
+    parts = saved(rows.repartitionByRange("src", "dst", "pos").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("src", "dst", "pos")) - 1
+    whole = parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("_place", (F.col("_before") + F.col("_place")).cast("long"))
+    first = whole.groupBy("src").agg(F.min("_place").alias("_first"), F.count("*").alias("degree"))
+    out = saved(whole.join(first, "src").withColumn("rank", F.col("_place") - F.col("_first")).select(*rows.columns, "rank", "degree"))
+    dropped(parts)
+    return out
+
+
 def csr(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(indptr, colind): indptr(id, degree, start, stop) for each node, colind(src, rank, dst, pos) with duplicates kept.
 
@@ -70,8 +90,36 @@ def csr(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))  # one row for 65,536 nodes
     run = F.sum("degree").over(Window.partitionBy("bucket").orderBy("iloc"))
     indptr = buckets.join(before, "bucket").withColumn("stop", F.col("before") + run).select("id", "degree", (F.col("stop") - F.col("degree")).alias("start"), "stop")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst", "pos")) - 1
-    return indptr, edges.select("src", rank.cast("long").alias("rank"), "dst", "pos")
+    return indptr, ranked(edges).select("src", "rank", "dst", "pos")
+
+
+def csr_from_edges(spark: SparkSession, edges, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`csr` of a list of pairs, a flat list of ends, or an array of either; nodes are 0 to n - 1, or to the greatest end.
+
+    ValueError for a flat list of odd length, IndexError for ends outside the nodes.
+    """
+    flat = np.asarray(edges, dtype=np.int64).ravel()
+    if len(flat) % 2:
+        raise ValueError("a flat list has two ends for each edge")
+    ends = flat.reshape(-1, 2)
+    n = n if n is not None else int(ends.max(initial=-1)) + 1
+    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(ends)], "pos long, src long, dst long")
+    return csr(rows, spark.range(n))
+
+
+def graph_from_csr(spark: SparkSession, indptr, colind, weights=None) -> Graph:
+    """A graph of row pointers and ends that the caller holds; a row whose pointers fall has no edges.
+
+    ValueError where the last pointer lies beyond the ends, or weights are not as many as those.
+    """
+    indptr, colind = np.asarray(indptr, dtype=np.int64), np.asarray(colind, dtype=np.int64)
+    if len(indptr) and indptr[-1] > len(colind):
+        raise ValueError("the last pointer lies beyond the ends")
+    if weights is not None and len(weights) != len(colind):
+        raise ValueError("there are not as many weights as ends")
+    n = max(0, len(indptr) - 1)
+    rows = [(k, i, int(colind[k]), *([float(weights[k])] if weights is not None else [])) for i in range(n) for k in range(int(indptr[i]), int(indptr[i + 1]))]
+    return Graph(spark.range(n), spark.createDataFrame(rows, "pos long, src long, dst long" + ", w double" * (weights is not None)))
 
 
 def neighbors(edges: DataFrame, node: int) -> DataFrame:
@@ -92,6 +140,45 @@ def from_dense(spark: SparkSession, block: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(a), int(b), float(block[a, b]), i) for i, (a, b) in enumerate(zip(r, c, strict=True))], "src long, dst long, w double, pos long")
 
 
+def from_scipy(spark: SparkSession, matrix) -> DataFrame:
+    """The entries of a matrix with ``tocoo`` (SciPy's sparse ones), in its order, duplicates as separate entries."""
+    coo = matrix.tocoo()
+    rows = zip(coo.row.tolist(), coo.col.tolist(), np.asarray(coo.data, dtype=np.float64).tolist(), range(len(coo.data)), strict=True)
+    return spark.createDataFrame([(int(a), int(b), float(w), i) for a, b, w, i in rows], "src long, dst long, w double, pos long")
+
+
+def indices(entries: DataFrame) -> DataFrame:
+    """(pos, src, dst): the place of each entry in row-major order, without the values."""
+    return ranked_places(entries).select("pos", "src", "dst")
+
+
+def ranked_places(entries: DataFrame) -> DataFrame:
+    """Entries with pos as the place in row-major order, duplicates in the order given; counted by range partitions."""
+    ranged = entries.repartitionByRange("src", "dst", "pos").withColumn("_part", F.spark_partition_id())
+    from graphloom.operators.adjacency import saved
+
+    parts = saved(ranged)
+    sizes = parts.groupBy("_part").count()
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("src", "dst", "pos")) - 1
+    return parts.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn("pos", (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_before", "_place")
+
+
+def n_entries(entries: DataFrame) -> int:
+    """How many entries are stored."""
+    return entries.count()
+
+
+def toarray(entries: DataFrame, n_rows: int, n_cols: int, limit: int = 1 << 24) -> np.ndarray:
+    """The dense form on the driver, duplicates added; ValueError beyond ``limit`` places, which the caller holds."""
+    if n_rows * n_cols > limit:
+        raise ValueError(f"a dense form is limited to {limit} places; summed() has its entries")
+    out = np.zeros((n_rows, n_cols))
+    rows = summed(entries).toPandas()
+    out[rows["src"].to_numpy(), rows["dst"].to_numpy()] = rows["w"].to_numpy()
+    return out
+
+
 def summed(entries: DataFrame) -> DataFrame:
     """The dense form's entries: those of one place are added."""
     return entries.groupBy("src", "dst").agg(F.sum("w").alias("w"))

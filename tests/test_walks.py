@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from graphloom.operators import walks
-from graphloom.sources.graph import Graph
+from graphloom.sources.graph import Graph, csr_from_edges, graph_from_csr
 
 from tests.helpers import nodes
 
@@ -78,3 +78,37 @@ def test_choices(spark):
     df = spark.createDataFrame([(k, i, w) for k in range(400) for i, w in enumerate((1.0, 0.0, 3.0))], "k long, i int, weight double")
     got = Counter(r["i"] for r in walks.weighted_choice(df, ["k"], "i").collect())
     assert got[1] == 0 and 2 < got[2] / got[0] < 4.5
+
+
+def test_biased_shares_on_a_hub(spark):
+    """Steps from a hub of 400 edges have the shares of their weights, by tries and by the choice among all edges."""
+    edges = [(0, i) for i in range(1, 401)] + [(i, 0) for i in range(1, 401)] + [(1, i) for i in range(2, 102)]
+    g = graph(spark, edges, 401)
+    for tries in (12, 1):
+        walks.TRIES = tries
+        found = paths(walks.BiasedRandomWalk(g, n=3000, length=3, p=0.05, q=4.0, seed=6).run([1]))
+        walks.TRIES = 12
+        at = [p for p in found.values() if p[1] == 0]
+        share = Counter("back" if p[2] == 1 else "near" if p[2] <= 101 else "far" for p in at)
+        total = 20 + 100 + 299 / 4
+        for kind, w in (("back", 20), ("near", 100), ("far", 299 / 4)):
+            assert abs(share[kind] / len(at) - w / total) < 4 * (w / total / len(at)) ** 0.5 + 0.02, (kind, tries)
+
+
+def test_graph_from_pointers(spark):
+    g = graph_from_csr(spark, [0, 2, 1, 3], [1, 2, 0, 9][:3], [1.0, 2.0, 3.0])
+    assert sorted((r["src"], r["dst"], r["w"]) for r in g.edges.collect()) == [(0, 1, 1.0), (0, 2, 2.0), (2, 0, 3.0), (2, 2, 2.0)]
+    assert paths(walks.UniformRandomWalk(g, 1, 3).run([1]))[0, 0] == [1]
+    with pytest.raises(ValueError):
+        graph_from_csr(spark, [0, 4], [1, 2, 3])
+
+
+def test_csr_of_lists(spark):
+    for edges in ([(0, 2), (2, 1), (0, 1), (0, 2)], [0, 2, 2, 1, 0, 1, 0, 2]):
+        indptr, colind = csr_from_edges(spark, edges, n=4)
+        assert [(r["id"], r["start"], r["stop"]) for r in indptr.orderBy("id").collect()] == [(0, 0, 3), (1, 3, 3), (2, 3, 4), (3, 4, 4)]
+        assert [(r["src"], r["dst"]) for r in colind.orderBy("src", "rank").collect()] == [(0, 1), (0, 2), (0, 2), (2, 1)]
+    with pytest.raises(ValueError):
+        csr_from_edges(spark, [0, 1, 2])
+    with pytest.raises(IndexError):
+        csr_from_edges(spark, [(0, 7)], n=3)
