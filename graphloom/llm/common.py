@@ -47,13 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM look for what nothing refers to any more, so that Spark deletes those shuffle files."""
+    spark._jvm.System.gc()
+
+
 def release(*tables: DataFrame, shuffles: bool = False) -> None:
     """Deletes tables made by :func:`written` that no later result reads.
 
-    ``shuffles``: Spark deletes shuffle files when the driver's JVM finds that nothing refers to them; it is asked to look.
+    ``shuffles``: the shuffle files that led to them go too.
     """
     if shuffles and tables:
-        tables[0].sparkSession._jvm.System.gc()
+        forget_shuffles(tables[0].sparkSession)
     for df in tables:
         path = df._graphloom_path
         jvm = df.sparkSession._jvm

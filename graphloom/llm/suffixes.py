@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import CHUNK_BYTES, release, text_chunks, written
+from graphloom.llm.common import CHUNK_BYTES, forget_shuffles, release, text_chunks, written
 from graphloom.llm.lcpsort import digest, longest_shared
 
 SPAN, GRAM = 400, 32
@@ -115,6 +115,7 @@ def marks(keyed: DataFrame, span: int = SPAN) -> DataFrame:
     kinds = written(kinds, "kinds")
     busy = written(kinds.groupBy("g").count().where("count > 1").select("g"), "busy")
     asked = kinds.join(busy, "g").groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", "times", "at", "n", "off")).alias("all"))  # as many as the text has
+    forget_shuffles(keyed.sparkSession)
     partly = partial(keyed, asked, span)
     whole = kinds.where("times > 1").select("s1", "s2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") + (span - 1)).alias("b"))).alias("runs"))
     hit = written(whole.unionByName(partly), "hit")
@@ -179,7 +180,9 @@ def partial(keyed: DataFrame, asked: DataFrame, span: int) -> DataFrame:
         for s, off in zip(batch.column("s").to_pylist(), batch.column("off").to_pylist(), strict=True):
             yield from both(s, off)
 
+    forget_shuffles(keyed.sparkSession)
     shared = longest_shared(cuts, strings, 2 * cuts.count())
+    forget_shuffles(keyed.sparkSession)
 
     def named(batches):
         for batch in batches:
@@ -215,7 +218,7 @@ def partial(keyed: DataFrame, asked: DataFrame, span: int) -> DataFrame:
     lone = lone.groupBy(F.shiftright("ref", 10).alias("cid")).agg(F.collect_list(F.col("ref").bitwiseAND(F.lit(1023))).alias("lone"))  # a context's windows at most
     runs = F.expr(f"transform(filter(sequence(lo, hi), o -> lone IS NULL OR NOT array_contains(lone, o)), o -> struct(off - o AS a, off - o + {span} AS b))")
     out = written(open_.where("times = 1").select("cid", "s1", "s2", "off", "lo", "hi").join(lone, "cid", "left").select("s1", "s2", runs.alias("runs")).where("size(runs) > 0"), "partly")
-    release(cuts, shared, open_)
+    release(cuts, shared, open_, shuffles=True)
     return out
 
 
