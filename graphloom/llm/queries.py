@@ -48,12 +48,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    found = urls.judge(pages, spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), urls.listed_pages(pages))
+    found = urls.judge(pages, spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), urls.listed_pages(pages, table(spark, sf_dir, "labels")))
     return found.withColumnRenamed("id", "page_id")
 
 
 def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link(table(spark, sf_dir, "conversations"))
+    return quotes.link(quotes.quoting(table(spark, sf_dir, "conversations")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,28 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
 
 
+def quoting(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """Messages as a mail client writes them, with all their columns: by a hash of conversation and turn a message quotes the
+    turn before whole, its first line, that and the turn before it one level deeper, or nothing.
+
+    Of repeated turns the least text is quoted; a null conversation, turn or text quotes nothing and isn't quoted.
+    """
+    conv, turn, text = F.col(conv_col), F.col(turn_col).cast("long"), F.col(text_col).cast("string")
+    said = messages.groupBy(conv.alias("_conv"), turn.alias("_turn")).agg(F.min(text).alias("_said")).where("_conv IS NOT NULL AND _turn IS NOT NULL")
+    out = messages
+    for back in (1, 2):
+        before = said.select(F.col("_conv").alias(f"_conv{back}"), (F.col("_turn") + back).alias(f"_turn{back}"), F.col("_said").alias(f"_said{back}"))
+        out = out.join(before, (conv == F.col(f"_conv{back}")) & (turn == F.col(f"_turn{back}")), "left")
+    first = F.substring_index(F.col("_said1"), "\n", 1)
+    mark = lambda x, sign: F.regexp_replace(x, "(?m)^", sign)
+    wrote = F.lit("Somebody wrote:\n")
+    deeper = F.concat(mark(F.substring_index(F.col("_said2"), "\n", 1), ">> "), F.lit("\n"))
+    kind = F.pmod(F.xxhash64(conv, turn), F.lit(4))
+    quote = F.when(kind == 0, mark(F.col("_said1"), "> ")).when(kind == 1, mark(first, "> ")).when(kind == 2, F.concat(F.coalesce(deeper, F.lit("")), mark(F.col("_said1"), "> ")))
+    whole = F.concat(wrote, quote, F.lit("\n\n"), text)
+    return out.withColumn("_text", F.coalesce(whole, text)).select(*[F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in messages.columns])
+
+
 def above(links: DataFrame) -> DataFrame:
     """(uid, path): the turns above each reply, from the first on.  Each round doubles the way that is known."""
     known = written(links, "paths")

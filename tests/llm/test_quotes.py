@@ -76,3 +76,23 @@ def test_trimmed_quotes(spark):
     got = {r["turn"]: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(got[2 + i]["reply_to"], got[2 + i]["n_quotes"], got[2 + i]["n_linked"]) for i in range(4)] == [(1, 1, 1)] * 4
     assert (got[9]["reply_to"], got[9]["n_quotes"], got[9]["n_linked"]) == (None, 1, 0)
+
+
+def test_derived_quotations_are_linked(spark):
+    rng = random.Random(8)
+    rows = [(c, t, "user", "\n".join(" ".join(f"w{rng.randint(0, 9999)}" for _ in range(5)) + "." for _ in range(rng.randint(1, 3)))) for c in range(40) for t in range(6)]
+    rows += [(None, 1, "user", "x"), (3, None, "user", "y"), (80, 0, "user", None), (80, 1, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    mails = quotes.quoting(df)
+    assert mails.columns == df.columns and mails.count() == len(rows)
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link(mails).collect()}
+    texts = {(c, t): x for c, t, _, x in rows}
+    linked = 0
+    for (c, t), r in got.items():
+        assert r["n_linked"] == r["n_quotes"] and r["body"] == (texts[c, t] or "")
+        if r["n_quotes"]:
+            linked += 1
+            assert r["reply_to"] == t - 1 and r["depth"] == got[c, t - 1]["depth"] + 1
+    assert linked > 100 and max(r["n_quotes"] for r in got.values()) == 2
+    long = spark.createDataFrame([(1, 0, "user", "word " * 60_000), (1, 1, "user", "> " + "word " * 60_000 + "\nshort")], "conv_id long, turn long, role string, text string")
+    assert [r["reply_to"] for r in quotes.link(long).orderBy("turn").collect()] == [None, 0]
