@@ -51,6 +51,12 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
 
 
+def weighted_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers, directed and weighted: to the supplier with the lines, back with their quantity, which suppliers 3, 9, 15 ... don't have."""
+    half = table(spark, d, "lineitem").groupBy((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").cast("double").alias("q"))
+    return half.select("src", "dst", F.col("n").alias("w")).unionByName(half.where("dst % 3 <> 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("q").alias("w")))
+
+
 def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     """All parts and suppliers, those of no line too."""
     p = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("id"))

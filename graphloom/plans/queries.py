@@ -36,40 +36,30 @@ def shown(df: DataFrame, *keys: str, value: str = "w", digits: int = 6) -> DataF
 # graphs, adjacency
 
 
-@query(S.out(S.define("nn_loops", "SELECT src, dst, w FROM nn WHERE src <> dst UNION ALL SELECT id, id, 1e0 FROM nn_nodes"), "src, dst"))
-def adj_self_loops(spark, d):
-    return shown(A.add_self_loops(G.trade(spark, d), G.nations(spark, d)), "src", "dst")
-
-
-@query(S.out("nn_sym", "src, dst"))
-def adj_symmetrize(spark, d):
-    return shown(A.symmetrize(G.trade(spark, d)), "src", "dst")
-
-
-@query(S.out(S.NN_NORM, "src, dst"))
-def adj_norm_sym(spark, d):
-    return shown(A.normalize_adj(G.trade(spark, d), G.nations(spark, d)), "src", "dst")
-
-
-@query(S.out(S.define("nn_left", "SELECT src, dst, CASE WHEN d > 0 THEN w / d ELSE 0 END AS w FROM nn_loops JOIN (SELECT src AS id, sum(w) AS d FROM nn_loops GROUP BY src) ON src = id"), "src, dst"))
-def adj_norm_left(spark, d):
-    return shown(A.normalize_adj(G.trade(spark, d), G.nations(spark, d), symmetric=False, self_loops=True), "src", "dst")
-
-
-@query(S.out(S.define("nn_lap", "SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, -w AS w FROM nn_norm UNION ALL SELECT id, id, 1e0 FROM nn_nodes) GROUP BY src, dst"), "src, dst"))
-def laplacian_norm(spark, d):
-    return shown(A.normalized_laplacian(G.trade(spark, d), G.nations(spark, d)), "src", "dst")
-
-
-@query(S.out(S.define("nn_calc", "SELECT src, dst, w / sqrt(a.d) / sqrt(b.d) AS w FROM nn JOIN (SELECT dst AS id, sum(w) AS d FROM nn GROUP BY dst) a ON src = a.id JOIN (SELECT dst AS id, sum(w) AS d FROM nn GROUP BY dst) b ON dst = b.id"), "src, dst"))
-def laplacian_calc(spark, d):
-    return shown(A.calculate_laplacian(G.trade(spark, d)).where("w <> 0"), "src", "dst")
-
-
-@query(S.out(S.define("nn_scaled", "SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w * (2 / 1.7e0) AS w FROM nn_lap UNION ALL SELECT id, id, -1e0 FROM nn_nodes) GROUP BY src, dst"), "src, dst"))
-def laplacian_rescale(spark, d):
-    nodes = G.nations(spark, d)
-    return shown(A.rescale_laplacian(A.normalized_laplacian(G.trade(spark, d), nodes), nodes, 1.7), "src", "dst")
+def adjacency_queries(graph: str, norm: str, edges, nodes, suffix: str) -> None:
+    """The adjacency and Laplacian operators over a directed, weighted graph; graph, graph_nodes, graph_sym are its SQL names."""
+    loops = S.define(f"{graph}_loops", f"SELECT src, dst, w FROM {graph} WHERE src <> dst UNION ALL SELECT id, id, 1e0 FROM {graph}_nodes")
+    left = S.define(f"{graph}_left", f"SELECT src, dst, CASE WHEN d > 0 THEN w / d ELSE 0 END AS w FROM {loops} JOIN (SELECT src AS id, sum(w) AS d FROM {loops} GROUP BY src) ON src = id")
+    lap = S.define(f"{graph}_lap", f"SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, -w AS w FROM {norm} UNION ALL SELECT id, id, 1e0 FROM {graph}_nodes) GROUP BY src, dst")
+    calc = S.define(f"{graph}_calc", f"SELECT src, dst, w / sqrt(a.d) / sqrt(b.d) AS w FROM {graph} JOIN (SELECT dst AS id, sum(w) AS d FROM {graph} GROUP BY dst) a ON src = a.id JOIN (SELECT dst AS id, sum(w) AS d FROM {graph} GROUP BY dst) b ON dst = b.id")
+    scaled = S.define(f"{graph}_scaled", f"SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w * (2 / 1.7e0) AS w FROM {lap} UNION ALL SELECT id, id, -1e0 FROM {graph}_nodes) GROUP BY src, dst")
+    made = {
+        "adj_self_loops": (loops, A.add_self_loops),
+        "adj_symmetrize": (f"{graph}_sym", lambda a, n: A.symmetrize(a)),
+        "adj_norm_sym": (norm, A.normalize_adj),
+        "adj_norm_left": (left, lambda a, n: A.normalize_adj(a, n, symmetric=False, self_loops=True)),
+        "laplacian_norm": (lap, A.normalized_laplacian),
+        "laplacian_calc": (calc, lambda a, n: A.calculate_laplacian(a).where("w <> 0")),
+        "laplacian_rescale": (scaled, lambda a, n: A.rescale_laplacian(A.normalized_laplacian(a, n), n, 1.7)),
+        "sum_of_rows": (S.define(f"{graph}_rows", f"SELECT src, src AS dst, sum(w) AS w FROM {graph} GROUP BY src"), lambda a, n: src.row_sums(a).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("v").alias("w"))),
+    }
+    for name, (sql, operator) in made.items():
+        QUERIES[name + suffix] = lambda spark, d, operator=operator: shown(operator(edges(spark, d), nodes(spark, d)), "src", "dst")
+        ORACLE_SQL[name + suffix] = S.out(sql, "src, dst")
+
+
+adjacency_queries("nn", S.NN_NORM, G.trade, G.nations, "")
+adjacency_queries("pw", S.PW_NORM, G.weighted_parts, G.part_nodes, "_parts")
 
 
 @query(S.whole("SELECT src, dst, arg_max(w, pos * 1000 + w) AS v FROM lines GROUP BY src, dst"))
@@ -130,11 +120,14 @@ def preprocess_adj(spark, d):
     return shown(A.preprocess(G.parts(spark, d), G.part_nodes(spark, d)), "src", "dst")
 
 
-@query(S.whole("SELECT count(*) AS n_nodes, 1 AS batch_dims, (SELECT count(*) FROM ps) AS n_edges FROM ps_nodes"))
+@query(S.whole("SELECT n.id, 1 AS batch_dims, d.degree, round(x.v, 6) + 0e0 AS v FROM ps_nodes n JOIN (SELECT id, sum((k + 1) * v) AS v FROM ps_x GROUP BY id) x USING (id) LEFT JOIN (SELECT src AS id, count(*) AS degree FROM ps GROUP BY src) d USING (id)"))
 def generator_flow(spark, d):
+    """What flow gives for all nodes: each id with its vector's weighted sum and its number of entries."""
     gen = src.FullBatchNodeGenerator(G.part_graph(spark, d), method="none")
-    ids, _, adj = gen.flow(gen.graph.nodes)
-    return ids.agg(F.count("*").alias("n_nodes")).select("n_nodes", F.lit(gen.num_batch_dims()).alias("batch_dims"), F.lit(adj.count()).cast("long").alias("n_edges"))
+    ids, x, adj = gen.flow(gen.graph.nodes)
+    total = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    rows = ids.join(x.select("id", total.alias("v")), "id").join(adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id", "left")
+    return shown(rows.withColumn("batch_dims", F.lit(gen.num_batch_dims())), "id", "batch_dims", "degree", value="v")
 
 
 @query(S.out(S.product("nn_p2", S.NN_GCN, S.NN_GCN), "src, dst"))
@@ -172,11 +165,19 @@ def ppr_matrix(spark, d):
     return near_one(A.matrix_product(whole, ppr).withColumn("w", F.col("w") / 0.2))
 
 
-@query("SELECT 1e0 AS value")
+S.define("pi_mat", "SELECT list(r ORDER BY src) AS m FROM (SELECT a.id AS src, list(coalesce(e.w, 0) ORDER BY b.id) AS r FROM nn_nodes a CROSS JOIN nn_nodes b LEFT JOIN nn_sym e ON e.src = a.id AND e.dst = b.id GROUP BY a.id)")
+S.define(
+    "pi_it",
+    """SELECT 0 AS i, list_transform(range(1, len(m) + 1), lambda x: sin(x) / sqrt(len(m))) AS v, 0e0 AS value, 1e0 AS moved FROM pi_mat
+    UNION ALL SELECT i + 1, list_transform(u, lambda x: x / norm), norm, list_sum(list_transform(list_zip(u, v), lambda z: abs(z[1] / norm - z[2])))
+    FROM (SELECT *, sqrt(list_dot_product(u, u)) AS norm FROM (SELECT i, v, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM pi_it, pi_mat WHERE i < 100 AND moved >= 1e-10))""",
+)
+
+
+@query(S.whole("SELECT round(value, 6) AS value FROM pi_it ORDER BY i DESC LIMIT 1"))
 def power_iteration(spark, d):
-    """The symmetric normalisation with loops has 1 as its greatest eigenvalue."""
-    nodes = G.nations(spark, d)
-    return spark.createDataFrame([(round(A.power_iteration(A.gcn_adjacency(G.trade(spark, d), nodes), nodes), 6),)], "value double")
+    """The greatest eigenvalue of the symmetrised trade, by the same steps in SQL."""
+    return spark.createDataFrame([(round(A.power_iteration(A.symmetrize(G.trade(spark, d)), G.nations(spark, d)), 6),)], "value double")
 
 
 # products, reductions

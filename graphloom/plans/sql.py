@@ -15,6 +15,10 @@ PARTS: dict[str, str] = {
     "ps_x": "SELECT id, k, v FROM ps_nodes JOIN vectors ON id % (SELECT count(*) FROM embeddings) = vec_id",
     "cu_x": "SELECT c_custkey AS b, CAST(0 AS BIGINT) AS h, k, v FROM customer JOIN vectors ON c_custkey % (SELECT count(*) FROM embeddings) = vec_id",
     "nn_sym": "SELECT src, dst, w FROM (SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, greatest(coalesce(a.w, 0), coalesce(b.w, 0)) AS w FROM nn a FULL JOIN nn b ON a.src = b.dst AND a.dst = b.src) WHERE w <> 0",
+    "pw_half": "SELECT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst, CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY ALL",
+    "pw": "SELECT src, dst, n AS w FROM pw_half UNION ALL SELECT dst, src, q FROM pw_half WHERE dst % 3 <> 0",
+    "pw_nodes": "SELECT p_partkey * 2 AS id FROM part UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier",
+    "pw_sym": "SELECT src, dst, w FROM (SELECT coalesce(a.src, b.dst) AS src, coalesce(a.dst, b.src) AS dst, greatest(coalesce(a.w, 0), coalesce(b.w, 0)) AS w FROM pw a FULL JOIN pw b ON a.src = b.dst AND a.dst = b.src) WHERE w <> 0",
     "kernel": "SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, ((31 * k + 17 * j) % 101 - 50) / 500e0 AS v FROM range(128) a(k), range(64) b(j)",
     "bias": "SELECT CAST(j AS INTEGER) AS j, ((13 * j) % 11 - 5) / 100e0 AS v FROM range(64) b(j)",
     "pairs": "SELECT row_number() OVER () AS uid, l_orderkey * 10 + l_linenumber AS pos, l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem",
@@ -45,6 +49,7 @@ def normed(name: str) -> str:
 NN_GCN = normed(looped("nn_sym", "nn_nodes"))
 PS_GCN = normed(looped("ps", "ps_nodes"))
 NN_NORM = normed("nn")
+PW_NORM = normed("pw")
 
 
 def product(name: str, a: str, b: str) -> str:

@@ -109,3 +109,34 @@ def test_rows_of_edges(spark):
     assert {(r["src"], r["dst"]): r["w"] for r in summed(coo).collect()} == {(0, 1): 5.0, (1, 0): 2.0}
     with pytest.raises(IndexError):
         sparse_tensor(coo, 2, 1)
+
+
+class Coo:
+    """What SciPy's sparse matrices give."""
+
+    row, col, data = np.array([2, 0, 2]), np.array([1, 1, 1]), np.array([1.0, 2.0, 3.0])
+
+    def tocoo(self):
+        return self
+
+
+def test_sparse_inspection(spark):
+    from graphloom.sources import graph as src
+
+    got = src.from_scipy(spark, Coo())
+    assert [(r["pos"], r["src"], r["dst"]) for r in src.indices(got).orderBy("pos").collect()] == [(0, 0, 1), (1, 2, 1), (2, 2, 1)]
+    assert src.n_entries(got) == 3 and src.toarray(got, 3, 2).tolist() == [[0, 2], [0, 0], [0, 4]]
+    with pytest.raises(ValueError):
+        src.toarray(got, 1 << 20, 1 << 20)
+
+
+def test_power_iteration_by_joins(spark, monkeypatch):
+    a = graph(30, 0.3, 5, weighted=True)
+    one = A.power_iteration(entries(spark, a), nodes(spark, 30))
+    monkeypatch.setattr(A, "SMALL", 10)
+    two = A.power_iteration(entries(spark, a), nodes(spark, 30), max_iter=6)
+    v = np.sin(np.arange(30) + 1.0) / np.sqrt(30)
+    for _ in range(6):
+        u = a @ v
+        v = u / np.linalg.norm(u)
+    assert abs(one - np.linalg.eigvalsh(a).max()) < 1e-6 and abs(two - np.linalg.norm(u)) < 1e-9
