@@ -31,6 +31,8 @@ BLANK = "▁"
 GIANT, CHUNK = 32_768, 8192
 #: Units and pairs of pieces that a worker keeps.
 CACHE, PAIRS, LONGEST = 1_000_000, 400_000, 64
+#: Matrices that one task combines.
+FAN = 64
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: No piece spans the place behind the first of these signs.
 SYNC = re.compile(f"[^{BLANK}](?={BLANK})")
@@ -256,13 +258,27 @@ def compose(a: Relation, b: Relation) -> Relation:
     return out
 
 
-def states(relations: list[Relation]) -> list[tuple]:
-    """The state at each cut, the start and the end included: from products of the chunks before, then back from the end."""
+def product(relations: list[Relation]) -> Relation:
+    """All of them, combined as a tree."""
+    while len(relations) > 1:
+        pairs = [compose(a, b) for a, b in zip(relations[::2], relations[1::2], strict=False)]
+        relations = pairs + relations[len(pairs) * 2 :]
+    return relations[0]
+
+
+def states(relations: list[Relation], enter: tuple | None = None, leave: tuple | None = None) -> list[tuple]:
+    """The state at each cut, the start and the end included: from products of the chunks before, then back from the end.
+
+    ``enter`` and ``leave`` are the states at both ends where they are known; at a text's end there is one exit.
+    """
     before = list(itertools.accumulate(relations, compose))
-    (at,) = before[-1]
+    at = leave if leave is not None else next(iter(before[-1]))
     out = [at]
     for k in range(len(relations) - 1, -1, -1):
-        at = next(e for e in relations[k][at] if k == 0 or e in before[k - 1])
+        if k:
+            at = next(e for e in relations[k][at] if e in before[k - 1] and (enter is None or enter in before[k - 1][e]))
+        else:
+            at = enter if enter is not None else relations[0][at][0]
         out.append(at)
     return out[::-1]
 
@@ -270,15 +286,25 @@ def states(relations: list[Relation]) -> list[tuple]:
 STATE = "struct<p: long, x: string>"
 
 
-def giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """(uid, ids) of rows (uid, text) with long texts."""
+def giants(texts: DataFrame, path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """(uid, ids) of rows (uid, text) with long texts.
+
+    Chunks are cut in one pass over a text.  Their matrices are combined ``fan`` at a time, level by level, until a text
+    has no more than that; then the states at the cuts go down the levels again.  No task has more than ``fan`` matrices.
+    """
     tool = codec(path)
     halo = 2 * tool.longest
-    whole = texts.select("uid", F.concat(F.lit(BLANK), F.translate("text", " ", BLANK)).alias("s"))
-    parts = whole.select("uid", "s", F.char_length("s").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(char_length(s) - 1) div {chunk}"))).alias("k"))
-    first = F.greatest(F.col("k") * chunk - halo, F.lit(0))
-    parts = parts.select("uid", "k", "n", first.alias("first"), F.substring("s", (first + 1).cast("int"), (F.col("k") * chunk + chunk - first).cast("int")).alias("part"))
-    parts = written(parts.repartition("uid", "k"), "chunks")
+
+    def cut(batches):
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = marked(text)
+                for k in range(-(-len(s) // chunk)):
+                    first = max(0, k * chunk - halo)
+                    row = ([uid], [k], [len(s)], [first], [s[first : (k + 1) * chunk]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["uid", "k", "n", "first", "part"])
+
+    parts = written(texts.select("uid", "text").mapInArrow(cut, "uid long, k long, n long, first long, part string").repartition("uid", "k"), "chunks")
 
     def bounds(row: dict) -> tuple[str, int, int]:
         return row["part"], row["k"] * chunk - row["first"], min(row["n"], (row["k"] + 1) * chunk) - row["first"]
@@ -293,16 +319,36 @@ def giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 one = pa.struct([("p", pa.int64()), ("x", pa.string())])
                 yield pa.RecordBatch.from_arrays([pa.array([row["uid"]]), pa.array([row["k"]]), pa.array([[f[0] for f in found]], pa.list_(one)), pa.array([[f[1] for f in found]], pa.list_(pa.list_(one)))], ["uid", "k", "leave", "enter"])
 
-    matrices = parts.mapInArrow(forward, f"uid long, k long, leave array<{STATE}>, enter array<array<{STATE}>>")
+    one = pa.struct([("p", pa.int64()), ("x", pa.string())])
+    matrix = f"uid long, k long, leave array<{STATE}>, enter array<array<{STATE}>>"
+
+    def relation(row: dict) -> Relation:
+        return {(x["p"], x["x"]): tuple((e["p"], e["x"]) for e in es) for x, es in zip(row["leave"], row["enter"], strict=True)}
+
+    def combine(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+        found = product([relation(r) for r in rows])
+        leave = [{"p": p, "x": x} for p, x in found]
+        enter = [[{"p": p, "x": x} for p, x in es] for es in found.values()]
+        return pa.table([pa.array([rows[0]["uid"]], pa.int64()), pa.array([rows[0]["k"] // fan], pa.int64()), pa.array([leave], pa.list_(one)), pa.array([enter], pa.list_(pa.list_(one)))], names=["uid", "k", "leave", "enter"])
 
     def scan(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        relations = [{(x["p"], x["x"]): tuple((e["p"], e["x"]) for e in es) for x, es in zip(r["leave"], r["enter"], strict=True)} for r in rows]
-        at = [{"p": p, "x": x} for p, x in states(relations)]
-        one = pa.struct([("p", pa.int64()), ("x", pa.string())])
+        ends = [(rows[0][c]["p"], rows[0][c]["x"]) if rows[0].get(c) else None for c in "ab"]
+        at = [{"p": p, "x": x} for p, x in states([relation(r) for r in rows], *ends)]
         return pa.table([pa.array([r[c] for r in rows], pa.int64()) for c in ("uid", "k")] + [pa.array(at[:-1], one), pa.array(at[1:], one)], names=["uid", "k", "a", "b"])
 
-    known = matrices.groupBy("uid").applyInArrow(scan, f"uid long, k long, a {STATE}, b {STATE}")  # a text's chunks
+    levels = [written(parts.mapInArrow(forward, matrix), "matrices")]
+    while (levels[-1].agg(F.max("k")).first()[0] or 0) >= fan:
+        level = levels[-1].withColumn("block", F.expr(f"k div {fan}")).groupBy("uid", "block").applyInArrow(combine, matrix)
+        levels.append(written(level, "matrices"))
+    out = f"uid long, k long, a {STATE}, b {STATE}"
+    known = levels[-1].groupBy("uid").applyInArrow(scan, out)  # at most `fan` of a text
+    for level in levels[-2::-1]:
+        ends = known.withColumnRenamed("k", "block")
+        known = level.withColumn("block", F.expr(f"k div {fan}")).join(ends, ["uid", "block"]).groupBy("uid", "block").applyInArrow(scan, out)
+    known = written(known, "states")
+    release(*levels)
 
     def back(batches):
         tool = codec(path)

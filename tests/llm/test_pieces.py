@@ -70,3 +70,25 @@ def test_operator(spark, finish):
 
 def test_empty(spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_levels_of_products(spark):
+    """More chunks than a task combines: three levels, texts of any number of chunks."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices(SIGNS, k=n))) for i, n in enumerate([30, 700, 2500, 90])] + [(9, "z" * 900), (10, " ".join("abcdefg" for _ in range(300)))]
+    frame = spark.createDataFrame(rows, "uid long, text string")
+    got = {r["uid"]: r["ids"] for r in pieces.giants(frame, PATH, chunk=40, fan=3).collect()}
+    assert got == {i: library_once().encode(t) for i, t in rows}
+
+
+def test_tree_of_products():
+    tool = pieces.codec(PATH)
+    s = pieces.marked("some 日本 text with  blanks, and unbelievable things " * 5)
+    cuts = [*range(0, len(s), 30), len(s)]
+    parts = [tool.transfer(s, x, y, y == len(s)) for x, y in zip(cuts, cuts[1:], strict=False)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = pieces.compose(whole, part)
+    assert {k: set(v) for k, v in pieces.product(parts).items()} == {k: set(v) for k, v in whole.items()}
+    inner = pieces.states(parts)
+    assert pieces.states(parts[2:6], inner[2], inner[6]) == inner[2:7]
