@@ -5,7 +5,7 @@ log P(l | all) = text likelihood + log P(declared | l) + log P(suffix | l) + log
 The text's likelihood comes from hashed byte trigrams.  The other three come from grouped counts of the languages
 that the texts alone suggest: P(declared | l) and P(suffix | l) with additive smoothing, P(l | host) shrunk to its
 domain's share and that to the share of all, by PRIOR and DOMAIN pseudo-counts.  One class more, UNKNOWN, takes texts
-of no learnt language: half of its trigrams are dealt evenly, half as all languages' together.
+of no learnt language: its trigrams are dealt evenly but for a share as all languages' together.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from graphloom.llm.common import release, small, text_chunks, written
 SAMPLE, LONG = 1000, 4000
 #: Languages that so many rows of the whole table declare are learnt, the MOST most frequent: a table of 64 KB each.
 LEAST, MOST = 5, 128
-UNKNOWN = "und"
+#: The class of no learnt language, and its share of trigrams that are dealt as those of all together.
+UNKNOWN, POOLED = "und", 0.05
 BUCKETS = 1 << 14
 #: Trigrams are dependent: n of them count as n / (1 + n / TEMPER).
 TEMPER = 400.0
@@ -95,7 +96,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, entities: bool = False) -> Mode
     counts[counted["declared"].map(languages.index).to_numpy(dtype=np.int64), counted["bucket"].to_numpy()] = counted["n"].to_numpy() / 1024
     counts += np.maximum(1, (counts > 0).sum(1, keepdims=True)) / BUCKETS  # as much for what was not seen as there were different trigrams
     shares_ = counts / counts.sum(1, keepdims=True)
-    table = np.log(np.concatenate([shares_, [(shares_.mean(0) + 1 / BUCKETS) / 2]]))
+    table = np.log(np.concatenate([shares_, [POOLED * shares_.mean(0) + (1 - POOLED) / BUCKETS]]))
     return Model([*languages, UNKNOWN], table.astype(np.float32))
 
 
