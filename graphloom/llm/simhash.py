@@ -368,22 +368,16 @@ def resolved(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
                 kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["k1", "k2", "id", "same", "fp", "fp2", "n", "keys"])
 
-    def named(batches):
-        for batch in batches:
-            for start, end in text_chunks(batch, 0):
-                texts = batch.column(0).slice(start, end - start)
-                same = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63) for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), texts], ["same", "text"])
-
     few = docs.select(*row_key(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     prints = written(few.mapInArrow(run, f"k1 long, k2 long, id {few.schema['id'].dataType.simpleString()}, same long, fp long, fp2 long, n long, keys array<long>"), "prints")
-    classes = written(prints.groupBy("same").agg(*(F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys"))), "classes")
+    row = F.min(F.struct("k1", "k2")).alias("row")  # one row stands for the class
+    classes = written(prints.groupBy("same").agg(row, *(F.first(c).alias(c) for c in ("fp", "fp2", "n", "keys"))), "classes")
     near = written(contracted(ring_links(classes.select("same", "fp", "fp2", F.explode("keys").alias("key")), bound(similarity), paired)), "near")
-    group = components(near).select(F.col("node").alias("same"), F.col("component").alias("group")).join(classes.select("same", "n"), "same")
+    group = components(near).select(F.col("node").alias("same"), F.col("component").alias("group")).join(classes.select("same", "n", "row.k1", "row.k2"), "same")
     group = written(group, "groups")
     blocks = group.groupBy("group").agg(F.ceil(F.sum("n") / shingles).cast("long").alias("blocks"))
-    wanted = written(group.join(blocks, "group").select("same", "group", "blocks"), "wanted")
-    texts = few.select("text").mapInArrow(named, "same long, text string").join(small(wanted), "same")
+    wanted = written(group.join(blocks, "group").select("k1", "k2", "same", "group", "blocks"), "wanted")
+    texts = few.select("k1", "k2", "text").join(small(wanted), ["k1", "k2"])
     members = texts.groupBy("same").agg(F.min("text").alias("text"), F.first("group").alias("group"), F.first("blocks").alias("blocks"))
     found = verified(members, words, similarity, shingles)
     joined = components(found)
