@@ -43,12 +43,6 @@ def dot_vec(a: DataFrame, x: DataFrame) -> DataFrame:
     return product(a, x, "k", ["i"], [])
 
 
-def filled(rows: DataFrame, nodes: DataFrame, width: int, col: str = "k") -> DataFrame:
-    """(id, col, v) with a zero wherever a node has no entry for a column below ``width``."""
-    grid = nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias(col))
-    return grid.join(rows, ["id", col], "left").select("id", col, F.coalesce("v", F.lit(0.0)).alias("v"))
-
-
 def spmm(adj: DataFrame, x: DataFrame, nodes: DataFrame | None = None, width: int | None = None) -> DataFrame:
     """Sparse times dense: (id, k, v).  Duplicate entries all count; with ``nodes`` rows without entries are zero.
 

@@ -15,9 +15,10 @@ from graphloom.functions import activations
 
 
 def width_of(rows: DataFrame, col: str = "k") -> int | None:
-    """The vectors' length; None without rows."""
+    """The vectors' length (that of any row, where there is an array); None without rows."""
     if "x" in rows.columns:
-        return rows.agg(F.max(F.size("x"))).first()[0]
+        one = rows.select(F.size("x")).first()
+        return None if one is None else one[0]
     most = rows.agg(F.max(col)).first()[0]
     return None if most is None else most + 1
 
