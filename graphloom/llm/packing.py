@@ -13,7 +13,6 @@ monotone queue gives it in constant time a cut.  No row is shuffled: each partit
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 import re
