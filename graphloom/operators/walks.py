@@ -26,6 +26,17 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def bounded(seed: int, n: Column | int, *parts: Column) -> Column:
+    """A whole number from 0 to n - 1."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.least(F.floor(uniform(seed, *parts) * n).cast("long"), n.cast("long") - 1)
+
+
+def shuffled(rows: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """The rows in an order that depends on the seed and their keys alone; rows of equal keys stand together."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys)
+
+
 def plain_int(x, least: int, name: str) -> int:
     if type(x) is not int or x < least:
         raise ValueError(f"{name} is an int of at least {least}")
@@ -93,8 +104,7 @@ class UniformRandomWalk(GraphWalk):
         table = saved(table.select("node", "rank", "next").join(ends, "next", "left"))  # with the degree at the other end, so that a step is one join
         here = start.join(degree, "node", "left").withColumn("path", F.array("node"))
         for step in range(1, length):
-            u = uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step))
-            drawn = here.withColumn("rank", F.least(F.floor(u * F.col("degree")).cast("long"), F.col("degree") - 1)).drop("degree")
+            drawn = here.withColumn("rank", bounded(seed, F.col("degree"), F.col("root_pos"), F.col("walk"), F.lit(step))).drop("degree")
             on = drawn.join(table, ["node", "rank"], "left")
             path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))
             here = on.select("root_pos", "walk", F.col("next").alias("node"), F.col("after").alias("degree"), path.alias("path"))

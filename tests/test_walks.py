@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from graphloom.operators import walks
 from graphloom.sources.graph import Graph, csr_from_edges, graph_from_csr
+from pyspark.sql import functions as F
 
 from tests.helpers import nodes
 
@@ -112,3 +113,14 @@ def test_csr_of_lists(spark):
         csr_from_edges(spark, [0, 1, 2])
     with pytest.raises(IndexError):
         csr_from_edges(spark, [(0, 7)], n=3)
+
+
+def test_draws_and_order(spark):
+    rows = spark.range(6000).select("id", walks.bounded(5, 7, F.col("id")).alias("r"), walks.bounded(6, 1, F.col("id")).alias("one"))
+    got = rows.collect()
+    count = Counter(r["r"] for r in got)
+    assert sorted(count) == list(range(7)) and {r["one"] for r in got} == {0}
+    assert sum((count[k] - 6000 / 7) ** 2 / (6000 / 7) for k in range(7)) < 22.5  # chi squared, six degrees, 0.1 %
+    once, again, other = ([r["id"] for r in walks.shuffled(spark.range(200), seed, ["id"]).collect()] for seed in (1, 1, 2))
+    assert once == again != other and sorted(once) == sorted(other) == list(range(200))
+    assert abs(sum(i * x for i, x in enumerate(once)) / sum(i * i for i in range(200)) - 0.75) < 0.12
