@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_chunks
+from graphloom.llm.common import give_back, text_chunks
 
 WINDOW = 2048
 #: Truncation penalties, in tokens of padding that a cut may save.
@@ -35,8 +35,8 @@ SENTENCE, INSIDE = 2, 6
 STEP = 16
 #: Tokens that are packed at once; what the last window of a block holds goes on to the next block.
 BLOCK = 1 << 18
-#: Words that a worker's cache holds, and bytes of text whose words are looked up together.
-CACHE, CHUNK = 500_000, 8 << 20
+#: Words that a worker's cache holds, and bytes of text whose words are looked up together: a worker's memory goes by both.
+CACHE, CHUNK = 150_000, 2 << 20
 #: Signs after a word that no rule of the splitting joins to letters before them.
 SIGNS = ".,!?;:*#$%&|"
 #: Patterns of words that end a sentence, and of Latin letters, each of one or two bytes and with one small form.
@@ -364,6 +364,23 @@ def packed(docs: Iterator[tuple[object, np.ndarray, np.ndarray]], window: int, p
         yield from flush(True)
 
 
+def streamed(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int | None) -> Iterator[tuple[tuple[pa.Array, int], np.ndarray, np.ndarray]]:
+    """((ids, row), a document's token ids, its sentence ends) of batches (id, text).  At the end the worker, which goes on to other tasks, keeps no words."""
+    used = False
+    try:
+        for batch in batches:
+            for start, end in text_chunks(batch, 1, CHUNK):
+                used = True
+                part = batch.slice(start, end - start)
+                own = part.column(0).take(pa.array(range(part.num_rows)))  # a copy, so that the rows held don't hold the batch
+                for i, found in enumerate(encoded_all(part.column(1), vocabulary, end_id)):
+                    yield (own, i), *found
+    finally:
+        if used:
+            words(vocabulary).clear()
+        give_back()
+
+
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = False, end_id: int = END_ID) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` ids, the documents' order in their partition kept.
 
@@ -375,13 +392,6 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches):
-        def stream():
-            for batch in batches:
-                for start, end in text_chunks(batch, 1, CHUNK):
-                    part = batch.slice(start, end - start)
-                    for i, found in enumerate(encoded_all(part.column(1), vocabulary, end_id)):
-                        yield (part.column(0), i), *found
-
         rows: list[tuple] = []
 
         def picked(names):
@@ -397,7 +407,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.list_(pa.int32())) for x in ids], fields)
 
         fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-        for name, ids, start, whole, sequence, offset in packed(stream(), window, TaskContext.get().partitionId() << 36):
+        for name, ids, start, whole, sequence, offset in packed(streamed(batches, vocabulary, end_id), window, TaskContext.get().partitionId() << 36):
             rows.append((name, start, len(ids), zlib.crc32(ids.tobytes()), whole, sequence, offset, *([ids.astype(np.int32)] * with_ids)))
             if len(rows) >= (512 if with_ids else 8192):
                 yield batch_of(rows)

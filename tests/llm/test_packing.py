@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -108,3 +111,41 @@ def test_ids_of_any_type(spark, kind):
     for r in docs.collect():
         want[str(r["doc_id"])] = want.get(str(r["doc_id"]), 0) + len(packing.encoded(r["text"], PATH)[0])
     assert got == want and "None" in got
+
+
+MEMORY = """
+import random, re, sys
+import pyarrow as pa
+from graphloom.llm import packing
+
+path, rng = sys.argv[1], random.Random(3)
+texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) + "." for _ in range(3500)) for _ in range(600)]
+batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 100)), pa.array(texts[i : i + 100])], ["id", "text"]) for i in range(0, 600, 100)]
+del texts
+now = lambda: sum(map(int, re.findall("Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+list(packing.encoded_all(pa.array(["a text"]), path))
+begin = now()
+docs = sum(x[2] == 0 for x in packing.packed(packing.streamed(iter(batches), path, 1), 2048, 0))
+print(docs, now() - begin)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read from /proc")
+def test_memory_of_a_worker():
+    """Over 14 MB of text with two million words that are nearly all different: neither the words nor what is freed stays with the worker."""
+    run = subprocess.run([sys.executable, "-c", MEMORY, PATH], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=300)
+    docs, kept = map(int, run.stdout.split())
+    assert docs == 600 and kept < 50, run.stdout
+
+
+def test_tasks_leave_no_words(spark):
+    """Workers are used again by other tasks, which would hold the words of this one beside their own."""
+    docs = spark.createDataFrame([(i, f"word{i} and word{i * 7}. " * 9) for i in range(300)], "doc_id long, text string").coalesce(2)
+    assert packing.pack(docs, PATH).agg({"doc_tokens": "count"}).first()[0] >= 300
+
+    def probe(batches):
+        for _ in batches:
+            held = len(packing.words(PATH).names) if packing.words.cache_info().currsize else 0
+            yield pa.RecordBatch.from_arrays([pa.array([held])], ["held"])
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(probe, "held long").agg({"held": "max"}).first()[0] == 0
