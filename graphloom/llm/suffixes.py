@@ -115,6 +115,7 @@ def marks(keyed: DataFrame, span: int = SPAN) -> DataFrame:
     kinds = written(kinds, "kinds")
     busy = written(kinds.groupBy("g").count().where("count > 1").select("g"), "busy")
     asked = kinds.join(busy, "g").groupBy("k1", "k2").agg(F.collect_list(F.struct("s1", "s2", "times", "at", "n", "off")).alias("all"))  # as many as the text has
+    asked = written(asked, "asked")  # so that the shuffle of all kinds is gone before that of the texts
     forget_shuffles(keyed.sparkSession)
     partly = partial(keyed, asked, span)
     whole = kinds.where("times > 1").select("s1", "s2", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") + (span - 1)).alias("b"))).alias("runs"))
@@ -122,7 +123,7 @@ def marks(keyed: DataFrame, span: int = SPAN) -> DataFrame:
     found = places.join(hit, ["s1", "s2"]).select("k1", "k2", "at", F.explode("runs").alias("run"))
     runs = found.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") + F.col("run.a")).alias("a"), (F.col("at") + F.col("run.b")).alias("b"))).alias("runs"))
     out = written(maximal(runs), "runs")
-    release(places, kinds, busy, hit, shuffles=True)
+    release(places, kinds, busy, asked, hit, shuffles=True)
     return out
 
 

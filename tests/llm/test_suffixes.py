@@ -149,3 +149,18 @@ def test_two_spans_against_brute_force(spark, seed, span, passage):
     docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
     got = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passages"]) for r in suffixes.dedup(docs, span=span, passage=passage, words=2).collect())
     assert got == Counter((*x, n) for x, (n, _) in zip(brute(texts, span), brute_passages(texts, passage, 2), strict=True))
+
+
+def test_the_shuffle_of_all_contexts_ends_before_that_of_the_texts(spark, monkeypatch):
+    """The contexts that are asked for come from a written table: no shuffle of all contexts lies beside the texts'."""
+    plans, partial = [], suffixes.partial
+
+    def seen(keyed, asked, span):
+        plans.append(asked._jdf.queryExecution().executedPlan().toString())
+        return partial(keyed, asked, span)
+
+    monkeypatch.setattr(suffixes, "partial", seen)
+    texts = corpus(3, 60)
+    got = {r["id"]: r for r in suffixes.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), span=60).collect()}
+    assert len(got) == len(texts) and any(r["n_removed"] for r in got.values())
+    assert plans and not any("Exchange" in p for p in plans)
