@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from graphloom.operators import links, wide
+from graphloom.operators import adjacency, links, wide
 from pyspark.sql import functions as F
 
 from tests.helpers import entries, graph, nodes
@@ -84,3 +84,41 @@ def test_pairs_send_a_vector_once_for_a_block(spark):
     before = shuffled_bytes(spark)
     assert links.link_inference()(pairs, x.hint("merge")).count() == 20_000
     assert shuffled_bytes(spark) - before < 20_000 * 64 * 8 / 4
+
+
+def test_symmetrize_sends_a_pair_once(spark, many_partitions):
+    """Both directions of a pair meet before the shuffle; single, repeated, negative and diagonal entries as before."""
+    pairs = spark.range(40_000).select(F.expr("id * 7919 % 1000003").alias("a"), F.expr("2000000 + id").alias("b"))
+    adj = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*").withColumn("w", F.lit(1.0))
+    before = shuffled_bytes(spark)
+    assert adjacency.symmetrize(adj).count() == 80_000
+    once = shuffled_bytes(spark) - before
+    assert adj.groupBy("src", "dst").agg(F.max("w")).count() == 80_000
+    assert once < 0.75 * (shuffled_bytes(spark) - before - once)
+    odd = spark.createDataFrame([(1, 2, -3.0), (3, 4, -1.0), (3, 4, -2.0), (5, 5, -4.0), (6, 7, 2.0), (7, 6, 5.0), (8, 9, 0.0)], adj.schema)
+    got = sorted((r["src"], r["dst"], r["w"]) for r in adjacency.symmetrize(odd).collect())
+    assert got == [(3, 4, -1.0), (4, 3, -1.0), (5, 5, -4.0), (6, 7, 5.0), (7, 6, 5.0)]
+
+
+@pytest.mark.parametrize("most", [32, 1 << 25])
+def test_scaling_in_blocks(spark, monkeypatch, most):
+    """Ends without a row of their own, repeated entries, sums that aren't positive; blocks of one entry too."""
+    monkeypatch.setattr(wide, "BLOCK", most)
+    a = graph(9, 0.4, 5, weighted=True, directed=True)
+    a[2] = -1
+    a[8] = 0
+    d = a.sum(1)
+    r = np.where(d > 0, np.abs(np.where(d == 0, 1, d)) ** -0.5, 0)
+    ids, adj = nodes(spark, 9), entries(spark, a)
+    got = np.zeros((9, 9))
+    rows = adjacency.normalize_adj(adj, ids).collect()
+    for e in rows:
+        got[e["src"], e["dst"]] += e["w"]
+    assert len(rows) == np.count_nonzero(a) and np.allclose(got, (a * r[:, None] * r).T)
+    assert adjacency.normalize_adj(adj.unionByName(adj), ids, symmetric=False).count() == 2 * len(rows)
+
+
+def test_tasks_by_size(spark, monkeypatch):
+    assert adjacency.spread(spark.range(10), 10, "id").rdd.getNumPartitions() != 25
+    monkeypatch.setattr(adjacency, "ROWS", 4)
+    assert adjacency.spread(spark.range(100), 100, "id").rdd.getNumPartitions() == 25
