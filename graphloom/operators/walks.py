@@ -1,5 +1,8 @@
 """Random walks as iterated joins.
 
+A node's edges are in rows of CHUNK, so that a step moves walks and a row a node through its joins, not an edge a row; a hub
+has many rows.
+
 Random numbers are a hash of (seed, root's position, walk, step), so that no state runs through the walks, each is
 reproducible alone, and a recomputed task draws the same numbers.
 """
@@ -10,14 +13,17 @@ import math
 import warnings
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.adjacency import saved
-from graphloom.sources.graph import Graph, check_endpoints, check_ids, check_weights, ranked
+from graphloom.sources.graph import Graph, check_endpoints, check_ids, check_weights
 
 #: Steps between written tables, and edges that a biased step tries before it looks at all.
 CADENCE, TRIES = 8, 12
+#: Edges in a row of a node's edges.
+CHUNK = 1024
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -45,7 +51,10 @@ def plain_int(x, least: int, name: str) -> int:
 
 class GraphWalk:
     def __init__(self, graph: Graph, n: int | None = None, length: int | None = None, seed: int | None = None):
-        check_endpoints(graph.edges, graph.nodes)
+        edges = saved(graph.edges)  # made once for checks and walks
+        graph = Graph(graph.nodes, edges, graph.features, graph.entries)
+        check_endpoints(edges, graph.nodes)
+        self.tables: dict[bool, tuple[DataFrame, DataFrame]] = {}
         self.graph, self.n, self.length, self.seed = graph, n, length, seed
         if seed is not None:
             plain_int(seed, 0, "seed")
@@ -75,12 +84,85 @@ class GraphWalk:
         check_ids(nodes, self.graph.nodes)
         return nodes.select(F.col("pos").alias("root_pos"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("walk"), F.col("id").alias("node"))
 
-    def table(self, edges: DataFrame | None = None) -> DataFrame:
-        """(node, rank, next, w, degree, top): each node's edges in order, how many there are and their greatest weight; written once."""
-        rows = ranked(self.graph.edges if edges is None else edges)
-        rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1.0))
-        top = rows.groupBy("src").agg(F.max("w").alias("top"))
-        return saved(rows.join(top, "src").select(F.col("src").alias("node"), "rank", F.col("dst").alias("next"), "w", "degree", "top"))
+    def table(self, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+        """:func:`chunked` of the graph's edges, written once."""
+        if weighted not in self.tables:
+            self.tables[weighted] = chunked(self.graph.edges, weighted)
+        return self.tables[weighted]
+
+
+def chunked(edges: DataFrame, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """(node, chunk, next[, w]), a node's edges by dst and then pos, CHUNK in a row; and (node, degree, top), how many they are and the greatest weight.
+
+    Rows are cut in the order of range partitions.  Only nodes over several of those are dealt again, by their places.
+    """
+    columns = ["dst", *["w"] * weighted]
+    rows = edges.select("src", *columns, "pos").where("src IS NOT NULL")
+    rows = rows.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")} | ({"w": F.col("w").cast("double")} if weighted else {}))
+
+    def cut(held, first):
+        """Rows of CHUNK, where the first starts at place ``first`` of its node; and how many rows and which place the last, open one has."""
+        src = np.asarray(held["src"])
+        new = np.r_[True, src[1:] != src[:-1]]
+        starts = np.flatnonzero(new)
+        place = np.arange(len(src)) - np.repeat(starts, np.diff(np.r_[starts, len(src)]))
+        place[: starts[1] if len(starts) > 1 else len(src)] += first
+        cuts = np.flatnonzero(new | (place % CHUNK == 0))
+        return src, place, cuts
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, held, first = TaskContext.get().partitionId(), None, 0
+
+        def made(table, src, place, cuts, end):
+            at = pa.array(np.r_[cuts, end], pa.int32())
+            lists = [pa.ListArray.from_arrays(at, table[c].combine_chunks().slice(0, end)) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), part, np.int64)), pa.array(src[cuts]), pa.array(place[cuts] // CHUNK), *lists], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one = pa.Table.from_batches([batch.select(["src", *columns])])
+            held = (one if held is None else pa.concat_tables([held, one])).combine_chunks()
+            src, place, cuts = cut(held, first)
+            if len(cuts) > 1:
+                yield made(held, src, place, cuts[:-1], int(cuts[-1]))
+            first, held = int(place[cuts[-1]]), held.slice(int(cuts[-1]))
+        if held is not None:
+            src, place, cuts = cut(held.combine_chunks(), first)
+            yield made(held.combine_chunks(), src, place, cuts, held.num_rows)
+
+    names = ["_part", "node", "chunk", "next", *["w"] * weighted]
+    order = ["src", "dst", "pos"]
+    schema = "_part long, node long, chunk long, next array<long>" + ", w array<double>" * weighted
+    pieces = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema))
+    top = F.max(F.array_max("w")) if weighted else F.lit(1.0)
+    degree = saved(pieces.groupBy("node").agg(F.sum(F.size("next")).cast("long").alias("degree"), top.alias("top"), (F.min("_part") < F.max("_part")).alias("_split")))
+    split = degree.where("_split").select("node")  # at most one node for each border of range partitions
+    if not split.limit(1).count():
+        return pieces.drop("_part"), degree.drop("_split")
+    far = pieces.join(F.broadcast(split), "node", "left_semi")
+    sizes = far.groupBy("node", "_part").agg(F.sum(F.size("next")).alias("n"))
+    before = sizes.select("node", "_part", (F.sum("n").over(Window.partitionBy("node").orderBy("_part")) - F.col("n")).alias("before"))
+    zipped = F.posexplode(F.arrays_zip("next", *["w"] * weighted)).alias("i", "e")
+    each = far.join(before, ["node", "_part"]).select("node", (F.col("before") + F.col("chunk") * CHUNK).alias("at"), zipped)
+    each = each.select("node", (F.col("at") + F.col("i")).alias("rank"), "e.*")
+    again = each.groupBy("node", F.expr(f"rank div {CHUNK}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("rank", "next", *["w"] * weighted))).alias("e"))
+    again = saved(again.select("node", "chunk", *(F.col(f"e.{c}").alias(c) for c in names[3:])))
+    return pieces.drop("_part").join(F.broadcast(split), "node", "left_anti").unionByName(again), degree.drop("_split")
+
+
+def neighbourhoods(table: DataFrame, degree: DataFrame) -> DataFrame:
+    """(prev, bucket, ends): each node's ends by :func:`bucket`."""
+    few = table.where(f"chunk = 0 AND size(next) < {CHUNK}").select(F.col("node").alias("prev"), F.lit(0).cast("long").alias("bucket"), F.col("next").alias("ends"))
+    hubs = table.where(f"chunk > 0 OR size(next) = {CHUNK}").select("node", "next").join(degree.select("node", "degree"), "node").select("node", "degree", F.explode("next").alias("next"))
+    return few.unionByName(saved(hubs.groupBy(F.col("node").alias("prev"), bucket(F.col("next"), F.col("degree")).alias("bucket")).agg(F.collect_set("next").alias("ends"))))
+
+
+def bucket(end: Column, degree: Column) -> Column:
+    """Where an end is among the ends of a node with that degree: about CHUNK are together."""
+    return F.when(degree < CHUNK, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(end), F.ceil(degree / CHUNK)))
 
 
 def collected(walks: DataFrame) -> DataFrame:
@@ -98,16 +180,15 @@ class UniformRandomWalk(GraphWalk):
         start = self.starts(nodes, n)
         if start is None:
             return spark.createDataFrame([], "root_pos long, walk int, step int, node long")
-        table = self.table()
-        degree = table.where("rank = 0").select("node", "degree")
-        ends = degree.select(F.col("node").alias("next"), F.col("degree").alias("after"))
-        table = saved(table.select("node", "rank", "next").join(ends, "next", "left"))  # with the degree at the other end, so that a step is one join
-        here = start.join(degree, "node", "left").withColumn("path", F.array("node"))
+        table, degree = self.table()
+        degree = degree.select("node", "degree")
+        here = start.withColumn("path", F.array("node"))
         for step in range(1, length):
-            drawn = here.withColumn("rank", bounded(seed, F.col("degree"), F.col("root_pos"), F.col("walk"), F.lit(step))).drop("degree")
-            on = drawn.join(table, ["node", "rank"], "left")
+            drawn = here.join(degree, "node", "left").withColumn("rank", bounded(seed, F.col("degree"), F.col("root_pos"), F.col("walk"), F.lit(step)))
+            drawn = drawn.drop("degree").withColumn("chunk", F.expr(f"rank div {CHUNK}"))
+            on = drawn.join(table.select("node", "chunk", "next"), ["node", "chunk"], "left").withColumn("next", F.get("next", (F.col("rank") % CHUNK).cast("int")))
             path = F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next")))
-            here = on.select("root_pos", "walk", F.col("next").alias("node"), F.col("after").alias("degree"), path.alias("path"))
+            here = on.select("root_pos", "walk", F.col("next").alias("node"), path.alias("path"))
             if step % CADENCE == 0 and step + 1 < length:
                 here = saved(here)
         return here.select("root_pos", "walk", F.posexplode("path").alias("step", "node"))
@@ -141,7 +222,6 @@ class BiasedRandomWalk(GraphWalk):
             if not self.graph.weighted:
                 raise ValueError("the graph has no edge weights")
             check_weights(edges)
-        base = edges.select("src", "dst", "pos", (F.col("w") if weighted else F.lit(1.0)).alias("w"))
         first = UniformRandomWalk.run(self, nodes, n=n, length=min(2, length), seed=seed)
         if length < 3:
             return first
@@ -149,22 +229,37 @@ class BiasedRandomWalk(GraphWalk):
         out = first = saved(first)
         before = first.where("step = 0").select(*key, F.col("node").alias("prev"))
         here = saved(first.where("step = 1").select(*key, "node").join(before, key))
-        known = saved(edges.select(F.col("src").alias("prev"), F.col("dst").alias("next")).distinct().withColumn("_near", F.lit(True)))
-        table = self.table(base)
-        degree = table.where("rank = 0").select("node", "degree", "top")
-        factor = F.when(F.col("next") == F.col("prev"), 1.0 / p).when(F.col("_near"), 1.0).otherwise(1.0 / q)
+        table, degree = self.table(weighted)
+        near = neighbourhoods(table, degree)
+        here = here.join(degree.select(F.col("node").alias("prev"), F.col("degree").alias("before")), "prev")
+        weight = (lambda at: F.get("w", at)) if weighted else (lambda at: F.lit(1.0))
+        factor = lambda end, close: F.when(end == F.col("prev"), 1.0 / p).when(close, 1.0).otherwise(1.0 / q)
+        tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+        walk = [*key, "prev", "node", "before", "degree", "top"]
         for step in range(2, length):
-            draw = lambda which: uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step), F.col("try"), F.lit(which))  # noqa: B023, E731
-            tries = here.join(degree, "node").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
-            tries = tries.withColumns({"rank": F.least(F.floor(draw(0) * F.col("degree")).cast("long"), F.col("degree") - 1), "bar": draw(1) * F.col("top") * max(1.0 / p, 1.0, 1.0 / q)})
-            tries = tries.drop("degree", "top").join(table.select("node", "rank", "next", "w"), ["node", "rank"]).join(known, ["prev", "next"], "left")
-            good = tries.where(F.col("bar") < F.col("w") * factor)
-            taken = good.groupBy(*key).agg(F.min(F.struct("try", "next", "node")).alias("t"))
-            after = saved(here.join(taken, key, "left").select(*key, "prev", "node", F.col("t.next").alias("next")))
+            draw = lambda t, which: uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step), t, F.lit(which))  # noqa: B023, E731
+            rank = lambda t: F.least(F.floor(draw(t, 0) * F.col("degree")).cast("long"), F.col("degree") - 1)  # noqa: B023, E731
+            chunk = lambda t: F.floor(rank(t) / CHUNK)  # noqa: B023, E731
+            # a walk is one row for each row of edges, and then for each bucket of ends, that its tries fall to: mostly one
+            at = here.join(degree, "node").withColumn("chunk", F.explode(F.array_distinct(F.transform(tries, chunk)))).join(table, ["node", "chunk"])
+            place = lambda t: (rank(t) % CHUNK).cast("int")  # noqa: B023, E731
+            made = F.transform(F.filter(tries, lambda t: chunk(t) == F.col("chunk")), lambda t: F.struct(t.alias("try"), F.get("next", place(t)).alias("next"), weight(place(t)).alias("w")))  # noqa: B023
+            found = at.select(*walk, made.alias("found"))
+            kept = lambda c: bucket(c["next"], F.col("before"))
+            found = found.withColumn("bucket", F.explode(F.array_distinct(F.transform("found", kept)))).join(near, ["prev", "bucket"], "left")
+            bar = lambda c: draw(c["try"], 1) * F.col("top") * max(1.0 / p, 1.0, 1.0 / q)  # noqa: B023, E731
+            good = F.filter("found", lambda c: (kept(c) == F.col("bucket")) & (bar(c) < c["w"] * factor(c["next"], F.array_contains("ends", c["next"]))))  # noqa: B023
+            best = F.array_min(F.transform(good, lambda c: F.struct(c["try"].alias("try"), c["next"].alias("next"))))
+            after = found.select(*walk, best.alias("t")).groupBy(*key).agg(F.min("t").alias("t"), *(F.first(c).alias(c) for c in walk[2:]))
+            after = saved(after.select(*walk, F.col("t.next").alias("next")))
             # the few walks whose tries all fail choose among all edges of their node
-            rest = after.where("next IS NULL").drop("next").join(base.select(F.col("src").alias("node"), F.col("dst").alias("next"), "pos", "w"), "node").join(known, ["prev", "next"], "left")
-            chosen = pick(rest.withColumn("weight", F.col("w") * factor), key, ["next", "pos"], uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step)))
-            now = after.where("next IS NOT NULL").select(*key, F.col("node").alias("prev"), F.col("next").alias("node")).unionByName(chosen.select(*key, F.col("node").alias("prev"), F.col("next").alias("node")))
+            rest = after.where("next IS NULL").drop("next").join(table, "node")
+            close = rest.join(near, "prev").groupBy(*key, "chunk").agg(F.flatten(F.collect_list(F.array_intersect("next", "ends"))).alias("close"))
+            every = F.transform("next", lambda x, i: F.struct((F.col("chunk") * CHUNK + i).alias("rank"), x.alias("next"), (weight(i) * factor(x, F.array_contains("close", x))).alias("weight")))
+            rest = rest.join(close, [*key, "chunk"], "left").select(*walk, F.explode(every).alias("e")).select(*walk, "e.*")
+            chosen = pick(rest, key, ["rank"], uniform(seed, F.col("root_pos"), F.col("walk"), F.lit(step)))
+            moved = [*key, F.col("node").alias("prev"), F.col("next").alias("node"), F.col("degree").alias("before")]
+            now = after.where("next IS NOT NULL").select(*moved).unionByName(chosen.select(*moved))
             here = saved(now)
             out = out.unionByName(here.select(*key, F.lit(step).alias("step"), "node"))
         return out

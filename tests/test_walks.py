@@ -124,3 +124,39 @@ def test_draws_and_order(spark):
     once, again, other = ([r["id"] for r in walks.shuffled(spark.range(200), seed, ["id"]).collect()] for seed in (1, 1, 2))
     assert once == again != other and sorted(once) == sorted(other) == list(range(200))
     assert abs(sum(i * x for i, x in enumerate(once)) / sum(i * i for i in range(200)) - 0.75) < 0.12
+
+
+@pytest.mark.parametrize("size", [1, 3, 7])
+def test_rows_of_edges(spark, monkeypatch, size):
+    """Walks don't depend on how many edges are in a row, nor on hubs and repeated edges that lie over several partitions."""
+    edges = [(0, i % 40) for i in range(1, 90)] + [(i, 0) for i in range(1, 40)] + [(i, i % 7 + 1) for i in range(5, 40)]
+    g = graph(spark, edges, 41, [1 + i % 3 for i in range(len(edges))])
+    runs = [lambda: walks.UniformRandomWalk(g, n=5, length=5, seed=3), lambda: walks.BiasedRandomWalk(g, n=5, length=5, p=0.3, q=3.0, seed=4), lambda: walks.BiasedRandomWalk(g, n=5, length=4, p=3.0, q=0.3, weighted=True, seed=5)]
+    monkeypatch.setattr(walks, "TRIES", 2)
+    want = [paths(make().run(list(range(41)))) for make in runs]
+    monkeypatch.setattr(walks, "CHUNK", size)
+    assert [paths(make().run(list(range(41)))) for make in runs] == want
+    table, degree = walks.chunked(g.edges, True)
+    rows = [(r["node"], r["chunk"] * size + i, x, w) for r in table.collect() for i, (x, w) in enumerate(zip(r["next"], r["w"], strict=True))]
+    assert all(len(r["next"]) <= size for r in table.collect())
+    listed = sorted((a, b, i, float(1 + i % 3)) for i, (a, b) in enumerate(edges))
+    place = Counter()
+    for a, b, _, w in listed:
+        assert (a, place[a], b, w) in rows
+        place[a] += 1
+    assert len(rows) == len(edges) and {r["node"]: r["degree"] for r in degree.collect()} == dict(place)
+
+
+def test_edges_are_made_once(spark):
+    """However often a walk reads them."""
+    g = graph(spark, [(i, (i + 1) % 50) for i in range(50)] + [(i, (i + 2) % 50) for i in range(50)], 50)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    g.edges = g.edges.mapInArrow(count, g.edges.schema)
+    found = paths(walks.BiasedRandomWalk(g, n=1, length=5, p=0.5, q=2.0, weighted=True, seed=1).run(list(range(50))))
+    assert len(found) == 50 and seen.value == 100
