@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import activations
 from graphloom.operators import wide
-from graphloom.operators.adjacency import saved
+from graphloom.operators.adjacency import dropped, saved, spread
 from graphloom.operators.linalg import gather
 
 #: Nodes up to which rows are paired with all nodes (empty rows, weighted masks, saliency with nu).
@@ -55,12 +55,15 @@ class GraphAttention:
         n, m = self.columns, self.attn_heads
         return y.select("id", F.slice("x", 1, n).alias("h"), F.slice("x", n + 1, m).alias("s"), F.slice("x", n + m + 1, m).alias("t"))
 
-    def logits(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs with e, a logit for each head, and x, the vectors of dst: one row an entry through both joins."""
+    def logits(self, pairs: DataFrame, nodes: DataFrame, count: int = 0) -> DataFrame:
+        """The pairs with e, a logit for each head, and x, the vectors of dst: one row an entry through both joins.
+
+        ``count`` is about how many pairs there are, where that is known: they are dealt to tasks by it.
+        """
         right = nodes.select(F.col("id").alias("dst"), F.col("t").alias("_t"), F.col("h").alias("x"))
         left = nodes.select(F.col("id").alias("src"), F.col("s").alias("_s"))
         e = F.zip_with("_s", "_t", lambda a, b: activations.scalar("leaky_relu", a + b))
-        return pairs.join(right, "dst").join(left, "src").withColumn("e", e).drop("_s", "_t")
+        return spread(spread(pairs, count, "dst").join(right, "dst"), count, "src").join(left, "src").withColumn("e", e).drop("_s", "_t")
 
     def call(self, features: DataFrame, adj: DataFrame, nodes: DataFrame, out_indices: DataFrame | None = None) -> DataFrame:
         """(id, j, v).  features: (id, k, v) or (id, x)."""
@@ -72,14 +75,17 @@ class GraphAttention:
         h = saved(self.projected(features, width))
         if self.sparse:
             return self.finished(self.attended(self.logits(adj.select("src", "dst"), h)), nodes, out_indices)
-        one = saved(adj.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        raw = saved(adj.select("src", "dst", "w"))
+        count = raw.count()
+        one = saved(spread(raw, count, "src", "dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        dropped(raw)
         if self.saliency_map_support:
-            return self.finished(self.salient(one, nodes, h), nodes, out_indices)
+            return self.finished(self.salient(one, nodes, h, count), nodes, out_indices)
         plain = not one.where("w <> 0 AND w <> 1").limit(1).count()
         kept = one.where("w <> 0")
         bare = nodes.select("id").join(kept.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         if plain and not bare.limit(1).count():
-            return self.finished(self.attended(self.logits(kept.select("src", "dst"), h)), nodes, out_indices)
+            return self.finished(self.attended(self.logits(kept.select("src", "dst"), h, count)), nodes, out_indices)
         # a masked logit of a row with entries of 1 underflows to nothing; rows without entries or with other weights need every node
         masked = grid(bare if plain else nodes, nodes).join(one, ["src", "dst"], "left")
         masked = masked.select("src", "dst", (1e10 * (F.coalesce("w", F.lit(0.0)) - 1)).alias("mask"))
@@ -102,13 +108,13 @@ class GraphAttention:
         sums = entries.groupBy(F.col("src").alias("id")).agg(*numerators, *(F.sum(f"_p{i}").alias(f"_d{i}") for i in range(self.attn_heads)))
         return sums.select("id", F.array(*(ratio(F.col(f"_n{i}_{j}"), F.col(f"_d{i}")) for i, j in places)).alias("x"))
 
-    def salient(self, one: DataFrame, nodes: DataFrame, h: DataFrame) -> DataFrame:
+    def salient(self, one: DataFrame, nodes: DataFrame, h: DataFrame, count: int) -> DataFrame:
         """Weights delta A e (1 - nu) + nu (A + delta (1 - A) + I) e, where e is shifted by the row's maximum over all nodes; a row without weight is NaN."""
         nu, delta, heads = float(self.non_exist_edge), float(self.delta), range(self.attn_heads)
         most = h.agg(*(F.max(F.col("t")[i]) for i in heads)).first()
         top = h.select(F.col("id").alias("src"), *(activations.scalar("leaky_relu", F.col("s")[i] + F.lit(most[i])).alias(f"_m{i}") for i in heads))
         pairs = one if nu == 0 else grid(nodes, nodes).join(one, ["src", "dst"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-        entries = self.logits(pairs, h).join(top, "src")
+        entries = self.logits(pairs, h, count if nu == 0 else 0).join(top, "src")
         own = (F.col("src") == F.col("dst")).cast("double")
         weight = delta * F.col("w") * (1 - nu) + nu * (F.col("w") + delta * (1 - F.col("w")) + own)
         entries = entries.withColumns({f"_p{i}": weight * F.exp(F.col("e")[i] - F.col(f"_m{i}")) for i in heads})

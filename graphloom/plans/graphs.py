@@ -52,10 +52,14 @@ def ends(src: str, dst: str, **more) -> Column:
     return F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), *(F.col(v).alias(k) for k, v in more.items()))
 
 
+def line_ends(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst): a line's part and supplier, repeats too."""
+    return table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
+
+
 def part_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst): the different pairs of a part and a supplier, dealt by their number."""
-    lines = table(spark, d, "lineitem")
-    return spread(lines.select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")), lines.count(), "src", "dst").distinct()
+    return spread(line_ends(spark, d), table(spark, d, "lineitem").count(), "src", "dst").distinct()
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -98,16 +102,16 @@ def part_graph(spark: SparkSession, d: str) -> Graph:
     return Graph(nodes, edges, features(spark, d, nodes), 2 * table(spark, d, "lineitem").count())
 
 
-def first_ends(pairs: DataFrame, keys: list[str], end: str, samples: int) -> DataFrame:
-    """(keys, s, id): the ``samples`` least different ends of each key; each task keeps no more of a key before the shuffle."""
+def first_ends(pairs: DataFrame, keys: list[str], end: str, samples: int, count: int = 0) -> DataFrame:
+    """(keys, s, id): the ``samples`` least different ends of each key; ``count`` is about how many pairs there are, repeats too."""
     order = Window.partitionBy(*keys).orderBy(end)
-    ranked = pairs.select(*keys, end).distinct().withColumn("s", F.row_number().over(order) - 1)
+    ranked = spread(pairs.select(*keys, end), count, *keys).distinct().withColumn("s", F.row_number().over(order) - 1)
     return ranked.where(F.col("s") < samples).select(*keys, F.col("s").cast("long").alias("s"), F.col(end).alias("id"))
 
 
 def sampled(spark: SparkSession, d: str, samples: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(heads, own, near): parts, their features, and those of their first suppliers, as sampled tensors of vectors."""
-    near = first_ends(part_pairs(spark, d).withColumnRenamed("src", "b"), ["b"], "dst", samples)
+    near = first_ends(line_ends(spark, d).withColumnRenamed("src", "b"), ["b"], "dst", samples, table(spark, d, "lineitem").count())
     heads = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("b"), F.lit(0).cast("long").alias("h"))
     own = features(spark, d, heads.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("s"), "x")
     x = near.join(features(spark, d, part_nodes(spark, d)), "id").select("b", F.lit(0).cast("long").alias("h"), "s", "x")

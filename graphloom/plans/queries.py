@@ -480,9 +480,9 @@ S.define("layer2", "SELECT b, j, sum(x.v * kernel.v) AS v FROM (SELECT b, j AS k
 def sage_2layer(spark, d):
     """Two layers over nested hops: a part, three suppliers, two parts of each."""
     heads, own, near = G.sampled(spark, d)
-    first = G.parts(spark, d)
-    one = G.first_ends(first.where("src % 2 = 0").withColumnRenamed("src", "b"), ["b"], "dst", 3).select("b", F.col("s").alias("h1"), F.col("id").alias("up"))
-    two = G.first_ends(first.where("src % 2 = 1").withColumnRenamed("src", "up"), ["up"], "dst", 2)
+    lines, count = G.line_ends(spark, d), G.table(spark, d, "lineitem").count()
+    one = G.first_ends(lines.withColumnRenamed("src", "b"), ["b"], "dst", 3, count).select("b", F.col("s").alias("h1"), F.col("id").alias("up"))
+    two = G.first_ends(lines.withColumnsRenamed({"src": "end", "dst": "up"}), ["up"], "end", 2, count)
     hop2 = one.join(two, "up").join(G.features(spark, d, G.part_nodes(spark, d)), "id").select("b", (F.col("h1") * 2 + F.col("s")).alias("h"), "x")
     hop0 = own.join(near.select("b").distinct(), "b").select("b", "h", "x")
     hop1 = near.select("b", F.col("s").alias("h"), "x")

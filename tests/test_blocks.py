@@ -122,3 +122,13 @@ def test_tasks_by_size(spark, monkeypatch):
     assert adjacency.spread(spark.range(10), 10, "id").rdd.getNumPartitions() != 25
     monkeypatch.setattr(adjacency, "ROWS", 4)
     assert adjacency.spread(spark.range(100), 100, "id").rdd.getNumPartitions() == 25
+
+
+def test_samples_by_size(spark, monkeypatch):
+    """The pairs of keys and ends go to tasks by their number, with the same samples."""
+    from graphloom.plans import graphs
+
+    monkeypatch.setattr(adjacency, "ROWS", 50)
+    pairs = spark.range(1000).select(F.expr("id % 90").alias("b"), F.expr("id * 7 % 31").alias("dst"))
+    plain, dealt = graphs.first_ends(pairs, ["b"], "dst", 3), graphs.first_ends(pairs, ["b"], "dst", 3, 1000)
+    assert dealt.rdd.getNumPartitions() == 20 and sorted(plain.collect()) == sorted(dealt.collect())
